@@ -1,0 +1,143 @@
+"""Batch jobs: archive to silver, silver to gold, backfill and dry run."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from datetime import date
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from talktally.config import MetricsConfig, TenantConfig
+from talktally.functions.values import day_stamp
+from talktally.operators.derived import derive
+from talktally.operators.emit import emit_all
+from talktally.operators.gold import GOLD_KEYS, diff, rollup
+from talktally.operators.headers import headers, with_enrichment
+from talktally.operators.index import build_index
+from talktally.operators.normalize import normalize_direct, normalize_v2, normalize_v3, split_shapes, union_fires
+from talktally.operators.results import apply_hook, as_fires, operator_results, unwrapped
+from talktally.sources import lake
+
+
+@dataclass(frozen=True)
+class Upstream:
+    """Tables the transcript notifications refer to."""
+
+    transcripts: DataFrame
+    results: DataFrame
+    timings: DataFrame | None = None
+
+
+def fires_from_documents(
+    docs: DataFrame,
+    tenants: TenantConfig,
+    upstream: Upstream | None = None,
+    default_tenant: str = "default",
+) -> tuple[DataFrame, DataFrame]:
+    """(fires, rejected documents) of raw documents in any known shape."""
+    shapes = split_shapes(docs, tenants, default_tenant)
+    parts = [normalize_direct(shapes["direct"]), normalize_v3(shapes["v3"])]
+    if upstream is not None:
+        parts.append(normalize_v2(shapes["v2"], upstream.transcripts, upstream.results, upstream.timings))
+    return union_fires(*parts), shapes["rejected"]
+
+
+def prepared(fires: DataFrame, hook=None) -> DataFrame:
+    """Fires with unwrapped and enriched payloads: what everything else is computed from."""
+    return apply_hook(unwrapped(fires), hook)
+
+
+def gold_of(fires: DataFrame, cfg: MetricsConfig, time_col: str = "received_at") -> DataFrame:
+    """All raw daily counters and the daily derived rows."""
+    raw = rollup(emit_all(fires, cfg, time_col))
+    return raw.unionByName(derive(raw, cfg.derived()))
+
+
+def write_silver(
+    fires: DataFrame,
+    root: str,
+    cfg: MetricsConfig,
+    enrichment: DataFrame | None = None,
+    enrichment_fields: tuple[str, ...] = (),
+) -> Observation:
+    """Write conversations, results and index of the given fires.
+
+    Returns the number of results written, counted while writing.
+    """
+    heads = headers(fires)
+    if enrichment is not None:
+        heads = with_enrichment(heads, enrichment)
+    lake.write_conversations(heads, f"{root}/conversations")
+    written = Observation("results")
+    counted = operator_results(fires).observe(written, F.count(F.lit(1)).alias("rows"))
+    lake.write_results(counted, f"{root}/operator_results")
+    lake.write_index(build_index(fires, heads, cfg, enrichment_fields), f"{root}/index")
+    return written
+
+
+def touched_days(fires: DataFrame) -> DataFrame:
+    return fires.select("tenant_id", day_stamp(F.col("received_at")).alias("date")).distinct()
+
+
+def stored_fires(
+    spark: SparkSession, path: str, tenant: str | None = None, start: date | None = None, end: date | None = None,
+    operator: str | None = None,
+) -> DataFrame:
+    """Stored operator results of a range, in fire shape.
+
+    Parquet keeps no trigger; a missing one passes every gate, as for results of
+    the transcript form.
+    """
+    rows = as_fires(lake.scan_results(spark, path, tenant, start, end))
+    if operator is not None:
+        rows = rows.where(F.col("operator_name") == operator)
+    return rows if "trigger" in rows.columns else rows.withColumn("trigger", F.lit(None).cast("string"))
+
+
+def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str, dry_run: bool = False) -> DataFrame | None:
+    """Rebuild the counters of `days` from the fires and replace them.
+
+    Nothing is added to a stored value, so running it again changes nothing.
+    With `dry_run` the change is returned instead of made.
+    """
+    chosen = fires.withColumn("_day", day_stamp(F.col("received_at"))).join(
+        days.select("tenant_id", F.col("date").alias("_day")).distinct(), ["tenant_id", "_day"], "left_semi"
+    )
+    gold = gold_of(chosen.drop("_day"), cfg)
+    if not dry_run:
+        lake.replace_days(gold, days, path)
+        return None
+    spark = fires.sparkSession
+    if not lake.exists(spark, path):
+        return diff(gold.limit(0), gold)
+    old = lake.scan(spark, path, "metrics").join(days.select("tenant_id", "date").distinct(), ["tenant_id", "date"], "left_semi")
+    return diff(old.select(*GOLD_KEYS, "value"), gold)
+
+
+def backfill(
+    spark: SparkSession,
+    results_path: str,
+    gold_path: str,
+    cfg: MetricsConfig,
+    tenant: str,
+    start: date,
+    end: date,
+    dry_run: bool = False,
+) -> DataFrame | None:
+    """The ordinary gold job over a tenant's day range."""
+    fires = stored_fires(spark, results_path, tenant, start, end)
+    return recompute(fires, touched_days(fires), cfg, gold_path, dry_run)
+
+
+def copy_metrics(
+    spark: SparkSession, source: str, target: str, tenants: list[str] | None = None, dry_run: bool = False
+) -> DataFrame:
+    """Copy gold rows per tenant; returns rows scanned and migrated per tenant."""
+    rows = lake.scan(spark, source, "metrics")
+    if tenants is not None:
+        rows = rows.where(F.col("tenant_id").isin(tenants))
+    if not dry_run:
+        lake.write_partitions(rows, target, lake.GOLD_PARTITIONS, ("metric_name", "date"))
+    counts = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("scanned"))
+    return counts.withColumn("migrated", F.col("scanned"))
