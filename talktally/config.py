@@ -109,6 +109,12 @@ class MetricsConfig:
         found = [op for op in self.operators if name_or_sid in op.names]
         return found[-1] if found else None
 
+    def split_once(self) -> tuple[MetricsConfig, MetricsConfig]:
+        """(operators counted on every fire with the custom metrics, those counted once per conversation)."""
+        once = tuple(op for op in self.operators if op.once_per_conversation)
+        rest = tuple(op for op in self.operators if not op.once_per_conversation)
+        return MetricsConfig(rest, self.custom, self.custom_derived), MetricsConfig(once)
+
     def with_metric(self, name: str, operator: str, emit: Callable[[Column], Column]) -> MetricsConfig:
         return MetricsConfig(self.operators, (*self.custom, CustomMetric(name, operator, emit)), self.custom_derived)
 

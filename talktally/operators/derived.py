@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from talktally.functions.values import ratio2
 from talktally.session import config_table
 
 PERIOD = "period"
+ROLES = pa.list_(pa.struct([("derived_name", pa.string()), ("scale", pa.float64()), ("is_numerator", pa.bool_())]))
 
 
 def _roles(df: DataFrame, defs: list[Derived]) -> DataFrame:
@@ -48,6 +50,35 @@ def derive(gold: DataFrame, defs: list[Derived]) -> DataFrame:
     return _finish(_parts(gold, defs).groupBy(*keys).agg(F.sum("num").alias("num"), F.sum("den").alias("den")))
 
 
+def with_derived(raw: DataFrame, defs: list[Derived]) -> DataFrame:
+    """The raw rows and their daily derived rows, with the raw rows computed once.
+
+    Every raw row goes on under its own name and once per definition it feeds;
+    one aggregation then closes both kinds.
+    """
+    feeds: dict[str, list[dict]] = {}
+    for d in defs:
+        for name, is_numerator in ((d.numerator, True), (d.denominator, False)):
+            feeds.setdefault(name, []).append({"derived_name": d.name, "scale": d.scale, "is_numerator": is_numerator})
+    roles = config_table(
+        raw.sparkSession, {"metric_name": list(feeds), "roles": list(feeds.values())}, pa.schema([("metric_name", pa.string()), ("roles", ROLES)])
+    )
+    role = "struct<derived_name:string,scale:double,is_numerator:boolean>"
+    itself = F.array(F.lit(None).cast(role))
+    each = F.explode_outer(F.concat(itself, F.coalesce("roles", F.array().cast(f"array<{role}>"))))
+    rows = raw.join(roles, "metric_name", "left").select("tenant_id", "date", "metric_name", "value", each.alias("r"))
+    name = F.coalesce("r.derived_name", "metric_name").alias("metric_name")
+    sums = rows.groupBy("tenant_id", "date", name).agg(
+        F.sum(F.when(F.col("r").isNull(), F.col("value"))).alias("raw_value"),
+        F.sum(F.when(F.col("r.is_numerator"), F.col("value"))).alias("num"),
+        F.sum(F.when(~F.col("r.is_numerator"), F.col("value"))).alias("den"),
+        F.max("r.scale").alias("scale"),
+    )
+    value = F.coalesce("raw_value", ratio2(F.col("num"), F.col("den"), F.col("scale")))
+    closed = sums.select("tenant_id", "date", "metric_name", value.alias("value"))
+    return closed.where(F.col("value").isNotNull())
+
+
 def derive_period(gold: DataFrame, defs: list[Derived]) -> DataFrame:
     """Derived rows of the whole range: sum first, then divide. `date` is 'period'."""
     keys = ["tenant_id", "derived_name", "scale"]

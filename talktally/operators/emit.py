@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from talktally.config import Metric, MetricsConfig
 from talktally.functions import variants as V
 from talktally.functions.values import normalise, word_count
-from talktally.operators.gates import apply_once, counted, gate, with_day
+from talktally.operators.gates import apply_once, counted, gate, once_names, with_day
 
 INCREMENTS = "array<struct<metric_name:string,inc:double>>"
 KEYS = ("tenant_id", "date", "metric_name")
@@ -121,10 +121,19 @@ def extracted(fires: DataFrame, cfg: MetricsConfig) -> tuple[DataFrame, list[tup
     return fires.withColumns(values).withColumns(tags), plan
 
 
-def with_increments(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
-    """Add `increments` for rows of configured operators (expects `date`)."""
+def operator_count() -> Column:
+    """Increment of `operator_<name>_count`, for every fire."""
+    return _inc(F.concat(F.lit("operator_"), "operator_name", F.lit("_count")))
+
+
+def with_increments(fires: DataFrame, cfg: MetricsConfig, always: list[Column] | None = None) -> DataFrame:
+    """Add `increments` for rows of configured operators (expects `date`).
+
+    `always` are increments every row gets.
+    """
     rows, plan = extracted(fires, cfg)
-    parts = [
+    parts = [F.array(*always)] if always else []
+    parts += [
         F.coalesce(EMITTERS[m.type](F.col(v), F.col(t), m), F.array().cast(INCREMENTS)) for m, v, t in plan
     ]
     for c in cfg.custom:
@@ -137,7 +146,7 @@ def with_increments(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
 
 def expand(df: DataFrame) -> DataFrame:
     """One row per increment."""
-    flat = df.select("tenant_id", "date", F.inline("increments"))
+    flat = df.select("tenant_id", "date", F.inline_outer("increments"))
     return flat.where(F.col("metric_name").isNotNull())
 
 
@@ -209,12 +218,20 @@ def emit_legacy_sentiment(fires: DataFrame, operator: str = "conversation-intell
 
 
 def emit_all(fires: DataFrame, cfg: MetricsConfig, time_col: str = "received_at") -> DataFrame:
-    """Every raw counter of the given fires."""
+    """Every raw counter of the given fires.
+
+    Payloads are read in one pass; operators counted once per conversation are read again,
+    and only theirs. Conversation counts and timings need no payload.
+    """
+    dated = with_day(fires, time_col)
+    once = F.col("operator_name").isin(once_names(cfg)) if once_names(cfg) else F.lit(False)
+    every_fire, first_only = cfg.split_once()
     families = [
-        emit(fires, cfg, time_col),
-        emit_operator_counts(fires, time_col),
+        expand(with_increments(dated, every_fire, [operator_count()])),
         emit_conversation_counts(fires, time_col),
     ]
+    if first_only.operators:
+        families.append(emit(fires.where(once), first_only, time_col))
     if "timing" in fires.columns and "transcript_sid" in fires.columns:
         families.append(emit_timing(fires, time_col=time_col))
     return reduce(DataFrame.unionByName, families)

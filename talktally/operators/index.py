@@ -53,7 +53,7 @@ def operator_index(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
             parts.append(F.coalesce(build(F.col(v), F.col(t), m), F.array().cast(ENTRY)))
     entries = F.concat(*parts) if parts else F.array().cast(ENTRY)
     kept = apply_once(rows.withColumn("entries", entries), cfg, "entries")
-    flat = kept.select("tenant_id", "conversation_id", F.inline("entries"))
+    flat = kept.select("tenant_id", "conversation_id", F.inline_outer("entries"))
     return _dedup(flat.where(F.col("field_name").isNotNull() & F.col("field_value").isNotNull()))
 
 
@@ -71,7 +71,7 @@ def header_index(headers: DataFrame, enrichment_fields: Sequence[str] = ()) -> D
     if not parts:
         parts = [F.lit(None).cast(ENTRY[len("array<") : -1])]
     rows = headers.withColumn("received_at", F.col("updated_at"))
-    flat = rows.select("tenant_id", "conversation_id", F.inline(F.array(*parts)))
+    flat = rows.select("tenant_id", "conversation_id", F.inline_outer(F.array(*parts)))
     return _dedup(flat.where(F.col("field_name").isNotNull()))
 
 

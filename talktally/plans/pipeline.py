@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talktally.config import MetricsConfig, TenantConfig
 from talktally.functions.values import day_stamp
-from talktally.operators.derived import derive
+from talktally.operators.derived import with_derived
 from talktally.operators.emit import emit_all
 from talktally.operators.gold import GOLD_KEYS, diff, rollup
 from talktally.operators.headers import headers, with_enrichment
@@ -50,8 +50,7 @@ def prepared(fires: DataFrame, hook=None) -> DataFrame:
 
 def gold_of(fires: DataFrame, cfg: MetricsConfig, time_col: str = "received_at") -> DataFrame:
     """All raw daily counters and the daily derived rows."""
-    raw = rollup(emit_all(fires, cfg, time_col))
-    return raw.unionByName(derive(raw, cfg.derived()))
+    return with_derived(rollup(emit_all(fires, cfg, time_col)), cfg.derived())
 
 
 def write_silver(

@@ -83,7 +83,7 @@ def detail_rows(results: DataFrame, view: dict) -> DataFrame:
         parts.append((section["title"], found))
     entry = "array<struct<section:string,key:string,value:string>>"
     tagged = [F.coalesce(_titled(title, pairs), F.array().cast(entry)) for title, pairs in parts]
-    return rows.select("tenant_id", "conversation_id", F.inline(F.concat(*tagged)))
+    return rows.select("tenant_id", "conversation_id", F.inline_outer(F.concat(*tagged)))
 
 
 def chart_counts(results: DataFrame, view: dict) -> DataFrame:

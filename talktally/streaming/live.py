@@ -66,7 +66,7 @@ def streamed_increments(fires: DataFrame, cfg: MetricsConfig, delay: str = STATE
         branches.append(counted.where(once).dropDuplicatesWithinWatermark(list(SLOT)))
     columns = ["tenant_id", "date", "received_at"]
     parts = [
-        b.select(*columns, F.inline("increments")).where(F.col("metric_name").isNotNull()) for b in branches
+        b.select(*columns, F.inline_outer("increments")).where(F.col("metric_name").isNotNull()) for b in branches
     ]
     name = F.concat(F.lit("operator_"), "operator_name", F.lit("_count"))
     parts.append(marked.select(*columns, name.alias("metric_name"), F.lit(1.0).alias("inc")))
