@@ -82,30 +82,21 @@ def with_version(raw: DataFrame, tenants: TenantConfig) -> DataFrame:
         {"tenant_id": list(tenants.versions) or [""], "_declared": list(tenants.versions.values()) or [tenants.default]},
     )
     body = F.col("body")
-    flags = raw.join(names, "tenant_id", "left").withColumns(
-        {
-            "_direct": looks_direct(body),
-            "_v2": looks_v2(body),
-            "_v3": looks_v3(body),
-            "_declared": F.coalesce("_declared", F.lit(tenants.default)),
-        }
-    )
-    chosen = (
-        F.when(F.col("_direct"), "direct")
-        .when((F.col("_declared") == "v3") & F.col("_v2"), "v2")
-        .when((F.col("_declared") == "v2") & F.col("_v3"), "v3")
-        .otherwise(F.col("_declared"))
-    )
-    fits = (
-        F.when(F.col("shape") == "direct", F.col("_direct"))
-        .when(F.col("shape") == "v2", F.col("_v2"))
-        .when(F.col("shape") == "v3", F.col("_v3"))
-        .otherwise(False)
+    is_v2, is_v3 = looks_v2(body), looks_v3(body)
+    looks = F.when(looks_direct(body), "direct").when(is_v2 & is_v3, "both").when(is_v2, "v2").when(is_v3, "v3")
+    declared = F.coalesce("_declared", F.lit(tenants.default))
+    # A payload of both shapes contradicts either declaration, and then the other shape wins.
+    shape = (
+        F.when(F.col("_looks") == "both", F.when(declared == "v3", "v2").otherwise("v3"))
+        .otherwise(F.coalesce("_looks", declared))
     )
+    misfit = F.concat(F.lit("payload does not match "), F.col("shape"))
     return (
-        flags.withColumn("shape", chosen)
-        .withColumn("rejected", F.when(~fits, F.concat(F.lit("payload does not match "), F.col("shape"))))
-        .drop("_direct", "_v2", "_v3", "_declared")
+        raw.join(names, "tenant_id", "left")
+        .withColumn("_looks", looks)
+        .withColumn("shape", shape)
+        .withColumn("rejected", F.when(F.col("_looks").isNull(), misfit))
+        .drop("_looks", "_declared")
     )
 
 
@@ -126,8 +117,10 @@ def _first_text(values: Column, keep) -> Column:
 def normalize_v3(docs: DataFrame) -> DataFrame:
     """One row per element of `operatorResults`; none for an empty array."""
     body = F.col("body")
-    rows = docs.select("*", F.explode(V.items(V.field(body, "operatorResults"))).alias("_r"))
+    # Outer, then a filter: a plain explode makes Catalyst evaluate the array once more to pre-filter it.
+    each = docs.select("*", F.explode_outer(V.items(V.field(body, "operatorResults"))).alias("_r"))
     r = F.col("_r")
+    rows = each.where(r.isNotNull())
     details = V.field(r, "executionDetails")
     customer = F.get(
         F.filter(

@@ -4,57 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talktally.functions import variants as V
 from talktally.functions.values import blank_to_null, content_hash
 
 # Layout: <root>/tenant/operator/version/yyyy-MM-dd/conversation-stamp.json
 _LAYOUT = r"([^/]+)/([^/]+)/([^/]+)/(\d{4}-\d{2}-\d{2})/([^/]+)-(\d{14})\.json$"
-RAW_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
 def read_documents(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Whole files below `path` as `body_text, body, source_uri, received_at`.
+    """One row per file below `path`: `body VARIANT, source_uri, tenant_header, received_at`.
 
-    `since` and `until` (days, inclusive) replay a range of the archive: the day is
-    part of the file path, so other files are never opened.
+    The scan itself yields VARIANT, so later predicates never parse the text again. `since` and
+    `until` (days, inclusive) replay a range of the archive by the day in the file path.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return _documents(files, since, until)
+    return _documents(_json_reader(spark.read).json(path), since, until)
 
 
 def stream_documents(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """The same as a stream over files as they arrive."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("wholetext", True).option("recursiveFileLookup", True)
-    return _documents(reader.option("maxFilesPerTrigger", max_files).text(path), None, None)
+    return _documents(_json_reader(spark.readStream).option("maxFilesPerTrigger", max_files).json(path), None, None)
+
+
+def _json_reader(reader):
+    return (
+        reader.option("multiLine", True)
+        .option("recursiveFileLookup", True)
+        .option("singleVariantColumn", "body")
+    )
 
 
 def _documents(files: DataFrame, since: str | None, until: str | None) -> DataFrame:
-    uri = F.col("_metadata.file_path")
+    uri = F.url_decode(F.col("_metadata.file_path"))
     if since is not None or until is not None:
         day = F.regexp_extract(uri, _LAYOUT, 4)
         files = files.where(day.between(since or "0000-00-00", until or "9999-99-99"))
     stamp = F.try_to_timestamp(F.regexp_extract(uri, _LAYOUT, 6), F.lit("yyyyMMddHHmmss"))
-    rows = files.select(
-        F.col("value").alias("body_text"),
-        V.parse(F.col("value")).alias("body"),
-        F.url_decode(uri).alias("source_uri"),
-        blank_to_null(F.regexp_extract(F.url_decode(uri), _LAYOUT, 1)).alias("tenant_header"),
-        stamp.alias("_stamp"),
-        F.col("_metadata.file_modification_time").alias("_written"),
-    )
     own = F.try_to_timestamp(
         F.coalesce(V.text_at(F.col("body"), "_meta.receivedAt"), V.text_at(F.col("body"), "receivedAt"))
     )
-    return rows.withColumn("received_at", F.coalesce(own, "_stamp", "_written")).drop("_stamp", "_written")
+    return files.select(
+        "body",
+        uri.alias("source_uri"),
+        blank_to_null(F.regexp_extract(uri, _LAYOUT, 1)).alias("tenant_header"),
+        F.coalesce(own, stamp, F.col("_metadata.file_modification_time")).alias("received_at"),
+    )
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole file texts, for audits and for looking into quarantined documents."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return files.select(F.col("value").alias("body_text"), F.url_decode(F.col("_metadata.file_path")).alias("source_uri"))
 
 
 def split_unreadable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readable objects, quarantine with a reason)."""
+    """(readable objects, quarantine of addresses with a reason)."""
     readable = F.coalesce(V.is_object(V.tag(F.col("body"))), F.lit(False))
     reason = F.when(F.col("body").isNull(), "not JSON").otherwise("not a JSON object")
-    bad = docs.where(~readable).select("source_uri", "received_at", "body_text", reason.alias("reason"))
+    bad = docs.where(~readable).select("source_uri", "received_at", reason.alias("reason"))
     return docs.where(readable), bad
 
 

@@ -39,7 +39,6 @@ def kafka_documents(spark: SparkSession, servers: str, topic: str, **options: st
     rows = reader.options(**options).load()
     text = F.col("value").cast("string")
     return rows.select(
-        text.alias("body_text"),
         V.parse(text).alias("body"),
         F.concat_ws("/", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("source_uri"),
         F.lit(None).cast("string").alias("tenant_header"),
@@ -153,7 +152,7 @@ def silver_batch(
         spark = docs.sparkSession
         readable, bad = split_unreadable(docs)
         fires, rejected = fires_from_documents(readable, tenants, upstream, default_tenant)
-        refused = rejected.select("source_uri", "received_at", "body_text", F.col("rejected").alias("reason"))
+        refused = rejected.select("source_uri", "received_at", F.col("rejected").alias("reason"))
         bad.unionByName(refused).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
         store_fires(prepared(fires, hook), f"{root}/fires", batch_id)
         stored = f"{root}/fires"
