@@ -51,6 +51,8 @@ def text_at(payload: Column, path: str) -> Column:
 
 
 def tag(value: Column) -> Column:
+    """Type tag. Cheap for scalars; for a container it describes all of its content,
+    so `is_object` and `is_array` do not use it."""
     return F.schema_of_variant(value)
 
 
@@ -66,17 +68,18 @@ def is_string(t: Column) -> Column:
     return t == "STRING"
 
 
-def is_array(t: Column) -> Column:
-    return t.startswith("ARRAY")
+def is_array(value: Column) -> Column:
+    return items(value).isNotNull()
 
 
-def is_object(t: Column) -> Column:
-    return t.startswith("OBJECT")
+def is_object(value: Column) -> Column:
+    """By a cast that looks at the top level only."""
+    return F.try_variant_get(value, "$", "struct<_:variant>").isNotNull()
 
 
-def is_null(t: Column) -> Column:
-    """Missing, or a JSON null."""
-    return t.isNull() | (t == "VOID")
+def is_missing(value: Column) -> Column:
+    """SQL NULL or a JSON null."""
+    return value.isNull() | F.is_variant_null(value)
 
 
 def as_boolean(value: Column) -> Column:
@@ -103,12 +106,10 @@ def number_text(value: Column) -> Column:
 
 def any_text(value: Column) -> Column:
     """Text of any non-null value, for index entries."""
-    t = tag(value)
-    items = F.try_variant_get(value, "$", "array<string>")
     return (
-        F.when(is_number(t), number_text(value))
-        .when(is_array(t), F.array_join(items, ",", ""))
-        .when(is_object(t), F.lit("[object Object]"))
+        F.when(is_array(value), F.array_join(F.try_variant_get(value, "$", "array<string>"), ",", ""))
+        .when(is_object(value), F.lit("[object Object]"))
+        .when(is_number(tag(value)), number_text(value))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )
 
@@ -116,24 +117,23 @@ def any_text(value: Column) -> Column:
 def truthy(value: Column) -> Column:
     """JavaScript truthiness of a variant; false for SQL NULL."""
     t = tag(value)
-    return F.coalesce(
-        F.when(is_null(t), False)
+    return (
+        F.when(is_missing(value), False)
+        .when(is_object(value) | is_array(value), True)
         .when(is_boolean(t), F.try_variant_get(value, "$", "boolean"))
         .when(is_number(t), F.try_variant_get(value, "$", "double") != 0)
-        .when(is_string(t), F.try_variant_get(value, "$", "string") != "")
-        .otherwise(True),
-        F.lit(False),
+        .otherwise(F.try_variant_get(value, "$", "string") != "")
     )
 
 
 def items(value: Column) -> Column:
     """Array items as ARRAY<VARIANT>; null if the value is no array."""
-    return F.when(is_array(tag(value)), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def members(value: Column) -> Column:
     """Object members as MAP<STRING, VARIANT>; null if the value is no object."""
-    return F.when(is_object(tag(value)), F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def to_object(members_map: Column) -> Column:
@@ -158,7 +158,7 @@ def unwrap(operator_type: Column, data: Column) -> Column:
     wrapped = F.create_map(F.lit("results"), chosen)
     rest = F.map_filter(all_members, lambda k, v: ~k.isin(*DROPPED_MEMBERS))
     body = (
-        F.when(use_chosen & is_object(tag(chosen)), members(chosen))
+        F.when(use_chosen & is_object(chosen), members(chosen))
         .when(use_chosen, wrapped)
         .otherwise(rest)
     )
@@ -183,28 +183,23 @@ def display_fields(payload: Column) -> Column:
     """JSON text of the members fit for a list: scalars and up to five strings."""
 
     def fits(key: Column, value: Column) -> Column:
-        t = tag(value)
-        entries = F.try_variant_get(value, "$", "array<variant>")
-        short_strings = (
-            is_array(t) & (F.size(entries) <= 5) & F.forall(entries, lambda e: is_string(tag(e)))
+        t, entries = tag(value), items(value)
+        fine = (
+            F.when(key.startswith("_") | is_missing(value) | is_object(value), False)
+            .when(entries.isNotNull(), (F.size(entries) <= 5) & F.forall(entries, lambda e: is_string(tag(e))))
+            .otherwise(is_string(t) | is_number(t) | is_boolean(t))
         )
-        scalar = is_string(t) | is_number(t) | is_boolean(t)
-        return ~key.startswith("_") & F.coalesce(scalar | short_strings, F.lit(False))
+        return F.coalesce(fine, F.lit(False))
 
     return F.to_json(F.map_filter(members(payload), fits))
 
 
 def wrap_result(output_format: Column, result: Column) -> Column:
     """TEXT becomes `{text}`, an object or array stays, any other value becomes `{value}`."""
-    t = tag(result)
-    text = (
-        F.when(is_null(t), F.lit(""))
-        .when(is_string(t), F.try_variant_get(result, "$", "string"))
-        .otherwise(any_text(result))
-    )
+    text = F.when(is_missing(result), F.lit("")).otherwise(any_text(result))
     return (
         F.when(output_format == "TEXT", F.to_variant_object(F.struct(text.alias("text"))))
-        .when(is_object(t) | is_array(t), result)
+        .when(is_object(result) | is_array(result), result)
         .otherwise(F.to_variant_object(F.struct(result.alias("value"))))
     )
 

@@ -36,9 +36,9 @@ def _has_type(value: Column, name: str) -> Column:
         "number": V.is_number(t),
         "integer": V.is_number(t) & (number == F.floor(number)),
         "boolean": V.is_boolean(t),
-        "array": V.is_array(t),
-        "object": V.is_object(t),
-        "null": t == "VOID",
+        "array": V.is_array(value),
+        "object": V.is_object(value),
+        "null": F.is_variant_null(value),
     }[name]
 
 
@@ -64,7 +64,7 @@ def errors(value: Column, schema: dict, path: Column | None = None) -> Column:
         parts.append(_when(number > float(schema["maximum"]), path, f"must be <= {schema['maximum']}"))
     declared = schema.get("properties", {})
     for name in schema.get("required", []):
-        absent = V.is_object(t) & F.try_variant_get(value, f'$["{name}"]', "variant").isNull()
+        absent = V.is_object(value) & F.try_variant_get(value, f'$["{name}"]', "variant").isNull()
         parts.append(_when(absent, path, f"must have required property '{name}'"))
     for name, sub in declared.items():
         member = F.try_variant_get(value, f'$["{name}"]', "variant")

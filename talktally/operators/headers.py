@@ -133,7 +133,7 @@ def with_enrichment(
     records = enrichment.select("tenant_id", "correlation_type", "correlation_key", F.col("fields").alias("_live"))
     keys = ["tenant_id", "correlation_type", "correlation_key"]
     joined = lookup_join(keyed, records, keys, "left", hot_rows, spread=["conversation_id"])
-    live = F.when(V.is_object(V.tag(F.col("_live"))), F.col("_live"))
+    live = F.when(V.is_object(F.col("_live")), F.col("_live"))
     cached = F.col("enrichment") if "enrichment" in rows.columns else F.lit(None).cast("variant")
     value = F.coalesce(live, cached) if prefer_live else F.coalesce(cached, live)
     return joined.withColumn("enrichment", value).select(*[c for c in rows.columns if c != "enrichment"], "enrichment")

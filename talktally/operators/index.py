@@ -29,7 +29,7 @@ def _entry(name: str, value: Column) -> Column:
 
 def scalar_entries(value: Column, tag: Column, m: Metric) -> Column:
     """Any non-null value is indexed, even one the metric itself would not count."""
-    return F.array(F.when(~V.is_null(tag), _entry(m.field, V.any_text(value))))
+    return F.array(F.when(~V.is_missing(value), _entry(m.field, V.any_text(value))))
 
 
 def category_entries(value: Column, tag: Column, m: Metric) -> Column:
@@ -67,7 +67,7 @@ def header_index(headers: DataFrame, enrichment_fields: Sequence[str] = ()) -> D
         for name in enrichment_fields:
             value = F.try_variant_get("enrichment", f'$["{name}"]', "variant")
             text = V.any_text(value)
-            parts.append(F.when(~V.is_null(V.tag(value)) & (text != ""), _entry(name, text)))
+            parts.append(F.when(~V.is_missing(value) & (text != ""), _entry(name, text)))
     if not parts:
         parts = [F.lit(None).cast(ENTRY[len("array<") : -1])]
     rows = headers.withColumn("received_at", F.col("updated_at"))

@@ -45,12 +45,12 @@ def _is_text(body: Column, name: str) -> Column:
 
 
 def looks_v3(body: Column) -> Column:
-    results, settings = (V.tag(V.field(body, n)) for n in ("operatorResults", "intelligenceConfiguration"))
+    results, settings = (V.field(body, n) for n in ("operatorResults", "intelligenceConfiguration"))
     return (
         _is_text(body, "conversationId")
         & _is_text(body, "accountId")
-        & F.coalesce(V.is_array(results), F.lit(False))
-        & F.coalesce(V.is_object(settings) | V.is_array(settings), F.lit(False))
+        & V.is_array(results)
+        & (V.is_object(settings) | V.is_array(settings))
     )
 
 
@@ -120,40 +120,46 @@ def normalize_v3(docs: DataFrame) -> DataFrame:
     # Outer, then a filter: a plain explode makes Catalyst evaluate the array once more to pre-filter it.
     each = docs.select("*", F.explode_outer(V.items(V.field(body, "operatorResults"))).alias("_r"))
     r = F.col("_r")
-    rows = each.where(r.isNotNull())
-    details = V.field(r, "executionDetails")
-    customer = F.get(
-        F.filter(
-            F.coalesce(V.items(V.field(details, "participants")), F.array().cast("array<variant>")),
-            lambda p: F.coalesce(V.text_at(p, "type") == "CUSTOMER", F.lit(False)),
-        ),
-        F.lit(0),
+    # Parts used more than once are columns of their own, so each is evaluated once per row.
+    parts = each.where(r.isNotNull()).withColumns(
+        {
+            "_details": V.field(r, "executionDetails"),
+            "_format": V.text_at(r, "outputFormat"),
+            "_result": V.field(r, "result"),
+            "_system": V.field(r, "metadata.system"),
+            "_conversation_sid": _first_text(V.field(r, "referenceIds"), lambda x: x.startswith("CH")),
+        }
+    )
+    details = F.col("_details")
+    people = F.filter(V.items(V.field(details, "participants")), lambda p: V.text_at(p, "type") == "CUSTOMER")
+    channel = F.get(V.items(V.field(details, "channels")), F.lit(0))
+    parts = parts.withColumn("_customer", V.field(F.get(people, F.lit(0)), "profileId")).withColumn("_channel", channel)
+    rows = parts.withColumns(
+        {"_customer": V.as_string(F.col("_customer")), "_channel": F.lower(V.as_string(F.col("_channel")))}
     )
-    channel = F.lower(V.as_string(F.get(V.items(V.field(details, "channels")), F.lit(0))))
-    version = F.concat(F.lit("v"), V.any_text(V.field(r, "operator.version")))
     metadata = _object(
-        customerKey=blank_to_null(V.text_at(customer, "profileId")),
-        channel=blank_to_null(channel),
-        conversationSid=_first_text(V.field(r, "referenceIds"), lambda x: x.startswith("CH")),
+        customerKey=blank_to_null(F.col("_customer")),
+        channel=blank_to_null(F.col("_channel")),
+        conversationSid=F.col("_conversation_sid"),
         ruleId=V.field(body, "intelligenceConfiguration.ruleId"),
         intelligenceConfigurationId=V.field(body, "intelligenceConfiguration.id"),
         operatorResultId=V.field(r, "id"),
         operatorId=V.field(r, "operator.id"),
-        outputFormat=V.field(r, "outputFormat"),
+        outputFormat=F.col("_format"),
         executionDetails=details,
-        executionMetadata=F.when(V.truthy(V.field(r, "metadata.system")), V.field(r, "metadata.system")),
+        executionMetadata=F.when(V.truthy(F.col("_system")), F.col("_system")),
     )
     return rows.select(
         "tenant_id",
         V.text_at(body, "conversationId").alias("conversation_id"),
         V.text_at(r, "operator.displayName").alias("operator_name"),
         F.lit(None).cast("string").alias("operator_type"),
-        version.alias("schema_version"),
+        F.concat(F.lit("v"), V.any_text(V.field(r, "operator.version"))).alias("schema_version"),
         "received_at",
         F.try_to_timestamp(V.text_at(r, "dateCreated")).alias("result_at"),
         F.lit("v3").alias("ci_version"),
         allowed_trigger(V.text_at(details, "trigger.on")).alias("trigger"),
-        V.wrap_result(V.text_at(r, "outputFormat"), V.field(r, "result")).alias("data"),
+        V.wrap_result(F.col("_format"), F.col("_result")).alias("data"),
         metadata.alias("metadata"),
         F.lit(None).cast(TIMING_TYPE).alias("timing"),
         F.lit(None).cast("string").alias("transcript_sid"),
@@ -274,7 +280,7 @@ def normalize_direct(docs: DataFrame) -> DataFrame:
         allowed_trigger(V.text_at(body, "trigger")).alias("trigger"),
         F.when(V.truthy(data), data).otherwise(body).alias("data"),
         V.field(body, "metadata").alias("metadata"),
-        F.when(V.is_object(V.tag(timing)), F.try_variant_get(timing, "$", TIMING_TYPE)).alias("timing"),
+        F.try_variant_get(timing, "$", TIMING_TYPE).alias("timing"),
         V.text_at(body, "transcriptSid").alias("transcript_sid"),
         "source_uri",
     )

@@ -94,7 +94,7 @@ def chart_counts(results: DataFrame, view: dict) -> DataFrame:
         if chart["type"] not in ("pie", "bar"):
             continue
         value = V.field(F.col("data"), chart["field"])
-        each = F.when(V.is_array(V.tag(value)), V.items(value)).otherwise(F.array(value))
+        each = F.when(V.is_array(value), V.items(value)).otherwise(F.array(value))
         labels = rows.select("tenant_id", F.lit(chart["title"]).alias("chart"), F.explode_outer(each).alias("_v"))
         parts.append(labels.select("tenant_id", "chart", V.any_text(F.col("_v")).alias("label")).where("label IS NOT NULL"))
     return reduce(DataFrame.unionByName, parts).groupBy("tenant_id", "chart", "label").agg(F.count(F.lit(1)).alias("n"))

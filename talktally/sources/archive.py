@@ -59,7 +59,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def split_unreadable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable objects, quarantine of addresses with a reason)."""
-    readable = F.coalesce(V.is_object(V.tag(F.col("body"))), F.lit(False))
+    readable = V.is_object(F.col("body"))
     reason = F.when(F.col("body").isNull(), "not JSON").otherwise("not a JSON object")
     bad = docs.where(~readable).select("source_uri", "received_at", reason.alias("reason"))
     return docs.where(readable), bad

@@ -24,7 +24,7 @@ def parse_enrichment(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = (
         F.when(body.isNull(), "not JSON")
         .when(key.isNull(), "no callSid or conversationSid")
-        .when(~F.coalesce(V.is_object(V.tag(fields)), F.lit(False)), "fields is not an object")
+        .when(~V.is_object(fields), "fields is not an object")
     )
     rows = posts.withColumn("reason", reason)
     accepted = rows.where(F.col("reason").isNull()).select(
