@@ -263,7 +263,7 @@ DOCUMENT_CONFIG = MetricsConfig(
     SELECT tenant_id, '20240101' AS date, metric_name, sum(inc)::DOUBLE AS value FROM m GROUP BY ALL"""
 )
 def document_metrics(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").join(I.table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = I.spread(I.table(spark, sf_dir, "documents")).join(I.table(spark, sf_dir, "labels"), "doc_id", "left")
     payload = F.struct(
         (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 1).alias("toxic"), "lang", "source", "text"
     )

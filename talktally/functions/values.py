@@ -66,8 +66,8 @@ def day_to_date(day: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for blank text, null for null."""
-    words = F.filter(F.split(text, JS_SPACE + "+"), lambda w: w != "")
-    return F.when(text.isNotNull(), F.size(words).cast("bigint"))
+    word = JS_SPACE.replace("[", "[^", 1) + "+"
+    return F.regexp_count(text, F.lit(word)).cast("bigint")
 
 
 def suffix_int(name: Column, prefix: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from talktally.config import TRIGGERS, TenantConfig
 from talktally.functions import variants as V
 from talktally.functions.values import blank_to_null
+from talktally.operators.staged import evaluated_once
 from talktally.operators.skew import HOT_ROWS, lookup_join
 from talktally.session import config_table
 
@@ -92,8 +93,8 @@ def with_version(raw: DataFrame, tenants: TenantConfig) -> DataFrame:
     )
     misfit = F.concat(F.lit("payload does not match "), F.col("shape"))
     return (
-        raw.join(names, "tenant_id", "left")
-        .withColumn("_looks", looks)
+        evaluated_once(raw, {"body": body, "_looks": looks})
+        .join(names, "tenant_id", "left")
         .withColumn("shape", shape)
         .withColumn("rejected", F.when(F.col("_looks").isNull(), misfit))
         .drop("_looks", "_declared")

@@ -10,6 +10,7 @@ from talktally.functions.values import blank_to_null
 from talktally.operators.headers import correlation
 from talktally.operators.index import ENRICHMENT_DAYS, with_expiry
 from talktally.operators.latest import latest
+from talktally.operators.staged import evaluated_once
 
 KEYS = ["tenant_id", "correlation_type", "correlation_key"]
 
@@ -26,17 +27,18 @@ def parse_enrichment(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(key.isNull(), "no callSid or conversationSid")
         .when(~V.is_object(fields), "fields is not an object")
     )
-    rows = posts.withColumn("reason", reason)
+    read = {
+        "correlation_type": kind,
+        "correlation_key": key,
+        "call_sid": call,
+        "conversation_sid": conversation,
+        "fields": fields,
+        "source": F.coalesce(V.text_at(body, "source"), F.lit("unknown")),
+        "reason": reason,
+    }
+    rows = evaluated_once(posts, read)
     accepted = rows.where(F.col("reason").isNull()).select(
-        "tenant_id",
-        kind.alias("correlation_type"),
-        key.alias("correlation_key"),
-        call.alias("call_sid"),
-        conversation.alias("conversation_sid"),
-        fields.alias("fields"),
-        F.coalesce(V.text_at(body, "source"), F.lit("unknown")).alias("source"),
-        "received_at",
-        "source_uri",
+        "tenant_id", *[c for c in read if c != "reason"], "received_at", "source_uri"
     )
     rejected = rows.where(F.col("reason").isNotNull()).select("tenant_id", "received_at", "source_uri", "reason")
     return with_expiry(accepted, ENRICHMENT_DAYS), rejected
