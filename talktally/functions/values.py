@@ -66,8 +66,14 @@ def day_to_date(day: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for blank text, null for null."""
-    word = JS_SPACE.replace("[", "[^", 1) + "+"
-    return F.regexp_count(text, F.lit(word)).cast("bigint")
+
+    def blank(edge: Column) -> Column:
+        return edge.rlike(JS_SPACE).cast("int")
+
+    # A blank at either end makes one empty piece.
+    pieces = F.size(F.split(text, JS_SPACE + "+"))
+    words = pieces - blank(F.left(text, F.lit(1))) - blank(F.right(text, F.lit(1)))
+    return F.when(text == "", F.lit(0)).when(text.isNotNull(), words).cast("bigint")
 
 
 def suffix_int(name: Column, prefix: str) -> Column:
