@@ -36,6 +36,7 @@ HEADLINE = (
     "metrics_endpoint",
     "q_top_customers",
     "q_heatmap_week",
+    "normalize_direct_documents",
     "stream_dedup_counts",
 )
 RUNS = 3

@@ -62,4 +62,4 @@ def stream_silver_gold(spark, sf_dir):
     # Two results of a conversation in one second are one stored result, so operators get their own version per event.
     rows = event_stream(spark, sf_dir).withColumn("schema_version", F.col("source_uri"))
     live.start_silver(rows, run, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/metrics").select("tenant_id", "date", "metric_name", "value").withColumn("date", F.col("date").cast("string"))
+    return spark.read.parquet(f"{root}/metrics").select("tenant_id", "date", "metric_name", "value")

@@ -28,6 +28,7 @@ from talktally.functions.values import second_stamp
 from talktally.plans.pipeline import Upstream, fires_from_documents, prepared, recompute, touched_days
 from talktally.sources.archive import split_unreadable
 from talktally.sources.lake import exists, write_partitions
+from talktally.session import prepare
 
 STATE_DELAY = "7 days"
 FIRE_PARTITIONS = ("tenant_id", "date", "batch_id")
@@ -127,7 +128,7 @@ def store_fires(fires: DataFrame, path: str, batch_id: int) -> None:
 
 def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
     """Stored fires without redelivered copies, restricted to the given days."""
-    rows = spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+    rows = prepare(spark).read.parquet(path)
     if days is not None:
         rows = rows.join(days, ["tenant_id", "date"], "left_semi")
     stamped = rows.withColumn("stamp", second_stamp(F.col("received_at")))
@@ -158,7 +159,7 @@ def silver_batch(
         stored = f"{root}/fires"
         if not exists(spark, stored):
             return
-        batch = spark.read.parquet(stored).where(F.col("batch_id").cast("string") == str(batch_id))
+        batch = prepare(spark).read.parquet(stored).where(F.col("batch_id") == str(batch_id))
         days = touched_days(batch)
         recompute(read_fires(spark, stored, days), days, cfg, f"{root}/metrics")
 
