@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from talktally.config import MetricsConfig, TenantConfig
-from talktally.functions.values import day_stamp
+from talktally.functions.values import day_stamp, second_stamp
 from talktally.operators.derived import with_derived
 from talktally.operators.emit import emit_all
 from talktally.operators.gold import GOLD_KEYS, diff, rollup
 from talktally.operators.headers import headers, with_enrichment
 from talktally.operators.index import build_index
 from talktally.operators.normalize import normalize_direct, normalize_v2, normalize_v3, split_shapes, union_fires
-from talktally.operators.results import apply_hook, as_fires, operator_results, unwrapped
+from talktally.operators.gates import with_day
+from talktally.operators.latest import one_per_key
+from talktally.operators.results import RESULT_KEY, apply_hook, as_fires, operator_results, unwrapped
+from talktally.session import prepare
 from talktally.sources import lake
 
+FIRE_PARTITIONS = ("tenant_id", "date", "batch_id")
+
 
 @dataclass(frozen=True)
 class Upstream:
@@ -59,11 +64,13 @@ def write_silver(
     cfg: MetricsConfig,
     enrichment: DataFrame | None = None,
     enrichment_fields: tuple[str, ...] = (),
+    run: str = "batch",
 ) -> Observation:
-    """Write conversations, results and index of the given fires.
+    """Write fires, conversations, results and index of the given fires.
 
-    Returns the number of results written, counted while writing.
+    The same `run` again replaces its own fires. Returns the number of results written, counted while writing.
     """
+    store_fires(fires, f"{root}/fires", run)
     heads = headers(fires)
     if enrichment is not None:
         heads = with_enrichment(heads, enrichment)
@@ -85,8 +92,8 @@ def stored_fires(
 ) -> DataFrame:
     """Stored operator results of a range, in fire shape.
 
-    Parquet keeps no trigger; a missing one passes every gate, as for results of
-    the transcript form.
+    The curated table keeps no trigger and a missing one passes every gate, so counters
+    are rebuilt from the fires themselves; this is for looking into results.
     """
     rows = as_fires(lake.scan_results(spark, path, tenant, start, end))
     if operator is not None:
@@ -94,6 +101,22 @@ def stored_fires(
     return rows if "trigger" in rows.columns else rows.withColumn("trigger", F.lit(None).cast("string"))
 
 
+def store_fires(fires: DataFrame, path: str, batch_id: int | str) -> None:
+    """Store the fires of a run or micro-batch; the same one again replaces its own partitions."""
+    rows = with_day(fires).withColumn("batch_id", F.lit(str(batch_id)))
+    lake.write_partitions(rows, path, FIRE_PARTITIONS)
+
+
+def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
+    """Stored fires without redelivered copies, restricted to the given days."""
+    rows = prepare(spark).read.parquet(path)
+    if days is not None:
+        rows = rows.join(days, ["tenant_id", "date"], "left_semi")
+    stamped = rows.withColumn("stamp", second_stamp(F.col("received_at")))
+    order = [F.col("received_at").desc(), F.col("source_uri").desc(), F.col("batch_id").desc()]
+    return one_per_key(stamped, RESULT_KEY, order).drop("stamp", "batch_id", "date")
+
+
 def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str, dry_run: bool = False) -> DataFrame | None:
     """Rebuild the counters of `days` from the fires and replace them.
 
@@ -116,7 +139,7 @@ def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str,
 
 def backfill(
     spark: SparkSession,
-    results_path: str,
+    fires_path: str,
     gold_path: str,
     cfg: MetricsConfig,
     tenant: str,
@@ -124,9 +147,10 @@ def backfill(
     end: date,
     dry_run: bool = False,
 ) -> DataFrame | None:
-    """The ordinary gold job over a tenant's day range."""
-    fires = stored_fires(spark, results_path, tenant, start, end)
-    return recompute(fires, touched_days(fires), cfg, gold_path, dry_run)
+    """The ordinary gold job over a tenant's day range of stored fires."""
+    rows = prepare(spark).read.parquet(fires_path).where(F.col("tenant_id") == tenant)
+    days = rows.where(F.col("date").between(f"{start:%Y%m%d}", f"{end:%Y%m%d}")).select("tenant_id", "date").distinct()
+    return recompute(read_fires(spark, fires_path, days), days, cfg, gold_path, dry_run)
 
 
 def copy_metrics(

@@ -22,16 +22,21 @@ from talktally.functions import variants as V
 from talktally.operators.emit import KEYS, with_increments
 from talktally.operators.gates import SLOT, gate, once_names, with_day
 from talktally.operators.headers import promoted, with_enrichment
-from talktally.operators.latest import latest, one_per_key
-from talktally.operators.results import RESULT_KEY
-from talktally.functions.values import second_stamp
-from talktally.plans.pipeline import Upstream, fires_from_documents, prepared, recompute, touched_days
+from talktally.operators.latest import latest
+from talktally.plans.pipeline import (
+    Upstream,
+    fires_from_documents,
+    prepared,
+    read_fires,
+    recompute,
+    store_fires,
+    touched_days,
+)
 from talktally.sources.archive import split_unreadable
-from talktally.sources.lake import exists, write_partitions
+from talktally.sources.lake import exists
 from talktally.session import prepare
 
 STATE_DELAY = "7 days"
-FIRE_PARTITIONS = ("tenant_id", "date", "batch_id")
 
 
 def kafka_documents(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -120,22 +125,6 @@ def enriched_stream(fires: DataFrame, enrichment: DataFrame) -> DataFrame:
     return with_enrichment(keyed, enrichment, hot_rows=None)
 
 
-def store_fires(fires: DataFrame, path: str, batch_id: int) -> None:
-    """Store a micro-batch; the same batch again replaces its own partitions."""
-    rows = with_day(fires).withColumn("batch_id", F.lit(str(batch_id)))
-    write_partitions(rows, path, FIRE_PARTITIONS)
-
-
-def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
-    """Stored fires without redelivered copies, restricted to the given days."""
-    rows = prepare(spark).read.parquet(path)
-    if days is not None:
-        rows = rows.join(days, ["tenant_id", "date"], "left_semi")
-    stamped = rows.withColumn("stamp", second_stamp(F.col("received_at")))
-    order = [F.col("received_at").desc(), F.col("source_uri").desc(), F.col("batch_id").desc()]
-    return one_per_key(stamped, RESULT_KEY, order).drop("stamp", "batch_id", "date")
-
-
 def silver_batch(
     cfg: MetricsConfig,
     tenants: TenantConfig,

@@ -80,13 +80,23 @@ def test_silver_tables_and_backfill(spark, tmp_path):
     assert [r.conversation_id for r in pruned.collect()] == ["c1"]
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    pipeline.backfill(spark, f"{root}/operator_results", f"{root}/metrics", CFG, "t", date(2026, 1, 1), date(2026, 1, 31))
+    again = pipeline.stored_fires(spark, f"{root}/operator_results", "t", operator="test")
+    assert as_dict(again, "conversation_id", "source_uri") == {"c1": "u1", "c2": "u1"}
+    pipeline.backfill(spark, f"{root}/fires", f"{root}/metrics", CFG, "t", date(2026, 1, 1), date(2026, 1, 31))
     assert ("t", "20260131", "ok_total", 1.0) in stored(spark, f"{root}/metrics")
     assert not [r for r in stored(spark, f"{root}/metrics") if r[0] == "u"]
     counts = pipeline.copy_metrics(spark, f"{root}/metrics", f"{root}/copy", ["t"])
     assert counts.first().migrated == len(stored(spark, f"{root}/copy"))
 
 
+def test_backfill_keeps_the_trigger_gate(spark, tmp_path):
+    cfg = MetricsConfig((Operator("test", "T", (Metric("boolean", "ok", "ok", "OK"),), triggers=("CONVERSATION_END",)),))
+    rows = fires(spark, fire({"ok": True}, trigger="CONVERSATION_END"), fire({"ok": True}, trigger="COMMUNICATION", conversation="c2"))
+    pipeline.write_silver(apply_hook(rows), str(tmp_path), cfg)
+    pipeline.backfill(spark, f"{tmp_path}/fires", f"{tmp_path}/metrics", cfg, "t", date(2026, 1, 27), date(2026, 1, 27))
+    assert ("t", "20260127", "ok_total", 1.0) in stored(spark, f"{tmp_path}/metrics")
+
+
 def test_catalog_table(spark, tmp_path):
     path = str(tmp_path / "m")
     lake.write_metrics(gold(spark, ("20260127", "a", 1)), path)
