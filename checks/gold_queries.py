@@ -11,7 +11,7 @@ from talktally.config import MetricsConfig, Metric, Operator
 from talktally.functions import variants as V
 from talktally.operators import derived, emit, gold, naming, timing
 from talktally.operators.gates import first_fire, gate, with_day
-from talktally.plans import pipeline
+from talktally.plans import jobs
 
 ROW = "tenant_id, date, metric_name, value"
 
@@ -72,7 +72,7 @@ def gold_operator_count(spark, sf_dir):
 
 @query(f"WITH {I.FIRES_SQL} SELECT {ROW} FROM g UNION ALL SELECT {ROW} FROM daily")
 def gold_all(spark, sf_dir):
-    return pipeline.gold_of(I.fires(spark, sf_dir), I.config())
+    return jobs.gold_of(I.fires(spark, sf_dir), I.config())
 
 
 @query(
@@ -171,7 +171,7 @@ CASE
     SELECT metric_name, {LABEL_SQL} AS display_name FROM names"""
 )
 def display_names(spark, sf_dir):
-    names = pipeline.gold_of(I.fires(spark, sf_dir), I.config()).select("metric_name").distinct()
+    names = jobs.gold_of(I.fires(spark, sf_dir), I.config()).select("metric_name").distinct()
     return naming.with_display_names(names, I.config())
 
 

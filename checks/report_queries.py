@@ -13,7 +13,7 @@ from talktally.functions import variants as V
 from talktally.operators import emit, gold
 from talktally.operators.derived import derive_all
 from talktally.operators.results import apply_hook, operator_results
-from talktally.plans import pipeline, reports
+from talktally.plans import jobs, reports
 from talktally.session import scratch_path
 from talktally.sources import lake
 
@@ -33,7 +33,7 @@ def _family(spark, sf_dir, *operators: str, counts: bool = False):
     if counts:
         increments = increments.unionByName(emit.emit_conversation_counts(fires))
     raw = gold.rollup(increments)
-    return pipeline.with_derived(raw, cfg.derived())
+    return jobs.with_derived(raw, cfg.derived())
 
 
 def _counts(spark, sf_dir):
@@ -42,7 +42,7 @@ def _counts(spark, sf_dir):
 
 @query(f"{SHOWN} SELECT metric_name, value FROM shown WHERE tenant_id = 't1' AND date = '20240105'")
 def q_metrics_day(spark, sf_dir):
-    rows = pipeline.gold_of(I.fires(spark, sf_dir), I.config())
+    rows = jobs.gold_of(I.fires(spark, sf_dir), I.config())
     return reports.metrics_of_day(rows, "t1", date(2024, 1, 5))
 
 

@@ -11,7 +11,7 @@ from checks.base import query
 from checks.silver_queries import stamp, stamp_sql
 from talktally.functions import variants as V
 from talktally.operators.index import by_index, operator_index
-from talktally.plans import pipeline, serve, views
+from talktally.plans import jobs, serve, views
 from talktally.sources.enrichment import latest_enrichment, parse_enrichment
 
 JANUARY = (date(2024, 1, 5), date(2024, 1, 14))
@@ -34,7 +34,7 @@ def metrics_sql(select: str, more: str = "") -> str:
     )
 )
 def metrics_endpoint(spark, sf_dir):
-    gold = pipeline.gold_of(I.fires(spark, sf_dir), I.config())
+    gold = jobs.gold_of(I.fires(spark, sf_dir), I.config())
     return serve.metrics(gold, I.config(), "t1", *JANUARY).drop("display_name")
 
 
@@ -47,7 +47,7 @@ def metrics_endpoint(spark, sf_dir):
     )
 )
 def metrics_endpoint_derived(spark, sf_dir):
-    gold = pipeline.gold_of(I.fires(spark, sf_dir), I.config())
+    gold = jobs.gold_of(I.fires(spark, sf_dir), I.config())
     rows = serve.metrics(gold, I.config(), "t1", *JANUARY, metric="score_avg")
     return rows.drop("period_from", "period_to")
 

@@ -23,7 +23,7 @@ from talktally.operators.emit import KEYS, with_increments
 from talktally.operators.gates import SLOT, gate, once_names, with_day
 from talktally.operators.headers import promoted, with_enrichment
 from talktally.operators.latest import latest
-from talktally.plans.pipeline import (
+from talktally.plans.jobs import (
     Upstream,
     fires_from_documents,
     prepared,

@@ -14,7 +14,7 @@ from talktally.operators.gold import rollup
 from talktally.operators.emit import emit_all
 from talktally.operators.headers import headers
 from talktally.operators.results import apply_hook, operator_results
-from talktally.plans import pipeline
+from talktally.plans import jobs
 from talktally.sources import archive, lake
 from talktally.streaming import live
 
@@ -51,17 +51,17 @@ def test_replacing_a_day_keeps_the_month(spark, tmp_path):
 def test_recompute_twice_changes_nothing_and_dry_run_shows_it(spark, tmp_path):
     path = str(tmp_path / "m")
     rows = fires(spark, fire({"ok": True, "n": 0.1}), fire({"ok": False, "n": 0.2}, conversation="c2"), fire({"ok": True}, at=DAY + timedelta(days=1)))
-    days = pipeline.touched_days(rows)
-    plan = pipeline.recompute(rows, days, CFG, path, dry_run=True)
+    days = jobs.touched_days(rows)
+    plan = jobs.recompute(rows, days, CFG, path, dry_run=True)
     assert {r.change for r in plan.collect()} == {"added"}
-    pipeline.recompute(rows, days, CFG, path)
+    jobs.recompute(rows, days, CFG, path)
     first = stored(spark, path)
     assert ("t", "20260127", "ok_rate_percent", 50.0) in first and ("t", "20260127", "n_sum", 0.3) in first
-    pipeline.recompute(rows, days, CFG, path)
+    jobs.recompute(rows, days, CFG, path)
     assert stored(spark, path) == first
-    assert pipeline.recompute(rows, days, CFG, path, dry_run=True).count() == 0
+    assert jobs.recompute(rows, days, CFG, path, dry_run=True).count() == 0
     more = rows.unionByName(fires(spark, fire({"ok": True}, conversation="c3")))
-    changed = as_dict(pipeline.recompute(more, days.where("date = '20260127'"), CFG, path, dry_run=True), "metric_name", "change")
+    changed = as_dict(jobs.recompute(more, days.where("date = '20260127'"), CFG, path, dry_run=True), "metric_name", "change")
     assert changed["ok_total"] == "changed" and "n_sum" not in changed
 
 
@@ -71,7 +71,7 @@ def test_silver_tables_and_backfill(spark, tmp_path):
         spark, fire({"ok": True, "text": "x"}, metadata={"customerKey": "k", "channel": {"type": "voice"}}),
         fire({"ok": False}, at=DAY + timedelta(days=4), conversation="c2"), fire({"ok": True}, tenant="u"),
     )
-    written = pipeline.write_silver(apply_hook(rows), root, CFG)
+    written = jobs.write_silver(apply_hook(rows), root, CFG)
     assert written.get["rows"] == 3
     heads = lake.scan(spark, f"{root}/conversations", "conversations")
     assert [f.name for f in heads.schema] == [f.name for f in lake.CONVERSATIONS]
@@ -80,20 +80,20 @@ def test_silver_tables_and_backfill(spark, tmp_path):
     assert [r.conversation_id for r in pruned.collect()] == ["c1"]
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    again = pipeline.stored_fires(spark, f"{root}/operator_results", "t", operator="test")
+    again = jobs.stored_fires(spark, f"{root}/operator_results", "t", operator="test")
     assert as_dict(again, "conversation_id", "source_uri") == {"c1": "u1", "c2": "u1"}
-    pipeline.backfill(spark, f"{root}/fires", f"{root}/metrics", CFG, "t", date(2026, 1, 1), date(2026, 1, 31))
+    jobs.backfill(spark, f"{root}/fires", f"{root}/metrics", CFG, "t", date(2026, 1, 1), date(2026, 1, 31))
     assert ("t", "20260131", "ok_total", 1.0) in stored(spark, f"{root}/metrics")
     assert not [r for r in stored(spark, f"{root}/metrics") if r[0] == "u"]
-    counts = pipeline.copy_metrics(spark, f"{root}/metrics", f"{root}/copy", ["t"])
+    counts = jobs.copy_metrics(spark, f"{root}/metrics", f"{root}/copy", ["t"])
     assert counts.first().migrated == len(stored(spark, f"{root}/copy"))
 
 
 def test_backfill_keeps_the_trigger_gate(spark, tmp_path):
     cfg = MetricsConfig((Operator("test", "T", (Metric("boolean", "ok", "ok", "OK"),), triggers=("CONVERSATION_END",)),))
     rows = fires(spark, fire({"ok": True}, trigger="CONVERSATION_END"), fire({"ok": True}, trigger="COMMUNICATION", conversation="c2"))
-    pipeline.write_silver(apply_hook(rows), str(tmp_path), cfg)
-    pipeline.backfill(spark, f"{tmp_path}/fires", f"{tmp_path}/metrics", cfg, "t", date(2026, 1, 27), date(2026, 1, 27))
+    jobs.write_silver(apply_hook(rows), str(tmp_path), cfg)
+    jobs.backfill(spark, f"{tmp_path}/fires", f"{tmp_path}/metrics", cfg, "t", date(2026, 1, 27), date(2026, 1, 27))
     assert ("t", "20260127", "ok_total", 1.0) in stored(spark, f"{tmp_path}/metrics")
 
 
@@ -135,7 +135,7 @@ def test_archive_read_replay_and_quarantine(spark, tmp_path):
     docs = archive.read_documents(spark, str(tmp_path))
     good, bad = archive.split_unreadable(docs)
     assert sorted(r.reason for r in bad.collect()) == ["not JSON", "not a JSON object"]
-    found, rejected = pipeline.fires_from_documents(good, TENANTS)
+    found, rejected = jobs.fires_from_documents(good, TENANTS)
     times = as_dict(found, "conversation_id", "received_at")
     assert times == {"c1": datetime(2026, 1, 27, 12), "c2": datetime(2026, 1, 28, 12)} and rejected.count() == 0
     assert {r.tenant_id for r in found.collect()} == {"t"}
@@ -148,7 +148,7 @@ def test_archive_read_replay_and_quarantine(spark, tmp_path):
 def test_append_and_read_lines(spark, tmp_path):
     rows = fires(spark, fire({"ok": True, "n": 2}, metadata={"agentId": "a"}))
     archive.append_archive(rows, str(tmp_path / "a"))
-    back, _ = pipeline.fires_from_documents(archive.read_lines(spark, str(tmp_path / "a")), TENANTS)
+    back, _ = jobs.fires_from_documents(archive.read_lines(spark, str(tmp_path / "a")), TENANTS)
     row = back.withColumn("d", F.to_json("data")).first()
     assert (row.tenant_id, row.conversation_id, row.received_at, json.loads(row.d)) == ("t", "c1", DAY, {"ok": True, "n": 2})
 
@@ -165,8 +165,8 @@ def test_stream_to_silver_and_gold(spark, tmp_path):
     write_document(source, "t/test/v1/2026-01-27/bad-20260127120009.json", "{nope")
     write_document(source, "t/test/v1/2026-01-27/odd-20260127120008.json", {"x": 1})
     run_stream(spark, str(source), root)
-    batch, _ = pipeline.fires_from_documents(archive.split_unreadable(archive.read_documents(spark, str(source)))[0], TENANTS)
-    expected = sorted((r.tenant_id, r.date, r.metric_name, r.value) for r in pipeline.gold_of(pipeline.prepared(batch), CFG).collect())
+    batch, _ = jobs.fires_from_documents(archive.split_unreadable(archive.read_documents(spark, str(source)))[0], TENANTS)
+    expected = sorted((r.tenant_id, r.date, r.metric_name, r.value) for r in jobs.gold_of(jobs.prepared(batch), CFG).collect())
     assert stored(spark, f"{root}/metrics") == expected
     reasons = {r.reason for r in spark.read.parquet(f"{root}/quarantine").collect()}
     assert reasons == {"not JSON", "payload does not match v2"}

@@ -11,7 +11,7 @@ from talktally.operators import emit
 from talktally.operators.derived import derive, derive_all, derive_period, with_derived
 from talktally.operators.gold import diff, rollup
 from talktally.operators.naming import with_display_names
-from talktally.plans import pipeline, serve
+from talktally.plans import jobs, serve
 
 CONFIG = """{"version": "1.0", "operators": [{"operatorName": "test", "operatorSid": "LY1", "displayName": "Test", "metrics": [
   {"field": "passed", "type": "boolean", "metricPrefix": "test_passed", "displayName": "Passed"},
@@ -168,7 +168,7 @@ def test_shared_prefix_is_derived_once(spark):
     enum = Metric("enum", "s", "shared", "Shared", values=("YES",))
     cfg = MetricsConfig((Operator("a", "A", (enum,)), Operator("b", "B", (enum,))))
     rows = [fire({"s": "YES"}, operator="a"), fire({"s": "YES"}, operator="b")]
-    got = pipeline.gold_of(fires(spark, *rows), cfg)
+    got = jobs.gold_of(fires(spark, *rows), cfg)
     values = [(r.metric_name, r.value) for r in got.collect() if r.metric_name.startswith("shared")]
     assert sorted(values) == [("shared_total", 2), ("shared_yes", 2), ("shared_yes_rate_percent", 100)]
 
@@ -181,7 +181,7 @@ def test_rate_denominator_defaults_to_total():
 
 def test_custom_metric_and_derived(spark):
     cfg = MetricsConfig().with_metric("big", "test", lambda d: F.try_variant_get(d, "$.n", "double")).with_derived("big_each", "big", "conversation_count")
-    got = pipeline.gold_of(fires(spark, fire({"n": 5}), fire({"n": 2}, conversation="c2"), fire({})), cfg)
+    got = jobs.gold_of(fires(spark, fire({"n": 5}), fire({"n": 2}, conversation="c2"), fire({})), cfg)
     values = as_dict(got, "metric_name", "value")
     assert values["big"] == 7 and values["big_each"] == 3.5
 
