@@ -7,6 +7,7 @@ same result. Columns an operator does not name are never read, so they may have
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, fields: str) -> DataFrame:
+    """`df.mapInArrow`, with this package on the path of Python workers that share the driver's disk."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(run, fields)
+
+
 def word_array(text: str | Column) -> Column:
     """The words of a text; of null, none."""
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), GAP), "")

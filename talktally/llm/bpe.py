@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talktally.llm.base import chunks, query, table
+from talktally.llm.base import chunks, map_arrow, query, table
 
 # Fixed values of the word-end tokenizer: contraction endings, letters, single digits, and the rest.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             )
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids}` array<int>"])
-    return kept.mapInArrow(run, fields)
+    return map_arrow(kept, run, fields)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -246,7 +246,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{text}` string"])
-    return kept.mapInArrow(run, fields)
+    return map_arrow(kept, run, fields)
 
 
 def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
