@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from talktally.llm import bpe, minhash, mixing  # noqa: F401 - registers on import
+from talktally.llm import bpe, minhash, mixing, toxicity  # noqa: F401 - registers on import
 from talktally.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
