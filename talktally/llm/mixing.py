@@ -57,6 +57,27 @@ def targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     )
 
 
+def thresholds(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """Per source: source_size, target, whole (how often all is taken) and the threshold for once more."""
+    plan = targets(sizes, weights, most)
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = plan.withColumn("whole", full).withColumn(
+        "rest", F.when(F.col("whole") >= most, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
+    )
+    cut = plan.select("source", "source_size", "target", "whole", "rest", F.lit(0).cast("long").alias("prefix"))
+    for level in range(LEVELS):
+        cut = stored(_refined(sizes, cut, level), "mix-cut")
+    nearer = (F.col("rest") > 0) & (F.col("bucket_size") - F.col("rest") < F.col("rest"))
+    last = F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix"))
+    return cut.select("source", "source_size", "target", "whole", last.alias("threshold"))
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return stored(
+        docs.select("doc_id", "source", word_count("text").alias("size"), place("doc_id").alias("place")), "mix-sizes"
+    )
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, taken.
 
@@ -66,21 +87,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
     id, and those without one, share a place and are taken together; a source without words takes nothing;
     an empty table gives no rows.
     """
-    sizes = stored(
-        docs.select("doc_id", "source", word_count("text").alias("size"), place("doc_id").alias("place")), "mix-sizes"
-    )
-    plan = targets(sizes, weights, most)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("whole", full).withColumn(
-        "rest", F.when(F.col("whole") >= most, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    cut = plan.select("source", "source_size", "target", "whole", "rest", F.lit(0).cast("long").alias("prefix"))
-    for level in range(LEVELS):
-        cut = stored(_refined(sizes, cut, level), "mix-cut")
-    threshold = F.when(
-        (F.col("rest") > 0) & (F.col("bucket_size") - F.col("rest") < F.col("rest")), F.col("prefix") + 1
-    ).otherwise(F.col("prefix"))
-    cut = cut.select(F.col("source").alias("_source"), "source_size", "target", "whole", threshold.alias("threshold"))
+    sizes = sizes_of(docs)
+    cut = thresholds(sizes, weights, most).withColumnRenamed("source", "_source")
     joined = sizes.join(cut, F.col("source").eqNullSafe(F.col("_source")))
     copies = F.col("whole") + (F.col("place") < F.col("threshold")).cast("long")
     return joined.select(
@@ -88,6 +96,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
     )
 
 
+def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it is taken."""
+    cut = thresholds(sizes_of(docs), weights, most)
+    cut = cut.select(F.col("source").alias("_source"), "whole", "threshold").select(F.struct("*").alias("_cut"))
+    joined = docs.join(cut, F.col("source").eqNullSafe(F.col("_cut._source")))
+    copies = (F.col("_cut.whole") + (place("doc_id") < F.col("_cut.threshold")).cast("long")).cast("int")
+    repeated = joined.withColumn("_turn", F.explode_outer(F.array_repeat(F.lit(1), copies))).where("_turn = 1")
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _refined(sizes: DataFrame, cut: DataFrame, level: int) -> DataFrame:
     """Extend each source's prefix by the bucket in which its rest runs out; the rest loses what lies before."""
     above, here = PLACE_BITS - BITS * level, PLACE_BITS - BITS * (level + 1)
