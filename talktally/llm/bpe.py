@@ -14,12 +14,14 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talktally.llm.base import chunks, map_arrow, query, table
@@ -32,7 +34,7 @@ WHITE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 END = "</w>"
 LAST = 0x10000  # added to the last character of a word, so that it is a symbol of its own
 MARKS = ".,;:!?"
-CACHED = 500_000  # encoded tokens a worker keeps between blocks
+CACHED = 250_000  # encoded tokens a worker keeps between blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = "/opt/tokenizers") -> str:
@@ -69,9 +71,10 @@ class Vocabulary:
             self.left[i], self.right[i] = self.spine(i, 0), self.spine(i, 1)
         # Tokens that encoding their own letters gives, by their symbols.
         self.ids = {s: i for s, i in ids.items() if len(s) == 1 or i in parts and self.stands(*parts[i], self.rank[parts[i]])}
-        self.tails = {s[k:] for s in self.ids for k in range(len(s))}
+        # Every end of a token: its id if it is a token itself, else -1.
+        self.tails = dict.fromkeys((s[k:] for s in self.ids for k in range(len(s))), -1) | self.ids
         self.known: dict[int, bool] = {}
-        self.letters = byte_letters()
+        self.letters, self.table = byte_letters(), None
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     @staticmethod
@@ -107,24 +110,31 @@ class Vocabulary:
             else:
                 j += 1
 
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of rows of ids: the tokens' names with a space between."""
+        if self.table is None:
+            self.table = pa.array([self.names.get(i, "") for i in range(max(self.names) + 1)])
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.table.take(pa.array(ids))), " ")
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of distinct words, given as symbols."""
-        ids, tails, known = self.ids, self.tails, self.known
-        if len(known) > 1_000_000:
+        tails, known = self.tails, self.known
+        if len(known) > 200_000:
             known.clear()
         out, path = {}, ""
         last, length = [0], [0]  # of the prefix of each length on the current path
         for word in sorted(words):
-            shared = len(os.path.commonprefix((path, word)))
+            size, shared, most = len(word), 0, min(len(word), len(path))
+            while shared < most and word[shared] == path[shared]:
+                shared += 1
             del last[shared + 1 :], length[shared + 1 :]
-            for n in range(shared + 1, len(word) + 1):
+            for n in range(shared + 1, size + 1):
                 k = n - 1
                 while True:
-                    tail = word[k:n]
-                    if tail not in tails:
+                    token = tails.get(word[k:n])
+                    if token is None:
                         raise ValueError(f"no token ends {word[:n]!r}")
-                    token = ids.get(tail)
-                    if token is not None:
+                    if token >= 0:
                         if k == 0:
                             break
                         pair = last[k] << 20 | token
@@ -172,15 +182,16 @@ class Vocabulary:
         """Ids, as four bytes each, of distinct stretches without white space."""
         cut = {s: self.pieces(s) for s in stretches}
         words = self.encode_words({p for pieces in cut.values() for p in pieces if isinstance(p, str)})
-        packed = {w: np.array(t, "<i4").tobytes() for w, t in words.items()}
+        packed = {w: array("i", t).tobytes() for w, t in words.items()}
         packed |= {i: np.array([i], "<i4").tobytes() for i in self.special.values()}
-        return {s: b"".join([packed[p] for p in pieces]) for s, pieces in cut.items()}
+        return {s: packed[pieces[0]] if len(pieces) == 1 else b"".join([packed[p] for p in pieces]) for s, pieces in cut.items()}
 
 
 def split_white(text: str) -> list[str]:
     return [x for x in WHITE.split(text) if x] if CONTROLS.search(text) else text.split()
 
 
+_sent: dict = {}
 _loaded: dict[int, tuple[Vocabulary, dict[str, bytes]]] = {}
 
 
@@ -193,23 +204,31 @@ def _worker_state(shared) -> tuple[Vocabulary, dict[str, bytes]]:
     return _loaded[key]
 
 
-def _read(path: str) -> str:
-    with open(path, encoding="utf-8") as file:
-        return file.read()
+def _broadcast(spark: SparkSession, path: str | None):
+    """One broadcast of a file per session, so that its workers build its vocabulary once."""
+    key = (spark.sparkContext.applicationId, path or tokenizer_path())
+    if key not in _sent:
+        with open(key[1], encoding="utf-8") as file:
+            _sent[key] = spark.sparkContext.broadcast(file.read())
+    return _sent[key]
+
+
+def _fields(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The columns of `docs` and their texts' token ids (array<int>).
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The columns of `docs` and their texts' token ids (array<int>); with `decoded`, also what these decode to.
 
     Null and empty texts, and those of white space only, have no ids. A long text is one row like any other;
-    repeated rows are encoded each. A column already named like `ids` is replaced.
+    repeated rows are encoded each. A column already named like a new one is replaced.
     """
-    kept = docs.drop(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(_read(path or tokenizer_path()))
+    kept = docs.drop(ids, *filter(None, [decoded]))
+    shared = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, cache = _worker_state(shared)
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, 2 << 20):
             split = [split_white(t or "") for t in batch.column(text).to_pylist()]
             seen = set().union(*split)
             new = seen.difference(cache)
@@ -220,13 +239,13 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             packed = [b"".join(map(cache.__getitem__, s)) for s in split]
             offsets = np.zeros(len(packed) + 1, "int32")
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*batch.schema.names, ids]
-            )
+            values = np.frombuffer(b"".join(packed), "<i4")
+            columns, names = [*batch.columns, pa.ListArray.from_arrays(offsets, values)], [*batch.schema.names, ids]
+            if decoded:
+                columns, names = [*columns, vocabulary.decode(offsets, values)], [*names, decoded]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids}` array<int>"])
-    return map_arrow(kept, run, fields)
+    return map_arrow(kept, run, _fields(kept, f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])))
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -235,18 +254,19 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
     Null ids give an empty text, unknown ones nothing.
     """
     kept = rows.drop(text)
-    shared = rows.sparkSession.sparkContext.broadcast(_read(path or tokenizer_path()))
+    shared = _broadcast(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _worker_state(shared)[0].names
+        vocabulary = _worker_state(shared)[0]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [" ".join([names[i] for i in x or () if i in names]) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text])
+                lists = [[i for i in x or () if i in vocabulary.names] for x in part.column(ids).to_pylist()]
+                offsets = np.cumsum([0, *map(len, lists)]).astype("int32")
+                texts = vocabulary.decode(offsets, np.array([i for x in lists for i in x], "int32"))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, text])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{text}` string"])
-    return map_arrow(kept, run, fields)
+    return map_arrow(kept, run, _fields(kept, f"`{text}` string"))
 
 
 def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -264,4 +284,4 @@ def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> Data
 def op4_bpe(spark, sf_dir):
     """Every text encoded and decoded; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs).select("doc_id", "ids")))
+    return digests(encode(docs, decoded="decoded"))
