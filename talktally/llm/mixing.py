@@ -22,7 +22,7 @@ PLACE_BITS = BITS * LEVELS
 
 def place(doc_id: str | Column) -> Column:
     """48 bits of a document's hash; null ids share one place."""
-    digits = F.md5(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string"))
+    digits = F.md5(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")))
     return F.conv(F.substring(digits, 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
