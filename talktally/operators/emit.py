@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from talktally.config import Metric, MetricsConfig
 from talktally.functions import variants as V
 from talktally.functions.values import normalise, word_count
-from talktally.operators.gates import apply_once, counted, gate, once_names, with_day
+from talktally.operators.gates import counted, first_fire, gate, with_day
 
 INCREMENTS = "array<struct<metric_name:string,inc:double>>"
 KEYS = ("tenant_id", "date", "metric_name")
@@ -151,10 +151,14 @@ def expand(df: DataFrame) -> DataFrame:
 
 
 def emit(fires: DataFrame, cfg: MetricsConfig, time_col: str = "received_at") -> DataFrame:
-    """Increments of the configured metrics, behind trigger and once-per-conversation gates."""
-    gated = fires if cfg.custom else gate(fires, cfg)
-    counted_rows = with_increments(with_day(gated, time_col), cfg)
-    return expand(apply_once(counted_rows, cfg, "increments"))
+    """Increments of the configured metrics, behind trigger and once-per-conversation gates; custom ones of every fire."""
+    every_fire, first_only = cfg.split_once()
+    dated = with_day(fires, time_col)
+    rows = expand(with_increments(dated if cfg.custom else gate(dated, every_fire), every_fire))
+    if not first_only.operators:
+        return rows
+    first = first_fire(with_increments(gate(dated, first_only), first_only), "increments")
+    return rows.unionByName(expand(first))
 
 
 def emit_operator_counts(fires: DataFrame, time_col: str = "received_at") -> DataFrame:
@@ -224,14 +228,14 @@ def emit_all(fires: DataFrame, cfg: MetricsConfig, time_col: str = "received_at"
     and only theirs. Conversation counts and timings need no payload.
     """
     dated = with_day(fires, time_col)
-    once = F.col("operator_name").isin(once_names(cfg)) if once_names(cfg) else F.lit(False)
     every_fire, first_only = cfg.split_once()
     families = [
         expand(with_increments(dated, every_fire, [operator_count()])),
         emit_conversation_counts(fires, time_col),
     ]
     if first_only.operators:
-        families.append(emit(fires.where(once), first_only, time_col))
+        first = first_fire(with_increments(gate(dated, first_only), first_only), "increments")
+        families.append(expand(first))
     if "timing" in fires.columns and "transcript_sid" in fires.columns:
         families.append(emit_timing(fires, time_col=time_col))
     return reduce(DataFrame.unionByName, families)

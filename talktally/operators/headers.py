@@ -9,7 +9,7 @@ from talktally.functions import variants as V
 from talktally.functions.phones import mask_phone, phone_last4
 from talktally.functions.values import blank_to_null
 from talktally.operators.gates import FIRE_ORDER
-from talktally.operators.skew import HOT_ROWS, lookup_join
+from talktally.operators.skew import lookup_join
 
 KEYS = ["tenant_id", "conversation_id"]
 ATTRIBUTES = (
@@ -121,7 +121,7 @@ def correlation(call_sid: Column, conversation_sid: Column) -> tuple[Column, Col
 
 
 def with_enrichment(
-    rows: DataFrame, enrichment: DataFrame, prefer_live: bool = True, hot_rows: int | None = HOT_ROWS
+    rows: DataFrame, enrichment: DataFrame, prefer_live: bool = True, hot_rows: int | None = None
 ) -> DataFrame:
     """Add or refresh `enrichment` from the latest record of each correlation key.
 

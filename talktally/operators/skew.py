@@ -30,32 +30,32 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
     spread: Sequence[str] = (),
 ) -> DataFrame:
     """Join `left` to `right`, which has unique keys, on `keys`.
 
-    Rows whose key is null never enter the shuffle. Rows of a hot key are
+    Adaptive execution splits skewed keys of `left`. With `hot_rows`, keys are counted first: rows whose
+    key is null never enter the shuffle, and rows of a hot key are
     spread over `salts` tasks by the hash of the `spread` columns (all columns that
     can be hashed, unless given) and only the hot rows of `right` are copied once
-    per salt. `hot_rows=None` leaves skew to adaptive execution.
+    per salt.
     """
     keys = list(keys)
+    if hot_rows is None:
+        return left.join(right, keys, how)
     complete = F.lit(True)
     for key in keys:
         complete = complete & F.col(key).isNotNull()
     usable, keyless = left.where(complete), left.where(~complete)
-    if hot_rows is None:
-        joined = usable.join(right, keys, how)
-    else:
-        hot = hot_keys(usable, keys, hot_rows).withColumn("_hot", F.lit(True))
-        spread_over = list(spread) or _hashable(left)
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_over), F.lit(salts))).otherwise(0)
-        salted = usable.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        replicated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-        joined = salted.join(replicated, [*keys, "_salt"], how).drop("_salt")
+    hot = hot_keys(usable, keys, hot_rows).withColumn("_hot", F.lit(True))
+    spread_over = list(spread) or _hashable(left)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_over), F.lit(salts))).otherwise(0)
+    salted = usable.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    replicated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    joined = salted.join(replicated, [*keys, "_salt"], how).drop("_salt")
     if how == "left":
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in keys]
         joined = joined.unionByName(keyless.select("*", *missing))

@@ -5,9 +5,9 @@ channels are neither. Only adjacent sentences make a gap, negative gaps are
 dropped and zero is kept.
 
 Ordinary transcripts go through one window over `(tenant, transcript)`, whose
-partitioning the final aggregate reuses. A transcript with at least `hot_rows`
-sentences is never put into one task: its sentences are range-partitioned by
-time, gaps are taken inside each range, and the ranges are stitched at their ends.
+partitioning the final aggregate reuses. With `hot_rows`, a transcript with that many
+sentences is not put into one task: its time is cut into slices of equal length, gaps are
+taken inside each slice, and each slice is stitched to the next one that has sentences.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talktally.functions.values import round2
-from talktally.operators.skew import HOT_ROWS, hot_keys
+from talktally.operators.skew import hot_keys
 
 KEYS = ["tenant_id", "transcript_sid"]
 ORDER = ["start_time", "sentence_index", "end_time", "media_channel"]
@@ -30,7 +30,7 @@ def typed_sentences(raw: DataFrame) -> DataFrame:
     return raw.withColumns({c: e for c, e in number.items() if c in raw.columns})
 
 
-def timing(sentences: DataFrame, hot_rows: int | None = HOT_ROWS, ranges: int | None = None) -> DataFrame:
+def timing(sentences: DataFrame, hot_rows: int | None = None, ranges: int | None = None) -> DataFrame:
     """One row per transcript; none for a transcript with an implausible duration."""
     slim = sentences.select(*KEYS, *ORDER)
     if hot_rows is None:
@@ -95,7 +95,8 @@ def _sums_by_range(sentences: DataFrame, ranges: int | None) -> DataFrame:
     roles = ends.join(customer, KEYS, "left")
 
     parts = ranges or int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = runs.repartitionByRange(parts, *KEYS, *ORDER).withColumn("_range", F.spark_partition_id())
+    # A slice follows from the start time alone, so every reading of a row agrees on it.
+    ranged = runs.withColumn("_range", F.floor(F.col("start_time") * (parts / MAX_HANDLING_SEC)))
     inside = Window.partitionBy(*KEYS, "_range").orderBy(*ORDER)
     steps = ranged.select(
         *KEYS,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talktally.config import MetricsConfig, TenantConfig
-from talktally.functions.values import day_stamp, second_stamp
+from talktally.functions.values import day_stamp
 from talktally.operators.derived import with_derived
 from talktally.operators.emit import emit_all
 from talktally.operators.gold import GOLD_KEYS, diff, rollup
@@ -18,10 +18,11 @@ from talktally.operators.index import build_index
 from talktally.operators.normalize import normalize_direct, normalize_v2, normalize_v3, split_shapes, union_fires
 from talktally.operators.gates import with_day
 from talktally.operators.latest import one_per_key
-from talktally.operators.results import RESULT_KEY, apply_hook, as_fires, operator_results, unwrapped
-from talktally.session import prepare
+from talktally.operators.results import apply_hook, as_fires, operator_results, unwrapped
+from talktally.session import cut_lineage, prepare
 from talktally.sources import lake
 
+CONVERSATION = ["tenant_id", "conversation_id"]
 FIRE_PARTITIONS = ("tenant_id", "date", "batch_id")
 
 
@@ -66,19 +67,25 @@ def write_silver(
     enrichment_fields: tuple[str, ...] = (),
     run: str = "batch",
 ) -> Observation:
-    """Write fires, conversations, results and index of the given fires.
+    """Store the fires of a run and bring conversations, results and index up to date with them.
 
-    The same `run` again replaces its own fires. Returns the number of results written, counted while writing.
+    The same `run` again replaces its own fires. Everything else is derived from the stored fires of the run's
+    conversations, other runs' included and redelivered ones left out, so runs add up in any order and a
+    repeated one changes nothing. Returns the number of results written, counted while writing.
     """
+    spark = fires.sparkSession
     store_fires(fires, f"{root}/fires", run)
-    heads = headers(fires)
+    stored = prepare(spark).read.parquet(f"{root}/fires")
+    named = stored.where(F.col("batch_id") == run).select(*CONVERSATION).distinct()
+    known = cut_lineage(once_delivered(stored.join(named, CONVERSATION, "left_semi")))
+    heads = headers(known)
     if enrichment is not None:
         heads = with_enrichment(heads, enrichment)
     lake.write_conversations(heads, f"{root}/conversations")
     written = Observation("results")
-    counted = operator_results(fires).observe(written, F.count(F.lit(1)).alias("rows"))
+    counted = operator_results(known).observe(written, F.count(F.lit(1)).alias("rows"))
     lake.write_results(counted, f"{root}/operator_results")
-    lake.write_index(build_index(fires, heads, cfg, enrichment_fields), f"{root}/index")
+    lake.write_index(build_index(known, heads, cfg, enrichment_fields), f"{root}/index")
     return written
 
 
@@ -112,9 +119,23 @@ def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) ->
     rows = prepare(spark).read.parquet(path)
     if days is not None:
         rows = rows.join(days, ["tenant_id", "date"], "left_semi")
-    stamped = rows.withColumn("stamp", second_stamp(F.col("received_at")))
-    order = [F.col("received_at").desc(), F.col("source_uri").desc(), F.col("batch_id").desc()]
-    return one_per_key(stamped, RESULT_KEY, order).drop("stamp", "batch_id", "date")
+    return once_delivered(rows)
+
+
+def once_delivered(stored: DataFrame) -> DataFrame:
+    """Stored fires without redelivered copies.
+
+    A copy agrees in conversation, operator, version, arrival, trigger, payload and metadata, whatever its document is
+    called and whichever batch brought it. A document that itself holds the same result several times keeps
+    them: its copies are numbered, and equal numbers meet.
+    """
+    content = F.xxhash64(F.to_json("data"), F.to_json("metadata"), "trigger")
+    keys = [*CONVERSATION, "operator_name", "schema_version", "received_at", "_content"]
+    rows = stored.withColumn("_content", content)
+    inside = Window.partitionBy(*keys, "source_uri", "batch_id").orderBy(F.lit(0))
+    rows = rows.withColumn("_copy", F.row_number().over(inside))
+    order = [F.col("source_uri").desc(), F.col("batch_id").desc()]
+    return one_per_key(rows, [*keys, "_copy"], order).drop("_content", "_copy", "batch_id", "date")
 
 
 def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str, dry_run: bool = False) -> DataFrame | None:
@@ -156,11 +177,11 @@ def backfill(
 def copy_metrics(
     spark: SparkSession, source: str, target: str, tenants: list[str] | None = None, dry_run: bool = False
 ) -> DataFrame:
-    """Copy gold rows per tenant; returns rows scanned and migrated per tenant."""
+    """Put gold rows over those of the target, row by row; returns rows scanned and migrated per tenant."""
     rows = lake.scan(spark, source, "metrics")
     if tenants is not None:
         rows = rows.where(F.col("tenant_id").isin(tenants))
     if not dry_run:
-        lake.write_partitions(rows, target, lake.GOLD_PARTITIONS, ("metric_name", "date"))
+        lake.merge_rows(rows, target, lake.GOLD_PARTITIONS, ("tenant_id", "date", "metric_name"), ("metric_name", "date"))
     counts = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("scanned"))
     return counts.withColumn("migrated", F.col("scanned"))

@@ -15,11 +15,11 @@ from talktally.config import MetricsConfig
 from talktally.functions import variants as V
 from talktally.functions.values import iso_day
 from talktally.operators.derived import derive_all, raw_only
-from talktally.operators.headers import with_enrichment
+from talktally.operators.headers import correlation, with_enrichment
 from talktally.operators.index import by_index, pick_filter
 from talktally.operators.naming import with_display_names
-from talktally.operators.skew import HOT_ROWS, lookup_join
-from talktally.sources.lake import month_predicate
+from talktally.operators.skew import lookup_join
+from talktally.sources.lake import day_predicate, month_predicate
 
 PAGE, MAX_PAGE = 50, 500
 DEFAULT_DAYS = 30
@@ -154,6 +154,8 @@ def conversations(
     """
     params = params or {}
     rows = tables.headers.where((F.col("tenant_id") == tenant) & time_range(start, end))
+    if start is not None and end is not None and {"year", "month", "day"} <= set(rows.columns):
+        rows = rows.where(day_predicate(start.date(), end.date() if isinstance(end, datetime) else end))
     hit = pick_filter(params, cfg, enrichment_fields) if tables.index is not None else None
     given = [(column, params[name]) for name, column in FILTERS if params.get(name)]
     if exclusive:
@@ -168,8 +170,14 @@ def conversations(
         of_tenant = tables.results.where(F.col("tenant_id") == tenant)
         rows = with_surface_fields(rows, of_tenant, cfg)
     if tables.enrichment is not None:
-        rows = with_enrichment(rows, tables.enrichment, hot_rows=hot_rows)
-    return rows.withColumn("page_token", token_column())
+        kind, key = correlation(F.col("call_sid"), F.col("conversation_sid"))
+        # A page has 500 rows at most, so its keys are few.
+        named = rows.select(kind.alias("correlation_type"), key.alias("correlation_key"))
+        of_page = tables.enrichment.where(F.col("tenant_id") == tenant)
+        of_page = of_page.join(F.broadcast(named), ["correlation_type", "correlation_key"], "left_semi")
+        rows = with_enrichment(rows, of_page, hot_rows=hot_rows)
+    # The joins behind the page may change its order.
+    return rows.withColumn("page_token", token_column()).orderBy(F.desc("started_at"), F.desc("conversation_id"))
 
 
 def surface_values(results: DataFrame, cfg: MetricsConfig) -> DataFrame:
@@ -206,7 +214,7 @@ def conversation_detail(
     tenant: str,
     conversation_ids: Sequence[str] | None = None,
     enrichment: DataFrame | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """A header with each of its operator results, one row per result.
 

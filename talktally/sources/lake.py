@@ -103,17 +103,17 @@ def month_predicate(start: date, end: date) -> Column:
 
 
 def day_predicate(start: date, end: date) -> Column:
-    """The same down to days, for row-level tables."""
-    if (end - start).days > 62:
-        return month_predicate(start, end)
-    result, day = F.lit(False), start
-    months: dict[tuple[str, str], list[str]] = {}
-    while day <= end:
-        months.setdefault((f"{day:%Y}", f"{day:%m}"), []).append(f"{day:%d}")
-        day += timedelta(days=1)
-    for (year, month), days in months.items():
+    """The same down to days, for row-level tables: whole months, and the days of the first and last one."""
+    result, whole = F.lit(False), []
+    for year, month in months_between(start, end):
+        first = date(int(year), int(month), 1)
+        following = date(first.year + first.month // 12, first.month % 12 + 1, 1)
+        if start <= first and following <= end + timedelta(days=1):
+            whole.append(first)
+            continue
+        days = [f"{d:02d}" for d in range(max(start, first).day, min(end, following - timedelta(days=1)).day + 1)]
         result = result | ((F.col("year") == year) & (F.col("month") == month) & F.col("day").isin(days))
-    return result
+    return (result | month_predicate(whole[0], whole[-1])) if whole else result
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -152,17 +152,39 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str], sort:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+CONVERSATION_KEY = ("tenant_id", "conversation_id")
+RESULT_KEY = (*CONVERSATION_KEY, "operator_name", "schema_version")
+INDEX_PARTITIONS = ("tenant_id", "field_name", "month")
+
+
 def write_conversations(headers: DataFrame, path: str) -> None:
-    """Sorted by customer inside files, so lookups by customer or agent skip row groups."""
-    write_partitions(curated_conversations(headers), path, ROW_PARTITIONS, ("customer_key", "agent_id"))
+    """Put headers over the stored ones of the same conversations, also where these began on another day.
+
+    Sorted by customer inside files, so lookups by customer or agent skip row groups.
+    """
+    merge_rows(curated_conversations(headers), path, ROW_PARTITIONS, CONVERSATION_KEY, ("customer_key", "agent_id"))
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    write_partitions(curated_results(results), path, ROW_PARTITIONS, ("operator_name",))
+    """Put results over the stored ones of the same key; the second of arrival is part of it."""
+    rows = curated_results(results).withColumn("stamp", F.date_trunc("second", "received_at"))
+    spark = prepare(results.sparkSession)
+    if not exists(spark, path):
+        write_partitions(rows.drop("stamp"), path, ROW_PARTITIONS, ("operator_name",))
+        return
+    new = cut_lineage(rows)
+    # A key's second is in its day's partition, so no other partition can hold it.
+    around = _with_file(scan(spark, path, "operator_results")).join(new.select(*ROW_PARTITIONS).distinct(), list(ROW_PARTITIONS), "left_semi")
+    keys = [*RESULT_KEY, "stamp"]
+    kept = around.withColumn("stamp", F.date_trunc("second", "received_at")).join(new.select(*keys).distinct(), keys, "left_anti")
+    merged = kept.select(*new.columns).unionByName(new).drop("stamp")
+    _overwrite(merged, around, path, ROW_PARTITIONS, ("operator_name",))
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    write_partitions(index, path, ("tenant_id", "field_name"), ("field_value",))
+    """Put index rows in place of the stored ones of the same conversations, by month of arrival."""
+    rows = index.withColumn("month", F.date_format("received_at", "yyyyMM"))
+    merge_rows(rows, path, INDEX_PARTITIONS, CONVERSATION_KEY, ("field_value",))
 
 
 def write_metrics(gold: DataFrame, path: str) -> None:
@@ -182,14 +204,56 @@ def replace_days(new: DataFrame, days: DataFrame, path: str) -> None:
     if not exists(spark, path):
         write_partitions(gold, path, GOLD_PARTITIONS, ("metric_name", "date"))
         return
-    old = scan(spark, path, "metrics")
+    old = _with_file(scan(spark, path, "metrics"))
     touched = days.select("tenant_id", "date").distinct()
     months = touched.select(
         "tenant_id", F.substring("date", 1, 4).alias("year"), F.substring("date", 5, 2).alias("month")
     ).distinct()
     kept = old.join(months, list(GOLD_PARTITIONS), "left_semi").join(touched, ["tenant_id", "date"], "left_anti")
-    merged = cut_lineage(kept.select(*gold.columns).unionByName(gold))
-    write_partitions(merged, path, GOLD_PARTITIONS, ("metric_name", "date"))
+    merged = kept.select(*gold.columns).unionByName(gold)
+    _overwrite(merged, old.join(months, list(GOLD_PARTITIONS), "left_semi"), path, GOLD_PARTITIONS, ("metric_name", "date"))
+
+
+def _with_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
+
+
+def _overwrite(rows: DataFrame, old: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str] = ()) -> None:
+    """Put `rows` in place of `old`, the stored rows of whole partitions with their `_file`.
+
+    Partitions left without rows are emptied.
+    """
+    rows = cut_lineage(rows)
+    emptied = old.join(rows.select(*partitions).distinct(), list(partitions), "left_anti")
+    # Files of emptied partitions: read before anything is overwritten.
+    gone = [r.file for r in emptied.select(F.col("_file").alias("file")).distinct().collect()]
+    write_partitions(rows, path, partitions, sort)
+    spark = rows.sparkSession
+    for file in gone:
+        found = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, False)
+
+
+def merge_rows(
+    new: DataFrame, path: str, partitions: Sequence[str], keys: Sequence[str], sort: Sequence[str] = (), within: Column | None = None
+) -> None:
+    """Replace the stored rows whose `keys` occur in `new` by the rows of `new`; all others stay.
+
+    Only partitions that hold such rows, old or new, are read as a whole and written again. `within` is a
+    partition predicate outside of which no such old row lies.
+    """
+    spark = prepare(new.sparkSession)
+    if not exists(spark, path):
+        write_partitions(new, path, partitions, sort)
+        return
+    new = cut_lineage(new)
+    old = _with_file(spark.read.schema(new.schema).parquet(path))
+    old = old if within is None else old.where(within)
+    named = new.select(*keys).distinct()
+    touched = old.join(named, list(keys), "left_semi").select(*partitions).union(new.select(*partitions)).distinct()
+    around = old.join(touched, list(partitions), "left_semi")
+    kept = around.join(named, list(keys), "left_anti")
+    _overwrite(kept.select(*new.columns).unionByName(new), around, path, partitions, sort)
 
 
 def register_table(spark: SparkSession, name: str, table: str, path: str) -> None:

@@ -20,9 +20,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from talktally.config import MetricsConfig, TenantConfig
 from talktally.functions import variants as V
 from talktally.operators.emit import KEYS, with_increments
-from talktally.operators.gates import SLOT, gate, once_names, with_day
+from talktally.operators.gates import SLOT, gate, with_day
 from talktally.operators.headers import promoted, with_enrichment
-from talktally.operators.latest import latest
+from talktally.operators.latest import one_per_key
 from talktally.plans.jobs import (
     Upstream,
     fires_from_documents,
@@ -60,15 +60,14 @@ def first_seen(fires: DataFrame, keys: tuple[str, ...] = SLOT, delay: str = STAT
 def streamed_increments(fires: DataFrame, cfg: MetricsConfig, delay: str = STATE_DELAY) -> DataFrame:
     """`(tenant_id, date, received_at, metric_name, inc)` of a stream of fires.
 
-    The same emitters as in batch; only the gates that need memory use state.
+    The same emitters as in batch; only the gates that need memory use state. Custom metrics count every fire.
     """
     marked = with_day(fires).withWatermark("received_at", delay)
-    counted = with_increments(gate(marked, cfg), cfg)
-    names = once_names(cfg)
-    once = F.col("operator_name").isin(names) if names else F.lit(False)
-    branches = [counted.where(~once)]
-    if names:
-        branches.append(counted.where(once).dropDuplicatesWithinWatermark(list(SLOT)))
+    every_fire, first_only = cfg.split_once()
+    branches = [with_increments(marked, every_fire)]
+    if first_only.operators:
+        first = gate(marked, first_only).dropDuplicatesWithinWatermark(list(SLOT))
+        branches.append(with_increments(first, first_only))
     columns = ["tenant_id", "date", "received_at"]
     parts = [
         b.select(*columns, F.inline_outer("increments")).where(F.col("metric_name").isNotNull()) for b in branches
@@ -106,9 +105,9 @@ def start_running_counts(counts: DataFrame, path: str, checkpoint: str, **trigge
 
 
 def read_running_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest total of every counter."""
+    """The newest total of every counter; partition values are text, batches count as numbers."""
     rows = spark.read.parquet(path)
-    return latest(rows, list(KEYS), "batch_id").drop("batch_id")
+    return one_per_key(rows, KEYS, [F.col("batch_id").cast("long").desc()]).drop("batch_id")
 
 
 def with_arrival_counts(stream: DataFrame, name: str = "arrivals") -> DataFrame:
