@@ -89,6 +89,34 @@ def test_silver_tables_and_backfill(spark, tmp_path):
     assert counts.first().migrated == len(stored(spark, f"{root}/copy"))
 
 
+def test_runs_add_up(spark, tmp_path):
+    root = str(tmp_path)
+    one = fires(spark, fire({"ok": True}, conversation="c1"), fire({"ok": True}, conversation="c2", at=DAY + timedelta(hours=1)))
+    two = fires(spark, fire({"ok": False}, conversation="c1", at=DAY - timedelta(days=1), uri="u2"), fire({"ok": True}, conversation="c3"))
+    for rows, run in ((one, "a"), (two, "b"), (two, "b"), (two, "again")):
+        jobs.write_silver(apply_hook(rows), root, CFG, run=run)
+    heads = lake.scan(spark, f"{root}/conversations", "conversations").collect()
+    assert sorted((r.conversation_id, r.operator_count, r.day) for r in heads) == [("c1", 2, "26"), ("c2", 1, "27"), ("c3", 1, "27")]
+    results = lake.scan(spark, f"{root}/operator_results", "operator_results").collect()
+    assert sorted((r.conversation_id, r.s3_uri) for r in results) == [("c1", "u1"), ("c1", "u2"), ("c2", "u1"), ("c3", "u1")]
+
+
+def test_copied_metrics_keep_the_target(spark, tmp_path):
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    lake.write_metrics(gold(spark, ("20260127", "a", 1), ("20260127", "b", 2)), source)
+    lake.write_metrics(gold(spark, ("20260127", "a", 9), ("20260128", "c", 3)), target)
+    jobs.copy_metrics(spark, source, target)
+    assert stored(spark, target) == [("t", "20260127", "a", 1.0), ("t", "20260127", "b", 2.0), ("t", "20260128", "c", 3.0)]
+
+
+def test_an_emptied_day_goes(spark, tmp_path):
+    path = str(tmp_path / "m")
+    lake.write_metrics(gold(spark, ("20260127", "a", 1), ("20260301", "a", 2)), path)
+    days = spark.createDataFrame([("t", "20260127")], "tenant_id string, date string")
+    lake.replace_days(gold(spark, ("20260127", "a", 1)).limit(0), days, path)
+    assert stored(spark, path) == [("t", "20260301", "a", 2.0)]
+
+
 def test_backfill_keeps_the_trigger_gate(spark, tmp_path):
     cfg = MetricsConfig((Operator("test", "T", (Metric("boolean", "ok", "ok", "OK"),), triggers=("CONVERSATION_END",)),))
     rows = fires(spark, fire({"ok": True}, trigger="CONVERSATION_END"), fire({"ok": True}, trigger="COMMUNICATION", conversation="c2"))
