@@ -103,7 +103,7 @@ def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float
     length than most. Rows that repeat a vec_id with the same vector are one. An empty table gives no rows.
     """
     clean = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
-    clean = clean.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")).distinct()
+    clean = clean.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector")).distinct()
     lengths = clean.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     size = lengths["size"] if lengths else 1
     clean = stored(clean.where(F.size("vector") == size), "ann-vectors")
@@ -165,7 +165,7 @@ def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float
 
     found = points.groupBy(*cell).cogroup(askers.groupBy(*cell)).applyInArrow(compare, "query_id bigint, class bigint").distinct()
     pairs = found.join(classes.withColumnRenamed("vector", "other"), "class").join(queries, "query_id")
-    exact = F.aggregate(F.zip_with("vector", "other", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    exact = F.aggregate(F.zip_with("vector", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = pairs.select("query_id", "class", exact.alias("score"))
     by_class = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
     pairs = pairs.withColumn("turn", F.row_number().over(by_class)).where(F.col("turn") <= nearest + 1)
