@@ -52,6 +52,17 @@ def map_arrow(df: DataFrame, run, fields: str) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks; workers are reused, so only the last operator's is kept."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def word_array(text: str | Column) -> Column:
     """The words of a text; of null, none."""
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), GAP), "")

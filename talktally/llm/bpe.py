@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktally.llm.base import chunks, map_arrow, query, table
+from talktally.llm.base import chunks, held, map_arrow, query, table
 
 # Fixed values of the word-end tokenizer: contraction endings, letters, single digits, and the rest.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -192,16 +192,12 @@ def split_white(text: str) -> list[str]:
 
 
 _sent: dict = {}
-_loaded: dict[int, tuple[Vocabulary, dict[str, bytes]]] = {}
 
 
 def _worker_state(shared) -> tuple[Vocabulary, dict[str, bytes]]:
     """One vocabulary and one bounded cache per worker process and broadcast."""
     key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else hash(shared.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(json.loads(shared.value)), {}
-    return _loaded[key]
+    return held(f"bpe {key}", lambda: (Vocabulary(json.loads(shared.value)), {}))
 
 
 def _broadcast(spark: SparkSession, path: str | None):

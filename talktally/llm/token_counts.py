@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from talktally.llm.base import chunks, map_arrow, query, table, texts_of
+from talktally.llm.base import chunks, held, map_arrow, query, table, texts_of
 from talktally.llm.bpe import tokenizer_path
 
 MARK = "▁"
@@ -99,16 +99,6 @@ class Automaton:
         return count
 
 
-_built: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
-
-
-def _state(key: str, shared) -> tuple[Automaton, dict[bytes, int]]:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(shared.value), {}
-    return _built[key]
-
-
 _sent: dict = {}
 
 
@@ -128,7 +118,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = _state(path, shared)
+        automaton, cache = held(f"pieces {path}", lambda: (Automaton(shared.value), {}))
         for batch in chunks(batches, most=2 << 20):
             words = [t.lower().split() for t in texts_of(batch)]
             seen = set().union(*words)

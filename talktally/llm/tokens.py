@@ -7,6 +7,8 @@ from itertools import chain
 
 import numpy as np
 
+from talktally.llm.base import held
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 SHIFT = np.uint64(33)
@@ -19,7 +21,7 @@ def hash64(word: bytes) -> int:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words met lately."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -28,9 +30,6 @@ class WordHashes(dict):
         return value
 
 
-HASHES = WordHashes()
-
-
 def mixed(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """A fixed permutation of the 64-bit numbers without visible order."""
     x = np.bitwise_xor(x, x >> SHIFT, out=out)
@@ -49,4 +48,4 @@ def low_words(text: bytes) -> list[bytes]:
 def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after the other, and each text's number of words."""
     counts = np.fromiter(map(len, words), "int64", len(words))
-    return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(words)), "uint64", int(counts.sum())), counts
+    return np.fromiter(map(held("word hashes", WordHashes).__getitem__, chain.from_iterable(words)), "uint64", int(counts.sum())), counts
