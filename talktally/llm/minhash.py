@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talktally.llm.base import chunks, map_arrow, query, stored, table, texts_of
@@ -68,7 +68,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set (16-byte digest of the shingle set), bands, and one byte of each coordinate."""
+    """doc_id, copy (hash of the text), n_shingles, set (16-byte digest of the shingle set), bands, and one byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
@@ -89,16 +89,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("copy"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(ids, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(marks, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set", "bands", "marks"],
+                names=["doc_id", "copy", "n_shingles", "set", "bands", "marks"],
             )
 
-    fields = "doc_id bigint, n_shingles bigint, set binary, bands array<bigint>, marks binary"
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, fields)
+    fields = "doc_id bigint, copy bigint, n_shingles bigint, set binary, bands array<bigint>, marks binary"
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text"), run, fields)
 
 
 def _agreeing(a: str, b: str) -> F.Column:
@@ -181,7 +182,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and kept.
+    """Per document: doc_id, copy (hash of its text), n_shingles, component_id and kept.
 
     Texts without words (null, empty, white space) have no shingles, are linked with nothing and are their
     own component. component_id is the smallest doc_id of the component, null only if none of its documents has an
@@ -210,14 +211,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    grouped = sketch.select("doc_id", "n_shingles", "set").join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    grouped = sketch.select("doc_id", "copy", "n_shingles", "set").join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
     smallest = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     named = grouped.join(smallest, "component", "left")
     chosen = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return named.select("doc_id", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"))
+    return named.select("doc_id", "copy", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` whose document stays, one row of each component; of repeated rows, one."""
+    same = Window.partitionBy("doc_id", "component_id").orderBy(F.col("n_shingles").desc(), "copy")
+    chosen = near_duplicates(docs, percent).where("kept").withColumn("turn", F.row_number().over(same)).where("turn = 1")
+    chosen = chosen.select(F.col("doc_id").alias("_kept_doc"), F.col("copy").alias("_kept_copy"))
+    marked = docs.withColumn("_copy", F.xxhash64("text"))
+    left = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_doc")) & (F.col("_copy") == F.col("_kept_copy")), "left_semi")
+    once = Window.partitionBy("doc_id", "_copy").orderBy(F.lit(0))
+    return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @query("op3_minhash")
 def op3_minhash(spark, sf_dir):
     """Every document with its component and whether it is the one that stays."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("copy")
