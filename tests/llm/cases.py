@@ -102,3 +102,22 @@ def repeated_runs_removed(data, least=50):
         (doc_id if has else None, text): "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[has, doc_id, text])
         for has, doc_id, text in docs
     }
+
+
+def maximal_runs_removed(texts, least=50):
+    """{place: text without lines of a run with `least` words that an earlier place has} by trying all pairs of places."""
+    lines = [[(i, x) for i, x in enumerate(t.split("\n")) if words(x)] for t in texts]
+    out = {}
+    for d, mine in enumerate(lines):
+        gone = set()
+        for e in range(d + 1):
+            for k in range(len(mine)):
+                for j in range(k if e == d else len(lines[e])):
+                    n = m = 0
+                    while k + n < len(mine) and j + n < len(lines[e]) and mine[k + n][1] == lines[e][j + n][1]:
+                        m += len(words(mine[k + n][1]))
+                        n += 1
+                    if m >= least:
+                        gone.update(range(mine[k][0], mine[k + n - 1][0] + 1))
+        out[d] = "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
+    return out

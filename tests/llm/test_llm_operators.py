@@ -217,6 +217,21 @@ def test_later_runs_go(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_repeated_runs_go_to_their_ends(spark):
+    r = np.random.default_rng(5)
+    line = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    run = [line(60), line(10), "", line(10)]
+    two = [line(30), line(15), line(30), line(20)]
+    texts = ["\n".join(run), "\n".join(run), "\n".join([line(5), *run, line(5)]), "\n".join(two), "\n".join([*two[:3], line(7), *two[1:]]), "\n".join([two[1], two[0]])]
+    # Lines put at random, so that runs are met forwards, backwards and within one text.
+    some = [line(n) for n in (9, 14, 21, 33, 50)]
+    texts += ["\n".join(some[k] for k in r.integers(0, 5, 12)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()}
+    assert got == cases.maximal_runs_removed(texts)
+    assert got[1] == "" and got[2].count("\n") == 1
+
+
 # 6: token counts
 
 
