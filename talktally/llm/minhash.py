@@ -188,6 +188,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own component. component_id is the smallest doc_id of the component, null only if none of its documents has an
     id; a document without id is kept only then. Repeated rows have equal results. An empty table gives no rows.
     """
+    return _grouped(docs, percent).drop("component")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates with component: the smallest digest of the component's sets, null for texts without words."""
     sketch = stored(sketches(docs), "sketches")
     classes = stored(sketch.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", "n_shingles", "bands", "marks"), "classes")
     entries = classes.select("set", F.explode("bands").alias("band"))
@@ -215,18 +220,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     named = grouped.join(smallest, "component", "left")
     chosen = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return named.select("doc_id", "copy", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"))
+    return named.select("doc_id", "copy", "n_shingles", "component", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose document stays, one row of each component; of repeated rows, one."""
-    same = Window.partitionBy("doc_id", "component_id").orderBy(F.col("n_shingles").desc(), "copy")
-    chosen = near_duplicates(docs, percent).where("kept").withColumn("turn", F.row_number().over(same)).where("turn = 1")
+    """The rows of `docs` whose document stays, one row of each component; of repeated rows, one.
+
+    A component whose documents have no id, or several texts under its smallest id, keeps the one with the most shingles.
+    Texts without words are components of their own: one row of each doc_id and text.
+    """
+    wordless = F.col("component").isNull()
+    same = Window.partitionBy("component", F.when(wordless, F.col("doc_id")), F.when(wordless, F.col("copy"))).orderBy(F.col("n_shingles").desc(), "copy")
+    chosen = _grouped(docs, percent).where("kept").withColumn("turn", F.row_number().over(same)).where("turn = 1")
     chosen = chosen.select(F.col("doc_id").alias("_kept_doc"), F.col("copy").alias("_kept_copy"))
-    marked = docs.withColumn("_copy", F.xxhash64("text"))
-    left = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_doc")) & (F.col("_copy") == F.col("_kept_copy")), "left_semi")
-    once = Window.partitionBy("doc_id", "_copy").orderBy(F.lit(0))
-    return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The row goes along in one column, so that its columns may have any name.
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_copy"))
+    left = marked.join(chosen, F.col("_doc").cast("long").eqNullSafe(F.col("_kept_doc")) & (F.col("_copy") == F.col("_kept_copy")), "left_semi")
+    once = Window.partitionBy("_doc", "_copy").orderBy(F.lit(0))
+    return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select("_row.*")
 
 
 @query("op3_minhash")

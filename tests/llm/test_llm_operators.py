@@ -162,6 +162,19 @@ def test_one_row_of_each_group_stays(spark, docs):
     assert {7, 9}.issubset(left) and not {8, 10}.intersection(left)
 
 
+def test_one_row_stays_of_each_group_without_or_with_one_id(spark):
+    r = np.random.default_rng(6)
+    prose = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    one, two, three, four, five = (prose(n) for n in (40, 60, 50, 30, 70))
+    near = one + " more"
+    rows = [(None, one), (None, near), (None, two), (None, two), (None, ""), (None, None), (None, None), (7, three), (7, four), (7, three), (7, None), (8, five), (None, five)]
+    docs = cases.documents(spark, [(d, t, "en", "a", 1) for d, t in rows])
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    want = [(None, near), (None, two), (None, ""), (None, None), (7, three), (7, four), (7, None), (8, five)]
+    assert bag((x.doc_id, x.text) for x in left.collect()) == bag(want)
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(4)
     one = np.unique(r.integers(0, 1 << 63, 900).astype("uint64"))
