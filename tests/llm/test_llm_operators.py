@@ -142,6 +142,26 @@ def test_cutoffs_keep_their_promise(spark):
     assert not any(x.kept for x in got if x.doc_id >= 6000)
 
 
+def test_cutoffs_reach_small_languages(spark):
+    r = np.random.default_rng(3)
+    prose = lambda mark: " ".join(f"w{j}{mark}" for j in r.integers(0, 10**6, 60))
+    # Per language 600 good and 60 bad ones, and as many without labels; one language has too few good ones.
+    rows, marks = [], []
+    for lang, n in (("de", 600), ("fr", 600), (None, 600), ("es", 200)):
+        for k in range(2 * n + 120):
+            bad = k >= 2 * n
+            rows.append((len(rows), prose("#####" if bad else ""), lang))
+            if k % 2:
+                marks.append((len(rows) - 1, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.judged(docs, labels(spark, marks)).collect()
+    for lang in ("de", "fr", None):
+        mine = [x for x in got if x.lang == lang]
+        bad = [x for x in mine if x.n_symbols > 0]
+        assert not any(x.kept for x in bad) and sum(not x.kept for x in mine) - len(bad) <= 0.01 * len(mine)
+    assert all(x.kept for x in got if x.lang == "es")
+
+
 def test_rules_on_an_empty_table(spark, empty):
     assert quality_rules.judged(empty, labels(spark)).count() == 0
 
