@@ -30,7 +30,7 @@ def test_query(spark, name):
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries().keys()
-    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
 
 
