@@ -203,6 +203,11 @@ def emit_timing(timed: DataFrame, grain: str = "transcript", time_col: str = "re
         rows = rows.select("tenant_id", "_first.*")
     elif grain != "fire":
         raise ValueError("grain is 'transcript' or 'fire'")
+    return expand(rows.withColumn("increments", timing_increments()))
+
+
+def timing_increments() -> Column:
+    """Increments of a row's `timing`."""
     parts = []
     for source, name in TIMING_COUNTERS:
         value = F.col(f"timing.{source}")
@@ -210,7 +215,7 @@ def emit_timing(timed: DataFrame, grain: str = "transcript", time_col: str = "re
     for source, name in SENTENCE_COUNTERS:
         value = F.col(f"timing.{source}")
         parts.append(F.when(value.isNotNull(), _inc(name, value)))
-    return expand(rows.withColumn("increments", F.array(*parts)))
+    return F.array(*parts)
 
 
 def emit_legacy_sentiment(fires: DataFrame, operator: str = "conversation-intelligence") -> DataFrame:

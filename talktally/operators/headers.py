@@ -69,7 +69,12 @@ def promoted(metadata: Column) -> dict[str, Column]:
 
 
 def headers(fires: DataFrame) -> DataFrame:
-    """Earliest arrival, latest attributes (nulls overwrite) and number of fires.
+    """Earliest arrival, latest attributes (nulls overwrite) and number of fires."""
+    return header_state(fires).drop("last_uri")
+
+
+def header_state(fires: DataFrame) -> DataFrame:
+    """Headers with the address of the latest fire (`last_uri`), so that those of disjoint sets of fires can be merged.
 
     The latest metadata is picked first and taken apart afterwards, once per
     conversation instead of once per fire; partial aggregation keeps a hot
@@ -77,7 +82,7 @@ def headers(fires: DataFrame) -> DataFrame:
     """
     position = F.struct(*FIRE_ORDER)
     picked = fires.groupBy(*KEYS).agg(
-        F.max_by(F.struct("metadata"), position).alias("_last"),
+        F.max_by(F.struct("metadata", F.col("source_uri").alias("uri")), position).alias("_last"),
         F.min("received_at").alias("started_at"),
         F.max("received_at").alias("updated_at"),
         F.count(F.lit(1)).cast("int").alias("operator_count"),
@@ -90,18 +95,23 @@ def headers(fires: DataFrame) -> DataFrame:
         F.col("started_at").alias("created_at"),
         "updated_at",
         "operator_count",
+        F.col("_last.uri").alias("last_uri"),
     )
 
 
 def merge_headers(*parts: DataFrame) -> DataFrame:
-    """Combine headers of disjoint sets of fires, such as stored ones and a new batch."""
+    """Combine the states of disjoint sets of fires, such as stored ones and a new batch, in any order.
+
+    Equal to the state of all the fires: the attributes are those of the latest one, by arrival and then address.
+    """
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     carried = [c for c in rows.columns if c not in (*KEYS, "started_at", "created_at", "updated_at", "operator_count", "enrichment")]
-    last = [F.max_by(F.struct(*carried), "updated_at").alias("_last")]
+    position = F.struct(*[c for c in ("updated_at", "last_uri") if c in rows.columns])
+    last = [F.max_by(F.struct(*carried), position).alias("_last")]
     if "enrichment" in rows.columns:
-        known = F.when(F.col("enrichment").isNotNull(), F.col("updated_at"))
+        known = F.when(F.col("enrichment").isNotNull(), position)
         last.append(F.max_by("enrichment", known).alias("enrichment"))
     merged = rows.groupBy(*KEYS).agg(
         F.min("started_at").alias("started_at"),

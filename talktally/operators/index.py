@@ -45,6 +45,15 @@ def category_entries(value: Column, tag: Column, m: Metric) -> Column:
 
 def operator_index(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
     """Entries of fields surfaced in lists, behind the same gates as the metrics."""
+    return _dedup(_operator_entries(fires, cfg))
+
+
+def daily_index(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
+    """The same by day and operator, as it is stored: a day's entries can be replaced without the other days."""
+    return _dedup(_operator_entries(fires, cfg), [*KEYS, "operator_name", "date"])
+
+
+def _operator_entries(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
     rows, plan = extracted(with_day(gate(fires, cfg)), cfg)
     parts = []
     for m, v, t in plan:
@@ -53,8 +62,8 @@ def operator_index(fires: DataFrame, cfg: MetricsConfig) -> DataFrame:
             parts.append(F.coalesce(build(F.col(v), F.col(t), m), F.array().cast(ENTRY)))
     entries = F.concat(*parts) if parts else F.array().cast(ENTRY)
     kept = apply_once(rows.withColumn("entries", entries), cfg, "entries")
-    flat = kept.select("tenant_id", "conversation_id", F.inline_outer("entries"))
-    return _dedup(flat.where(F.col("field_name").isNotNull() & F.col("field_value").isNotNull()))
+    flat = kept.select("tenant_id", "conversation_id", "operator_name", "date", F.inline_outer("entries"))
+    return flat.where(F.col("field_name").isNotNull() & F.col("field_value").isNotNull())
 
 
 def header_index(headers: DataFrame, enrichment_fields: Sequence[str] = ()) -> DataFrame:
@@ -75,8 +84,25 @@ def header_index(headers: DataFrame, enrichment_fields: Sequence[str] = ()) -> D
     return _dedup(flat.where(F.col("field_name").isNotNull()))
 
 
-def _dedup(flat: DataFrame) -> DataFrame:
-    return flat.groupBy(*KEYS).agg(F.max("received_at").alias("received_at"))
+def _dedup(flat: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return flat.groupBy(*keys).agg(F.max("received_at").alias("received_at"))
+
+
+def header_entries(headers: DataFrame, enrichment_fields: Sequence[str] = ()) -> DataFrame:
+    """Entries from headers as they are stored: of no operator, on the day of the last arrival."""
+    return with_day(header_index(headers, enrichment_fields)).withColumn("operator_name", F.lit(""))
+
+
+def stored_index(entries: DataFrame) -> DataFrame:
+    """Daily entries with their expiry and month."""
+    columns = ["field_value", "conversation_id", "operator_name", "date", "received_at", "expires_at", "tenant_id", "field_name"]
+    month = F.substring("date", 1, 6).alias("month")
+    return with_expiry(entries, INDEX_DAYS).select(*columns, month)
+
+
+def index_entries(stored: DataFrame) -> DataFrame:
+    """Stored daily entries as index rows: one per field value and conversation, with its latest arrival."""
+    return stored.groupBy(*KEYS).agg(F.max("received_at").alias("received_at"), F.max("expires_at").alias("expires_at"))
 
 
 def with_expiry(df: DataFrame, days: int, written_at: str = "received_at") -> DataFrame:

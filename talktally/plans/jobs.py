@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from talktally.config import MetricsConfig, TenantConfig
@@ -13,17 +14,17 @@ from talktally.functions.values import day_stamp
 from talktally.operators.derived import with_derived
 from talktally.operators.emit import emit_all
 from talktally.operators.gold import GOLD_KEYS, diff, rollup
-from talktally.operators.headers import headers, with_enrichment
-from talktally.operators.index import build_index
 from talktally.operators.normalize import normalize_direct, normalize_v2, normalize_v3, split_shapes, union_fires
-from talktally.operators.gates import with_day
-from talktally.operators.latest import one_per_key
-from talktally.operators.results import apply_hook, as_fires, operator_results, unwrapped
-from talktally.session import cut_lineage, prepare
+from talktally.operators.results import apply_hook, as_fires, unwrapped
+from talktally.plans import counters, silver
+from talktally.session import prepare
 from talktally.sources import lake
+from talktally.sources.fires import once_delivered, read_fires, store_fires, stored_rows
 
-CONVERSATION = ["tenant_id", "conversation_id"]
-FIRE_PARTITIONS = ("tenant_id", "date", "batch_id")
+__all__ = [
+    "Upstream", "backfill", "copy_metrics", "fires_from_documents", "gold_of", "new_run", "once_delivered", "prepared", "read_fires",
+    "recompute", "store_fires", "stored_fires", "touched_days", "write_all", "write_silver",
+]
 
 
 @dataclass(frozen=True)
@@ -65,28 +66,46 @@ def write_silver(
     cfg: MetricsConfig,
     enrichment: DataFrame | None = None,
     enrichment_fields: tuple[str, ...] = (),
-    run: str = "batch",
+    run: str | None = None,
 ) -> Observation:
     """Store the fires of a run and bring conversations, results and index up to date with them.
 
-    The same `run` again replaces its own fires. Everything else is derived from the stored fires of the run's
-    conversations, other runs' included and redelivered ones left out, so runs add up in any order and a
-    repeated one changes nothing. Returns the number of results written, counted while writing.
+    Runs add up in any order, and fires that another run delivered already change nothing. Without a name every call is a run of its
+    own; the same `run` again takes its former fires back and puts the given ones in their place. Returns the number of results
+    derived, counted while writing.
     """
-    spark = fires.sparkSession
-    store_fires(fires, f"{root}/fires", run)
-    stored = prepare(spark).read.parquet(f"{root}/fires")
-    named = stored.where(F.col("batch_id") == run).select(*CONVERSATION).distinct()
-    known = cut_lineage(once_delivered(stored.join(named, CONVERSATION, "left_semi")))
-    heads = headers(known)
-    if enrichment is not None:
-        heads = with_enrichment(heads, enrichment)
-    lake.write_conversations(heads, f"{root}/conversations")
-    written = Observation("results")
-    counted = operator_results(known).observe(written, F.count(F.lit(1)).alias("rows"))
-    lake.write_results(counted, f"{root}/operator_results")
-    lake.write_index(build_index(known, heads, cfg, enrichment_fields), f"{root}/index")
-    return written
+    spark = prepare(fires.sparkSession)
+    return silver.update(spark, root, silver.store_run(fires, root, run or new_run()), cfg, enrichment, enrichment_fields)
+
+
+def write_all(
+    fires: DataFrame,
+    root: str,
+    cfg: MetricsConfig,
+    enrichment: DataFrame | None = None,
+    enrichment_fields: tuple[str, ...] = (),
+    run: str | None = None,
+    close_after: timedelta | None = None,
+) -> Observation:
+    """`write_silver`, and the daily counters of the stored fires.
+
+    Nothing is written, and the observation stays open, if all the fires were delivered before.
+    """
+    spark, name = prepare(fires.sparkSession), run or new_run()
+    stored, written = silver.store_run(fires, root, name), []
+    if stored.empty:
+        return Observation("results")
+    silver.at_once(
+        spark,
+        lambda: written.append(silver.update(spark, root, stored, cfg, enrichment, enrichment_fields)),
+        lambda: counters.add(spark, root, stored, name, cfg, close_after),
+    )
+    return written[0]
+
+
+def new_run() -> str:
+    """A name no other run has."""
+    return f"run-{uuid.uuid4().hex}"
 
 
 def touched_days(fires: DataFrame) -> DataFrame:
@@ -108,36 +127,6 @@ def stored_fires(
     return rows if "trigger" in rows.columns else rows.withColumn("trigger", F.lit(None).cast("string"))
 
 
-def store_fires(fires: DataFrame, path: str, batch_id: int | str) -> None:
-    """Store the fires of a run or micro-batch; the same one again replaces its own partitions."""
-    rows = with_day(fires).withColumn("batch_id", F.lit(str(batch_id)))
-    lake.write_partitions(rows, path, FIRE_PARTITIONS)
-
-
-def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
-    """Stored fires without redelivered copies, restricted to the given days."""
-    rows = prepare(spark).read.parquet(path)
-    if days is not None:
-        rows = rows.join(days, ["tenant_id", "date"], "left_semi")
-    return once_delivered(rows)
-
-
-def once_delivered(stored: DataFrame) -> DataFrame:
-    """Stored fires without redelivered copies.
-
-    A copy agrees in conversation, operator, version, arrival, trigger, payload and metadata, whatever its document is
-    called and whichever batch brought it. A document that itself holds the same result several times keeps
-    them: its copies are numbered, and equal numbers meet.
-    """
-    content = F.xxhash64(F.to_json("data"), F.to_json("metadata"), "trigger")
-    keys = [*CONVERSATION, "operator_name", "schema_version", "received_at", "_content"]
-    rows = stored.withColumn("_content", content)
-    inside = Window.partitionBy(*keys, "source_uri", "batch_id").orderBy(F.lit(0))
-    rows = rows.withColumn("_copy", F.row_number().over(inside))
-    order = [F.col("source_uri").desc(), F.col("batch_id").desc()]
-    return one_per_key(rows, [*keys, "_copy"], order).drop("_content", "_copy", "batch_id", "date")
-
-
 def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str, dry_run: bool = False) -> DataFrame | None:
     """Rebuild the counters of `days` from the fires and replace them.
 
@@ -154,7 +143,9 @@ def recompute(fires: DataFrame, days: DataFrame, cfg: MetricsConfig, path: str,
     spark = fires.sparkSession
     if not lake.exists(spark, path):
         return diff(gold.limit(0), gold)
-    old = lake.scan(spark, path, "metrics").join(days.select("tenant_id", "date").distinct(), ["tenant_id", "date"], "left_semi")
+    months = days.select("tenant_id", F.substring("date", 1, 4).alias("year"), F.substring("date", 5, 2).alias("month")).distinct()
+    old = lake.scan(spark, path, "metrics").where(lake.within(months.collect(), *lake.GOLD_PARTITIONS))
+    old = old.join(days.select("tenant_id", "date").distinct(), ["tenant_id", "date"], "left_semi")
     return diff(old.select(*GOLD_KEYS, "value"), gold)
 
 
@@ -169,7 +160,7 @@ def backfill(
     dry_run: bool = False,
 ) -> DataFrame | None:
     """The ordinary gold job over a tenant's day range of stored fires."""
-    rows = prepare(spark).read.parquet(fires_path).where(F.col("tenant_id") == tenant)
+    rows = stored_rows(spark, fires_path).where(F.col("tenant_id") == tenant)
     days = rows.where(F.col("date").between(f"{start:%Y%m%d}", f"{end:%Y%m%d}")).select("tenant_id", "date").distinct()
     return recompute(read_fires(spark, fires_path, days), days, cfg, gold_path, dry_run)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talktally.config import MetricsConfig
@@ -19,7 +19,8 @@ from talktally.operators.headers import correlation, with_enrichment
 from talktally.operators.index import by_index, pick_filter
 from talktally.operators.naming import with_display_names
 from talktally.operators.skew import lookup_join
-from talktally.sources.lake import day_predicate, month_predicate
+from talktally.sources import access
+from talktally.sources.lake import day_predicate, month_predicate, scan, stored_headers
 
 PAGE, MAX_PAGE = 50, 500
 DEFAULT_DAYS = 30
@@ -111,13 +112,16 @@ def time_range(start: datetime | None, end: date | None) -> Column:
     return inside
 
 
+def _behind(ts: datetime, last_id: str) -> Column:
+    """Rows that follow a position, newest first."""
+    return (F.col("started_at") < F.lit(ts)) | ((F.col("started_at") == F.lit(ts)) & (F.col("conversation_id") < last_id))
+
+
 def page(rows: DataFrame, limit: int | str | None = None, after: str | None = None) -> DataFrame:
     """Newest first, from behind the token on; a top-k, not a full sort."""
     position = read_token(after)
     if position is not None:
-        ts, last_id = position
-        earlier = F.col("started_at") < F.lit(ts)
-        rows = rows.where(earlier | ((F.col("started_at") == F.lit(ts)) & (F.col("conversation_id") < last_id)))
+        rows = rows.where(_behind(*position))
     return rows.orderBy(F.desc("started_at"), F.desc("conversation_id")).limit(page_limit(limit))
 
 
@@ -180,6 +184,42 @@ def conversations(
     return rows.withColumn("page_token", token_column()).orderBy(F.desc("started_at"), F.desc("conversation_id"))
 
 
+def newest_conversations(
+    spark: SparkSession,
+    root: str,
+    cfg: MetricsConfig,
+    tenant: str,
+    params: dict[str, str],
+    start: datetime | None = None,
+    end: date | None = None,
+    limit: int | str | None = None,
+    after: str | None = None,
+    tables: Tables | None = None,
+    **options,
+) -> DataFrame:
+    """`conversations` of an agent, queue or customer, from the stored copies for it.
+
+    Months are opened from the newest on until the page is full. `tables` gives results and enrichment; without any of the three
+    filters the stored headers are read.
+    """
+    given = [(column, params[name]) for name, column in FILTERS if params.get(name)]
+    also = time_range(start, end)
+    for column, value in given[1:]:
+        also = also & (F.col(column) == value)
+    position = read_token(after)
+    if position is not None:
+        also = also & _behind(*position)
+    if given:
+        last = min([d for d in (end, position[0] if position else None) if d is not None], default=None, key=lambda d: (d.year, d.month))
+        months = {"first": start and f"{start:%Y%m}", "last": last and f"{last:%Y%m}"}
+        rows = access.newest(spark, root, tenant, *given[0], page_limit(limit), also, **months)
+        rows = rows.withColumn("tenant_id", F.lit(tenant))
+    else:
+        rows = stored_headers(scan(spark, f"{root}/conversations", "conversations"))
+    found = replace(tables or Tables(rows), headers=rows)
+    return conversations(found, cfg, tenant, params, start, end, limit, after, **options)
+
+
 def surface_values(results: DataFrame, cfg: MetricsConfig) -> DataFrame:
     """One row per conversation with a VARIANT column per surfaced field.
 

@@ -21,9 +21,15 @@ def read_documents(spark: SparkSession, path: str, since: str | None = None, unt
     return _documents(_json_reader(spark.read).json(path), since, until)
 
 
-def stream_documents(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
-    """The same as a stream over files as they arrive."""
-    return _documents(_json_reader(spark.readStream).option("maxFilesPerTrigger", max_files).json(path), None, None)
+def stream_documents(
+    spark: SparkSession, path: str, max_files: int = 10_000, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """The same as a stream over files as they arrive.
+
+    With a range of days it replays that part of the archive: run it with a checkpoint of its own, to its end, beside the live
+    stream and under another name. What the live stream stored already is recognised by its content.
+    """
+    return _documents(_json_reader(spark.readStream).option("maxFilesPerTrigger", max_files).json(path), since, until)
 
 
 def _json_reader(reader):
@@ -122,9 +128,23 @@ def append_archive(fires: DataFrame, path: str) -> None:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Documents written by `append_archive`, one per line."""
-    lines = spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Documents written by `append_archive`, one per line; of a range of days, whose partitions alone are opened."""
+    return _lines(spark.read.text(path), since, until)
+
+
+_LINES = "value string, tenant_id string, operator_name string, schema_version string, date string"
+
+
+def stream_lines(spark: SparkSession, path: str, max_files: int = 1000, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The same as a stream; with a range of days, a replay of it (see `stream_documents`)."""
+    reader = spark.readStream.format("text").schema(_LINES).option("maxFilesPerTrigger", max_files)
+    return _lines(reader.load(path), since, until)
+
+
+def _lines(lines: DataFrame, since: str | None, until: str | None) -> DataFrame:
+    if since is not None or until is not None:
+        lines = lines.where(F.col("date").between(since or "0000-00-00", until or "9999-99-99"))
     return lines.select(
         F.col("value").alias("body_text"),
         V.parse(F.col("value")).alias("body"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talktally.functions.keys import day_of, metric_of, tenant_of
+from talktally.operators.latest import latest
 from talktally.session import cut_lineage, prepare
 
 ROW_PARTITIONS = ("tenant_id", "year", "month", "day")
@@ -29,6 +30,8 @@ CONVERSATIONS = T.StructType(
         *_text("conversation_id", "customer_key", "channel", "agent_id", "team_id", "queue_id"),
         *_times("started_at", "created_at", "updated_at"),
         T.StructField("operator_count", T.IntegerType()),
+        *_text("channel_type", "source_type", "source_sid", "call_sid", "conversation_sid", "reference_sids"),
+        *_text("customer_phone", "customer_phone_last4", "last_uri", "enrichment"),
         *_text(*ROW_PARTITIONS),
     ]
 )
@@ -54,14 +57,29 @@ def with_date_parts(df: DataFrame, ts: Column, parts: Sequence[str] = ("year", "
 
 
 def curated_conversations(headers: DataFrame) -> DataFrame:
-    """Headers in the stored ten-column shape with partition columns."""
-    channel = F.when(F.schema_of_variant("channel") == "STRING", F.try_variant_get("channel", "$", "string")).otherwise(
-        F.to_json("channel")
-    )
-    rows = with_date_parts(headers.withColumn("channel", channel), F.col("started_at"))
+    """Headers in the stored shape with partition columns; objects as JSON text, attributes the headers lack as null."""
+    kinds = dict(headers.dtypes)
+    as_text = {}
+    if kinds.get("channel") == "variant":
+        plain = F.schema_of_variant("channel") == "STRING"
+        as_text["channel"] = F.when(plain, F.try_variant_get("channel", "$", "string")).otherwise(F.to_json("channel"))
+    if kinds.get("enrichment") == "variant":
+        as_text["enrichment"] = F.to_json("enrichment")
+    if kinds.get("reference_sids", "").startswith("map"):
+        as_text["reference_sids"] = F.to_json("reference_sids")
+    rows = with_date_parts(headers.withColumns(as_text) if as_text else headers, F.col("started_at"))
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in CONVERSATIONS if f.name not in rows.columns}
+    rows = rows.withColumns(lacking) if lacking else rows
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in CONVERSATIONS])
 
 
+def stored_headers(rows: DataFrame) -> DataFrame:
+    """Stored conversations as headers: channel and enrichment as VARIANT, references as a map; partition columns stay."""
+    channel = F.coalesce(F.when(F.col("channel").startswith("{"), F.try_parse_json("channel")), F.col("channel").cast("variant"))
+    references = F.from_json("reference_sids", "map<string,string>")
+    return rows.withColumns({"channel": channel, "enrichment": F.try_parse_json("enrichment"), "reference_sids": references})
+
+
 def curated_results(results: DataFrame) -> DataFrame:
     rows = with_date_parts(results, F.col("received_at"))
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in OPERATOR_RESULTS])
@@ -116,9 +134,42 @@ def day_predicate(start: date, end: date) -> Column:
     return (result | month_predicate(whole[0], whole[-1])) if whole else result
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of an address."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _folder(spark, path)
+    return system.exists(folder)
+
+
+def files_below(spark: SparkSession, pattern: str) -> set[str]:
+    """Addresses of the files in the folders a pattern names."""
+    system, folder = _folder(spark, f"{pattern}/*")
+    return {str(f.getPath().toString()) for f in system.globStatus(folder) or ()}
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def partition_path(spark: SparkSession, root: str, **values: str | None) -> str:
+    """The folder of a partition; values are escaped as Spark escapes them."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join([root.rstrip("/"), *(escaped(name, value) for name, value in values.items())])
+
+
+def within(rows: Sequence, *columns: str) -> Column:
+    """A literal partition predicate that holds for all the given rows, and prunes: each column is among their values."""
+    result = F.lit(True)
+    for column in columns:
+        values = sorted({r[column] for r in rows if r[column] is not None})
+        inside = F.col(column).isin(values) if values else F.lit(False)
+        result = result & ((inside | F.col(column).isNull()) if any(r[column] is None for r in rows) else inside)
+    return result if rows else F.lit(False)
 
 
 def scan_results(
@@ -138,6 +189,9 @@ def scan_metrics(spark: SparkSession, path: str, tenant: str, start: date, end:
     return rows.where(F.col("date").between(f"{start:%Y%m%d}", f"{end:%Y%m%d}"))
 
 
+_among = within  # where a parameter has that name
+
+
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Replace exactly the partitions present in `df`.
 
@@ -166,7 +220,10 @@ def write_conversations(headers: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Put results over the stored ones of the same key; the second of arrival is part of it."""
+    """Put results over the stored ones of the same key; the second of arrival is part of it.
+
+    Within a second the later arrival stays, whichever was stored first; of equal ones, the larger address.
+    """
     rows = curated_results(results).withColumn("stamp", F.date_trunc("second", "received_at"))
     spark = prepare(results.sparkSession)
     if not exists(spark, path):
@@ -174,11 +231,11 @@ def write_results(results: DataFrame, path: str) -> None:
         return
     new = cut_lineage(rows)
     # A key's second is in its day's partition, so no other partition can hold it.
-    around = _with_file(scan(spark, path, "operator_results")).join(new.select(*ROW_PARTITIONS).distinct(), list(ROW_PARTITIONS), "left_semi")
-    keys = [*RESULT_KEY, "stamp"]
-    kept = around.withColumn("stamp", F.date_trunc("second", "received_at")).join(new.select(*keys).distinct(), keys, "left_anti")
-    merged = kept.select(*new.columns).unionByName(new).drop("stamp")
-    _overwrite(merged, around, path, ROW_PARTITIONS, ("operator_name",))
+    places = new.select(*ROW_PARTITIONS).distinct()
+    around = scan(spark, path, "operator_results").where(within(places.collect(), *ROW_PARTITIONS)).join(places, list(ROW_PARTITIONS), "left_semi")
+    both = around.withColumn("stamp", F.date_trunc("second", "received_at")).select(*new.columns).unionByName(new)
+    merged = latest(both, [*RESULT_KEY, "stamp"], "received_at", "s3_uri").drop("stamp")
+    write_partitions(cut_lineage(merged), path, ROW_PARTITIONS, ("operator_name",))
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -204,56 +261,58 @@ def replace_days(new: DataFrame, days: DataFrame, path: str) -> None:
     if not exists(spark, path):
         write_partitions(gold, path, GOLD_PARTITIONS, ("metric_name", "date"))
         return
-    old = _with_file(scan(spark, path, "metrics"))
     touched = days.select("tenant_id", "date").distinct()
     months = touched.select(
         "tenant_id", F.substring("date", 1, 4).alias("year"), F.substring("date", 5, 2).alias("month")
     ).distinct()
+    old = scan(spark, path, "metrics").where(within(months.collect(), *GOLD_PARTITIONS))
     kept = old.join(months, list(GOLD_PARTITIONS), "left_semi").join(touched, ["tenant_id", "date"], "left_anti")
     merged = kept.select(*gold.columns).unionByName(gold)
-    _overwrite(merged, old.join(months, list(GOLD_PARTITIONS), "left_semi"), path, GOLD_PARTITIONS, ("metric_name", "date"))
-
-
-def _with_file(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_file", F.col("_metadata.file_path"))
+    replace_partitions(merged, old.join(months, list(GOLD_PARTITIONS), "left_semi"), path, GOLD_PARTITIONS, ("metric_name", "date"))
 
 
-def _overwrite(rows: DataFrame, old: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str] = ()) -> None:
-    """Put `rows` in place of `old`, the stored rows of whole partitions with their `_file`.
+def replace_partitions(rows: DataFrame, old: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str] = ()) -> None:
+    """Put `rows` in place of `old`, the stored rows of whole partitions.
 
-    Partitions left without rows are emptied.
+    Partitions left without rows are dropped after the others are written: as many folders as there are such partitions.
     """
     rows = cut_lineage(rows)
-    emptied = old.join(rows.select(*partitions).distinct(), list(partitions), "left_anti")
-    # Files of emptied partitions: read before anything is overwritten.
-    gone = [r.file for r in emptied.select(F.col("_file").alias("file")).distinct().collect()]
-    write_partitions(rows, path, partitions, sort)
     spark = rows.sparkSession
-    for file in gone:
-        found = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, False)
+    emptied = old.select(*partitions).distinct().join(rows.select(*partitions).distinct(), list(partitions), "left_anti").collect()
+    write_partitions(rows, path, partitions, sort)
+    for place in emptied:
+        drop_folder(spark, partition_path(spark, path, **{p: place[p] for p in partitions}))
 
 
 def merge_rows(
-    new: DataFrame, path: str, partitions: Sequence[str], keys: Sequence[str], sort: Sequence[str] = (), within: Column | None = None
+    new: DataFrame,
+    path: str,
+    partitions: Sequence[str],
+    keys: Sequence[str],
+    sort: Sequence[str] = (),
+    within: Column | None = None,
+    gone: DataFrame | None = None,
 ) -> None:
-    """Replace the stored rows whose `keys` occur in `new` by the rows of `new`; all others stay.
+    """Replace the stored rows whose `keys` occur in `new`, or in `gone`, by the rows of `new`; all others stay.
 
     Only partitions that hold such rows, old or new, are read as a whole and written again. `within` is a
-    partition predicate outside of which no such old row lies.
+    partition predicate outside of which no such old row lies; no other partition is opened.
     """
     spark = prepare(new.sparkSession)
     if not exists(spark, path):
         write_partitions(new, path, partitions, sort)
         return
     new = cut_lineage(new)
-    old = _with_file(spark.read.schema(new.schema).parquet(path))
-    old = old if within is None else old.where(within)
-    named = new.select(*keys).distinct()
-    touched = old.join(named, list(keys), "left_semi").select(*partitions).union(new.select(*partitions)).distinct()
+    old = spark.read.schema(new.schema).parquet(path)
+    new_places = new.select(*partitions).distinct()
+    if within is not None:
+        old = old.where(within | _among(new_places.collect(), *partitions))
+    named = new.select(*keys) if gone is None else new.select(*keys).union(gone.select(*keys))
+    named = named.distinct()
+    touched = old.join(named, list(keys), "left_semi").select(*partitions).union(new_places).distinct()
     around = old.join(touched, list(partitions), "left_semi")
     kept = around.join(named, list(keys), "left_anti")
-    _overwrite(kept.select(*new.columns).unionByName(new), around, path, partitions, sort)
+    replace_partitions(kept.select(*new.columns).unionByName(new), around, path, partitions, sort)
 
 
 def register_table(spark: SparkSession, name: str, table: str, path: str) -> None:

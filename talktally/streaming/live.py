@@ -4,13 +4,14 @@ Two ways to the same numbers:
 
 * `running_counts` keeps counters in state and can be read at once. Its
   deduplication forgets after the watermark, and rows later than that are not in it.
-* `start_silver` stores every fire and rebuilds the touched days from what is
-  stored. A redelivered batch or document changes nothing, and late rows count.
+* `start_silver` stores every fire and brings conversations, results, index and counters up to date with those
+  that are new. A redelivered batch or document changes nothing, and late rows count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from talktally.operators.emit import KEYS, with_increments
 from talktally.operators.gates import SLOT, gate, with_day
 from talktally.operators.headers import promoted, with_enrichment
 from talktally.operators.latest import one_per_key
+from talktally.plans import counters, silver
 from talktally.plans.jobs import (
     Upstream,
     fires_from_documents,
@@ -32,9 +34,13 @@ from talktally.plans.jobs import (
     store_fires,
     touched_days,
 )
-from talktally.sources.archive import split_unreadable
-from talktally.sources.lake import exists
 from talktally.session import prepare
+from talktally.sources.archive import split_unreadable
+
+__all__ = [
+    "enriched_stream", "first_seen", "kafka_documents", "read_fires", "read_running_counts", "recompute", "reconcile", "running_counts", "silver_batch",
+    "start_running_counts", "start_silver", "store_fires", "streamed_increments", "touched_days", "with_arrival_counts",
+]
 
 STATE_DELAY = "7 days"
 
@@ -131,29 +137,53 @@ def silver_batch(
     upstream: Upstream | None = None,
     hook=None,
     default_tenant: str = "default",
+    name: str | None = None,
+    close_after: timedelta | None = None,
+    enrichment: DataFrame | None = None,
+    enrichment_fields: tuple[str, ...] = (),
 ) -> Callable[[DataFrame, int], None]:
-    """What one micro-batch of documents does.
+    """What one micro-batch of documents does: all stored tables follow it.
 
-    Unreadable and unfitting documents go to quarantine and never stop the stream.
+    Unreadable and unfitting documents go to quarantine and never stop the stream. Streams that write below one `root` need
+    names of their own. With `close_after`, days that lie further behind the newest one are closed, and fires that come for them later are counted as late.
     """
 
     def run(docs: DataFrame, batch_id: int) -> None:
-        spark = docs.sparkSession
+        batch = batch_name(batch_id, name)
         readable, bad = split_unreadable(docs)
         fires, rejected = fires_from_documents(readable, tenants, upstream, default_tenant)
         refused = rejected.select("source_uri", "received_at", F.col("rejected").alias("reason"))
-        bad.unionByName(refused).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
-        store_fires(prepared(fires, hook), f"{root}/fires", batch_id)
-        stored = f"{root}/fires"
-        if not exists(spark, stored):
-            return
-        batch = prepare(spark).read.parquet(stored).where(F.col("batch_id") == str(batch_id))
-        days = touched_days(batch)
-        recompute(read_fires(spark, stored, days), days, cfg, f"{root}/metrics")
+        bad.unionByName(refused).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch}")
+        apply_fires(prepared(fires, hook), root, batch, cfg, close_after, enrichment, enrichment_fields)
 
     return run
 
 
+def batch_name(batch_id: int, stream: str | None = None) -> str:
+    return f"{stream}-{batch_id}" if stream else str(batch_id)
+
+
+def apply_fires(
+    fires: DataFrame,
+    root: str,
+    batch: str,
+    cfg: MetricsConfig,
+    close_after: timedelta | None = None,
+    enrichment: DataFrame | None = None,
+    enrichment_fields: tuple[str, ...] = (),
+) -> None:
+    """Store a micro-batch of prepared fires and bring conversations, results, index and counters up to date with it."""
+    spark = prepare(fires.sparkSession)
+    stored = silver.store_run(fires, root, batch)
+    if stored.empty:
+        return
+    silver.at_once(
+        spark,
+        lambda: silver.update(spark, root, stored, cfg, enrichment, enrichment_fields),
+        lambda: counters.add(spark, root, stored, batch, cfg, close_after),
+    )
+
+
 def start_silver(docs: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     return (
         docs.writeStream.foreachBatch(run)
@@ -163,6 +193,19 @@ def start_silver(docs: DataFrame, run: Callable[[DataFrame, int], None], checkpo
     )
 
 
-def reconcile(spark: SparkSession, root: str, days: DataFrame, cfg: MetricsConfig, dry_run: bool = False) -> DataFrame | None:
-    """Nightly rebuild of closed days from the stored fires; with `dry_run` the difference."""
-    return recompute(read_fires(spark, f"{root}/fires", days), days, cfg, f"{root}/metrics", dry_run)
+def reconcile(
+    spark: SparkSession, root: str, days: DataFrame, cfg: MetricsConfig, dry_run: bool = False, every: bool = False
+) -> DataFrame | None:
+    """Nightly check of days: those whose stored fires are not the ones their counters stand for are made anew.
+
+    The comparison reads no payload, and of the other days nothing more is read. `every` makes all of them anew. With
+    `dry_run` the difference is returned instead.
+    """
+    wanted = days.select("tenant_id", "date").distinct().collect()
+    chosen = wanted if every else counters.differing_days(spark, root, wanted)
+    frame = spark.createDataFrame([(d["tenant_id"], d["date"]) for d in chosen], "tenant_id string, date string")
+    if dry_run:
+        return recompute(read_fires(spark, f"{root}/fires", frame), frame, cfg, f"{root}/metrics", dry_run=True)
+    if chosen:
+        counters.close(spark, root, chosen, cfg, anew=True)
+    return None
