@@ -48,7 +48,14 @@ OPERATOR_RESULTS = T.StructType(
 METRICS = T.StructType(
     [*_text("date", "metric_name"), T.StructField("value", T.DoubleType()), *_text(*GOLD_PARTITIONS)]
 )
-TABLES = {"conversations": CONVERSATIONS, "operator_results": OPERATOR_RESULTS, "metrics": METRICS}
+INDEX = T.StructType(
+    [
+        *_text("field_value", "conversation_id", "operator_name", "date"),
+        *_times("received_at", "expires_at"),
+        *_text("tenant_id", "field_name", "month"),
+    ]
+)
+TABLES = {"conversations": CONVERSATIONS, "operator_results": OPERATOR_RESULTS, "metrics": METRICS, "index": INDEX}
 
 
 def with_date_parts(df: DataFrame, ts: Column, parts: Sequence[str] = ("year", "month", "day")) -> DataFrame:
