@@ -105,24 +105,26 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, lines: str = "n_lines", del
     the shortest windows from each line are compared: up to `least` - 1 words at the end of a run stay.
     """
     runs = repeated_runs(docs.select("doc_id", "text"), least, whole).select(F.col("doc_id").alias("_run_doc"), F.col("copy").alias("_run_copy"), F.col("runs").alias("_runs"))
-    kept = docs.drop(lines, deleted)
-    joined = kept.withColumn("_copy", F.xxhash64("text")).join(
-        runs, F.col("doc_id").eqNullSafe(F.col("_run_doc")) & (F.col("_copy") == F.col("_run_copy")), "left"
+    kept = [c for c in docs.columns if c not in (lines, deleted)]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    joined = rows.withColumn("copy", F.xxhash64("body")).join(
+        runs, F.col("id").eqNullSafe(F.col("_run_doc")) & (F.col("copy") == F.col("_run_copy")), "left"
     )
-    joined = joined.withColumn("_lines", F.split("text", "\n"))
+    joined = joined.withColumn("parts", F.split("body", "\n"))
     n = F.size("_runs")
 
     def between(k: Column) -> Column:
         """The lines before run k and behind the one before it; after the last run, the rest."""
         start = F.when(k == 0, 0).otherwise(F.get("_runs", k - 1)["last"] + 1)
-        end = F.when(k == n, F.size("_lines")).otherwise(F.get("_runs", k)["first"])
-        return F.slice("_lines", start + 1, end - start)
+        end = F.when(k == n, F.size("parts")).otherwise(F.get("_runs", k)["first"])
+        return F.slice("parts", start + 1, end - start)
 
-    rest = F.flatten(F.transform(F.sequence(F.lit(0), n), between))
+    rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
     gone = F.aggregate("_runs", F.lit(0), lambda sum_, r: sum_ + r["last"] - r["first"] + 1)
+    shorter = F.when(F.col("_runs").isNull(), F.col("body")).otherwise(rest).alias("text")
     return joined.select(
-        *(F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias(lines),
+        *(shorter if c == "text" else F.col("row").getField(c).alias(c) for c in kept),
+        F.when(F.col("body").isNull(), 0).otherwise(F.size("parts")).cast("long").alias(lines),
         F.coalesce(gone, F.lit(0)).cast("long").alias(deleted),
     )
 
@@ -139,11 +141,16 @@ l AS (
   SELECT a.doc_id, a.pos AS first, min(b.pos) AS last, min(b.k) AS last_k, min(a.k) AS first_k
   FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 AND b.upto - a.upto + a.words >= 50
   GROUP BY a.doc_id, a.pos
+), begins AS (
+  SELECT a.doc_id, max(b.pos) AS first, a.pos AS last, min(a.k) AS last_k, max(b.k) AS first_k
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 49 AND a.k AND a.upto - b.upto + b.words >= 50
+  GROUP BY a.doc_id, a.pos
 ), whole AS (SELECT doc_id, list(line ORDER BY pos) AS lines FROM w GROUP BY doc_id),
 win AS (
-  SELECT e.doc_id, first, last, lines[first_k:last_k] AS content FROM ends e JOIN whole USING (doc_id)
+  SELECT e.doc_id, first, last, 'on' AS way, lines[first_k:last_k] AS content FROM ends e JOIN whole USING (doc_id)
+  UNION ALL SELECT e.doc_id, first, last, 'back', lines[first_k:last_k] FROM begins e JOIN whole USING (doc_id) WHERE first < last
 ), later AS (
-  SELECT doc_id, first, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS turn FROM win
+  SELECT doc_id, first, last, row_number() OVER (PARTITION BY way, content ORDER BY doc_id, first) AS turn FROM win
 ), gone AS (
   SELECT DISTINCT l.doc_id, l.pos FROM l JOIN later d ON l.doc_id = d.doc_id AND d.turn > 1 AND l.pos BETWEEN d.first AND d.last
 ), left_over AS (
@@ -159,5 +166,5 @@ FROM documents d LEFT JOIN left_over o ON d.doc_id = o.doc_id
 
 @query("op5_line_dedup", OP5_SQL)
 def op5_line_dedup(spark, sf_dir):
-    """Every document's text without later repeated windows of lines, as OP5_SQL defines them."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
+    """Every document's text without later repeated runs of lines, to both ends."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms (no Python, no sort of documents).
 
-A document's place is the first 48 bits of the MD5 of its id. Per source, words are summed by the
+A document's place is the first 48 bits of the MD5 of its id and text. Per source, words are summed by the
 leading bits of that place; the bucket in which the budget runs out is found from the running
 sums and only its documents are summed again by the next bits. The budget thus becomes one
 threshold per source, and a document is taken if its place lies below it. A smaller budget gives a
@@ -20,9 +20,9 @@ BITS, LEVELS = 12, 4
 PLACE_BITS = BITS * LEVELS
 
 
-def place(doc_id: str | Column) -> Column:
-    """48 bits of a document's hash; null ids share one place."""
-    digits = F.md5(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")))
+def place(doc_id: Column, text: Column) -> Column:
+    """48 bits of the hash of id and text, so that documents without an id, or with one id, have places of their own."""
+    digits = F.md5(F.concat_ws("#", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digits, 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
@@ -68,14 +68,13 @@ def thresholds(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     for level in range(LEVELS):
         cut = stored(_refined(sizes, cut, level), "mix-cut")
     nearer = (F.col("rest") > 0) & (F.col("bucket_size") - F.col("rest") < F.col("rest"))
-    last = F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix"))
+    last = F.when(F.col("source_size") == 0, 0).when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix"))
     return cut.select("source", "source_size", "target", "whole", last.alias("threshold"))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return stored(
-        docs.select("doc_id", "source", word_count("text").alias("size"), place("doc_id").alias("place")), "mix-sizes"
-    )
+    placed = place(F.col("doc_id"), F.col("text")).alias("place")
+    return stored(docs.select("doc_id", "source", word_count("text").alias("size"), placed), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -83,9 +82,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
 
     `taken` is `copies` times the size. All documents are taken as often as the target holds the source
     whole; the rest of the target takes those below the threshold once more. The document at which
-    the rest runs out is taken if that comes nearer. Null and empty texts have size 0; documents that share an
-    id, and those without one, share a place and are taken together; a source without words takes nothing;
-    an empty table gives no rows.
+    the rest runs out is taken if that comes nearer. Null and empty texts have size 0; rows that agree in id and text
+    are one document and taken together; a source without words takes nothing; an empty table gives no rows.
     """
     sizes = sizes_of(docs)
     cut = thresholds(sizes, weights, most).withColumnRenamed("source", "_source")
@@ -98,12 +96,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as it is taken."""
-    cut = thresholds(sizes_of(docs), weights, most)
-    cut = cut.select(F.col("source").alias("_source"), "whole", "threshold").select(F.struct("*").alias("_cut"))
-    joined = docs.join(cut, F.col("source").eqNullSafe(F.col("_cut._source")))
-    copies = (F.col("_cut.whole") + (place("doc_id") < F.col("_cut.threshold")).cast("long")).cast("int")
-    repeated = joined.withColumn("_turn", F.explode_outer(F.array_repeat(F.lit(1), copies))).where("_turn = 1")
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut = thresholds(sizes_of(docs), weights, most).withColumnRenamed("source", "_source")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = rows.join(cut, F.col("row.source").eqNullSafe(F.col("_source")))
+    below = place(F.col("row.doc_id"), F.col("row.text")) < F.col("threshold")
+    copies = (F.col("whole") + below.cast("long")).cast("int")
+    repeated = joined.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("turn"))
+    return repeated.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _refined(sizes: DataFrame, cut: DataFrame, level: int) -> DataFrame:
@@ -121,7 +120,7 @@ def _refined(sizes: DataFrame, cut: DataFrame, level: int) -> DataFrame:
     )
     # The first bucket that passes the rest; where none does, the end of the last one.
     passed = F.when(F.col("upto") > F.col("rest"), F.struct("bucket", "bucket_size", "upto"))
-    found = joined.groupBy("source", "source_size", "target", "whole", "rest").agg(
+    found = joined.groupBy("source", "source_size", "target", "whole", "rest", "prefix").agg(
         F.min(passed).alias("hit"), F.max(F.struct("bucket", "upto")).alias("end")
     )
     return found.select(
@@ -132,7 +131,7 @@ def _refined(sizes: DataFrame, cut: DataFrame, level: int) -> DataFrame:
         F.when(F.col("hit").isNull(), 0.0)
         .otherwise(F.col("rest") - (F.col("hit.upto") - F.col("hit.bucket_size")))
         .alias("rest"),
-        F.coalesce(F.col("hit.bucket"), F.col("end.bucket") + 1).alias("prefix"),
+        F.coalesce(F.col("hit.bucket"), F.col("end.bucket") + 1, F.shiftleft("prefix", BITS)).alias("prefix"),
         F.coalesce(F.col("hit.bucket_size"), F.lit(0)).cast("long").alias("bucket_size"),
     )
 
@@ -140,7 +139,7 @@ def _refined(sizes: DataFrame, cut: DataFrame, level: int) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS place
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS place
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

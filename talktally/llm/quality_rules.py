@@ -115,13 +115,13 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def _passed(measured: DataFrame) -> DataFrame:
-    """lang and passed: per rule the number of grid values below the measure, whose cutoffs reject the document."""
+    """doc_id, lang, copy and passed: per rule the number of grid values below the measure, whose cutoffs reject the document."""
 
     def below(share: Column, grid: list[float]) -> Column:
         return F.coalesce(F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: share > g)), F.lit(0))
 
     passed = F.array(*(below(share, grid) for share, grid in zip(_shares().values(), RULES.values(), strict=True)))
-    return measured.where(~base_failed()).select("doc_id", "lang", passed.alias("passed"))
+    return measured.where(~base_failed()).select("doc_id", "lang", "copy", passed.alias("passed"))
 
 
 def _order(passed: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
@@ -158,12 +158,14 @@ def _order(passed: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(lang, rule, cutoff): the strictest cutoff of each rule in use, where there is one.
 
-    `labels` holds doc_id and quality; the good (1) are the holdout. A document labelled twice counts as good if
-    any label says so.
+    `labels` holds doc_id and quality; the good (1) are the holdout. Each distinct text of a stratum is one trial, however many rows
+    and documents have it, and is good if any label of theirs says so.
     """
     marked = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("is_good"))
-    passed = stored(_passed(measured), "quality-passed")
-    labelled = stored(passed.join(marked, "doc_id"), "quality-labelled")
+    each = _passed(measured).join(marked, "doc_id", "left")
+    # A text has one row of `passed`, so grouping by that too adds nothing but spares carrying it.
+    passed = stored(each.groupBy("lang", "copy", "passed").agg(F.max("is_good").alias("is_good")), "quality-passed")
+    labelled = stored(passed.where("is_good IS NOT NULL"), "quality-labelled")
     good = labelled.where("is_good = 1")
     # A few rows a stratum; written between the steps so that no expression is worked out more than once.
     path = stored(_order(passed, good, labelled.where("is_good = 0")), "quality-order")

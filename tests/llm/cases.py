@@ -7,7 +7,7 @@ import random
 import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "size long, score string, ids string, copy long, n_words int, place string, n_tokens string, lines string, bands int, marks int, decoded int, whole int, level int"
+CLASHING = "size long, score string, ids string, copy long, n_words int, place string, n_tokens string, lines string, bands int, marks int, decoded int, whole int, level int, _turn int, _cut string, _copy string, _lines int, _score int, _runs int, _lines_of_text int, row int, turn int, parts int, body int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
