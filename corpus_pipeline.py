@@ -17,17 +17,26 @@ from talktally.llm.mixing import mixed
 from talktally.llm.toxicity import toxicity
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), column="_score")
-    return scored.where("_score < 0.5").drop("_score")
+    score = unused(docs, "score")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), column=score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later repeated runs of lines; n_chars follows the text."""
-    cut = dedup_lines(docs, lines="_lines_of_text", deleted="_lines_deleted")
+    deleted = unused(docs, "lines_deleted")
+    cut = dedup_lines(docs, lines=unused(docs, "lines_of_text"), deleted=deleted)
     if "n_chars" in docs.columns:
-        shorter = F.when(F.col("_lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        shorter = F.when(F.col(deleted) > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", shorter.cast(docs.schema["n_chars"].dataType))
     return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
