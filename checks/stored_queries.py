@@ -16,15 +16,17 @@ from checks.base import query
 from checks.gold_queries import gold_sql
 from checks.report_queries import FROM, HEADER_RANGE, TO
 from checks.serving_queries import JANUARY, list_sql, metrics_sql
-from checks.silver_queries import stamp, stamp_sql
-from talktally.config import TenantConfig
+from checks.silver_queries import REGISTRY_SQL, registry, stamp, stamp_sql
+from talktally.config import MetricsConfig, TenantConfig
 from talktally.functions import variants as V
+from talktally.operators import bundle
 from talktally.operators.index import index_entries
 from talktally.operators.results import apply_hook
 from talktally.plans import counters, jobs, reports, serve, silver
 from talktally.session import scratch_path
 from talktally.sources import access, archive, lake
-from talktally.sources.enrichment import latest_enrichment, parse_enrichment
+from talktally.sources import registry as registries
+from talktally.sources.enrichment import latest_enrichment, parse_enrichment, store_enrichment, stored_enrichment
 from talktally.streaming import live
 
 _made: dict[tuple, str] = {}
@@ -383,3 +385,119 @@ def q_newest_headers_stored(spark, sf_dir):
 def metrics_endpoint_stored(spark, sf_dir):
     gold = lake.scan(spark, f"{two_runs(spark, sf_dir)}/metrics", "metrics")
     return serve.metrics(gold, I.config(), "t1", *JANUARY).drop("display_name")
+
+
+# --- retention, stored registries, the bundled operator ------------------------------------
+
+ALIVE = "2024-07-15"
+
+
+@query(
+    f"""WITH {I.FIRES_SQL}, c AS (
+      SELECT tenant_id, conversation_id, min(ts) AS started_at, count(*)::INTEGER AS operator_count FROM p GROUP BY ALL)
+    SELECT c.conversation_id, operator_count FROM c WHERE tenant_id = 't1' AND EXISTS (
+      SELECT 1 FROM items i WHERE i.tenant_id = c.tenant_id AND i.conversation_id = c.conversation_id AND operator_name = 'purchase' AND at_end
+        AND cat = 'área_1' AND i.ts + INTERVAL 180 DAYS > TIMESTAMP '{ALIVE}')
+    ORDER BY c.started_at DESC, c.conversation_id DESC LIMIT 50"""
+)
+def list_index_alive(spark, sf_dir):
+    """Stored headers found through the stored index, entries past their retention left out."""
+    root = two_runs(spark, sf_dir)
+    heads = lake.stored_headers(lake.scan(spark, f"{root}/conversations", "conversations"))
+    tables = serve.Tables(heads, index=lake.scan(spark, f"{root}/index", "index"))
+    rows = serve.conversations(tables, I.config(), "t1", {"primary_topic": "Área 1"}, as_of=F.lit(ALIVE).cast("timestamp"))
+    return rows.select("conversation_id", "operator_count")
+
+
+@query(
+    f"""WITH {I.ENRICHMENT_SQL} SELECT tenant_id, kind AS correlation_type, key AS correlation_key, nation, tier, balance::DOUBLE AS balance,
+      CASE WHEN kind = 'CALL' THEN 'crm' ELSE 'unknown' END AS source FROM e"""
+)
+def enrichment_stored_latest(spark, sf_dir):
+    """Posts stored by three runs, newer versions first, one run twice; the newest record of a key stays."""
+    path = scratch_path(spark, "enrichment")
+    posts = parse_enrichment(I.enrichment_posts(spark, sf_dir))[0]
+    later = F.col("received_at") > F.lit("2024-01-01 12:00:00").cast("timestamp")
+    for part in (later, ~later, later):
+        store_enrichment(posts.where(part), path)
+    fields = F.col("fields")
+    return stored_enrichment(spark, path, as_of=F.lit("2024-02-01").cast("timestamp")).select(
+        "tenant_id", "correlation_type", "correlation_key", V.text_at(fields, "nation").alias("nation"), V.text_at(fields, "tier").alias("tier"),
+        V.as_double(V.field(fields, "balance")).alias("balance"), "source",
+    )
+
+
+@query(
+    f"""WITH {REGISTRY_SQL}
+    SELECT tenant_id, operator_name, 'v1' AS schema_version, definition FROM own WHERE tenant_id = 't1'
+    UNION ALL SELECT 'default', 'op' || r_regionkey, 'v1', r_name FROM region
+      WHERE 'op' || r_regionkey NOT IN (SELECT operator_name FROM own WHERE tenant_id = 't1')"""
+)
+def registry_stored(spark, sf_dir):
+    """The registry stored in three runs, the tenants' entries twice."""
+    path = scratch_path(spark, "registry")
+    rows = registry(spark, sf_dir)
+    own = F.col("tenant_id") != "default"
+    for part in (own, ~own, own):
+        registries.store(rows.where(part), path)
+    return registries.with_overrides(registries.stored(spark, path), "t1").select("tenant_id", "operator_name", "schema_version", "definition")
+
+
+AGENT_FLAGS = [(f"quality.{a}.{f}", f"{a}_{f}", n) for n, (a, f) in enumerate([*(("virtual_agent", f) for f in bundle.VIRTUAL_AGENT), *(("human_agent", f) for f in bundle.HUMAN_AGENT)], 2)]
+
+
+def bundle_fires(spark, sf_dir):
+    """Results of the bundled operator, one an event; flags are true by their own divisor of the event's number."""
+    k, e = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+
+    def flags(agent: str) -> list:
+        return [(e % n == 0).alias(path.split(".")[2]) for path, _, n in AGENT_FLAGS if path.split(".")[1] == agent]
+
+    data = F.struct(
+        F.struct(I.choose(k, "positive", "neutral", "negative").alias("overall"), k.alias("score")).alias("sentiment"),
+        F.struct(F.trim(F.repeat(F.lit("word "), k % 6)).alias("paragraph")).alias("summary"),
+        F.struct(
+            I.choose(k, "scheduling", "cancellation", "problem", "other").alias("primary_intent"), (k % 7).alias("primary_confidence"),
+            I.choose(e, "resolved", "unresolved", "escalated", "").alias("resolution_status"),
+        ).alias("classification"),
+        F.struct(
+            F.struct(*flags("virtual_agent"), (k % 11).alias("quality_score")).alias("virtual_agent"),
+            F.struct(*flags("human_agent"), (e % 3 == 0).alias("was_transferred"), (k % 5).alias("quality_score")).alias("human_agent"),
+        ).alias("quality"),
+    )
+    rows = I.table(spark, sf_dir, "events").select("event_id", F.to_variant_object(data).alias("payload"))
+    keyed = rows.withColumn("source_uri", I.text("e", F.lpad(e.cast("string"), 12, "0"))).drop("event_id")
+    joined = I.fires(spark, sf_dir).drop("data").join(keyed, "source_uri")
+    return joined.withColumnRenamed("payload", "data").withColumns({"operator_name": F.lit("bundle"), "trigger": F.lit(None).cast("string")})
+
+
+def bundle_sql() -> str:
+    counts = [
+        "SELECT tenant_id, date, 'sentiment_' || ['positive', 'neutral', 'negative'][k % 3 + 1] AS m, 1.0::DOUBLE AS v FROM f",
+        "SELECT tenant_id, date, 'intent_' || ['scheduling', 'cancellation', 'problem', 'other'][k % 4 + 1], 1 FROM f",
+        "SELECT tenant_id, date, 'resolution_' || ['resolved', 'unresolved', 'escalated'][event_id % 4 + 1], 1 FROM f WHERE event_id % 4 < 3",
+        "SELECT tenant_id, date, 'conversation_count', count(DISTINCT conversation_id) FROM f GROUP BY ALL",
+        "SELECT tenant_id, date, 'operator_bundle_count', 1 FROM f",
+        "SELECT tenant_id, date, 'human_agent_transfers', 1 FROM f WHERE event_id % 3 = 0",
+    ]
+    for name, value in (("sentiment_score", "k"), ("intent_confidence", "k % 7"), ("virtual_agent_quality", "k % 11"), ("human_agent_quality", "k % 5"), ("summary_word_count", "k % 6")):
+        counts += [f"SELECT tenant_id, date, '{name}_sum', {value} FROM f", f"SELECT tenant_id, date, '{name}_count', 1 FROM f"]
+    counts += [f"SELECT tenant_id, date, '{name}', 1 FROM f WHERE event_id % {n} = 0" for _, name, n in AGENT_FLAGS]
+    averages = {"sentiment_avg": "sentiment_score", "intent_avg_confidence": "intent_confidence", "virtual_agent_quality_avg": "virtual_agent_quality",
+                "human_agent_quality_avg": "human_agent_quality", "summary_avg_words": "summary_word_count", "sentiment_score_avg": "sentiment_score",
+                "intent_confidence_avg": "intent_confidence", "summary_word_count_avg": "summary_word_count"}
+    defs = [f"('{d}', '{raw}_sum', '{raw}_count', 1)" for d, raw in averages.items()]
+    defs += [f"('{name}_percent', '{name}', '{'conversation_count' if name.startswith('v') else 'human_agent_transfers'}', 100)" for _, name, _ in AGENT_FLAGS]
+    defs.append("('transfer_rate_percent', 'human_agent_transfers', 'conversation_count', 100)")
+    return f"""WITH {I.FIRES_SQL.split('p AS (')[0].rstrip().rstrip(',')}, c AS ({' UNION ALL '.join(counts)}),
+    t AS (SELECT tenant_id, date, m, sum(v)::DOUBLE AS v FROM c GROUP BY ALL),
+    defs AS (SELECT * FROM (VALUES {', '.join(defs)}) AS d(name, numerator, denominator, scale))
+    SELECT tenant_id, date, m AS metric_name, v AS value FROM t
+    UNION ALL SELECT n.tenant_id, n.date, d.name, floor(n.v / o.v * d.scale * 100 + 0.5) / 100 FROM defs d
+      JOIN t n ON n.m = d.numerator JOIN t o ON o.m = d.denominator AND o.tenant_id = n.tenant_id AND o.date = n.date WHERE o.v > 0"""
+
+
+@query(bundle_sql())
+def gold_bundle_families(spark, sf_dir):
+    """Every documented counter of the bundled operator with the averages and rates over them."""
+    return jobs.gold_of(bundle_fires(spark, sf_dir), bundle.with_bundle(MetricsConfig(), "bundle"))

@@ -16,7 +16,7 @@ from talktally.functions import variants as V
 from talktally.functions.values import iso_day
 from talktally.operators.derived import derive_all, raw_only
 from talktally.operators.headers import correlation, with_enrichment
-from talktally.operators.index import by_index, pick_filter
+from talktally.operators.index import alive, by_index, pick_filter
 from talktally.operators.naming import with_display_names
 from talktally.operators.skew import lookup_join
 from talktally.sources import access
@@ -150,9 +150,12 @@ def conversations(
     exclusive: bool = False,
     enrichment_fields: Sequence[str] = (),
     hot_rows: int | None = None,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """A page of conversations with surfaced operator fields and fresh enrichment.
 
+    Of an index with expiry, entries count until their retention has passed, now or at `as_of`.
+
     Filters combine with AND. With `exclusive` an index filter switches the plain
     ones off, and of those only the first given one applies.
     """
@@ -168,7 +171,7 @@ def conversations(
         rows = rows.where(F.col(column) == value)
     if hit:
         index = tables.index.where(F.col("tenant_id") == tenant)
-        rows = by_index(rows, index, *hit)
+        rows = by_index(rows, alive(index, as_of) if "expires_at" in index.columns else index, *hit)
     rows = page(rows, limit, after)
     if tables.results is not None:
         of_tenant = tables.results.where(F.col("tenant_id") == tenant)

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -30,6 +29,7 @@ from talktally.sources import access, fires as F_, lake, locator
 
 CONVERSATION = ["tenant_id", "conversation_id"]
 HEADERS, RESULTS, INDEX, PLACES, FIRES = "conversations", "operator_results", "index", "conversation_days", "fires"
+COUNTS = "run_counts"
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,7 @@ class Run:
     rebuilt: bool
     gone: DataFrame | None = None  # conversations the run had before it was stored again
     gone_days: tuple = ()
+    name: str = ""
 
     @property
     def empty(self) -> bool:
@@ -48,6 +49,24 @@ class Run:
         return not self.rebuilt and (not self.days or self.fresh.isEmpty())
 
 
+def note_counts(spark: SparkSession, root: str, run: int | str, **observed: Observation) -> None:
+    """Enter how many rows each output of a run had; the same run again replaces its counts."""
+    rows = [(output, int(seen.get["rows"])) for output, seen in observed.items()]
+    table = spark.createDataFrame(rows, "output string, rows long").coalesce(1)
+    table.write.mode("overwrite").parquet(f"{root}/{COUNTS}/batch_id={run}")
+
+
+def run_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(output, rows, batch_id) of every run that changed something."""
+    return spark.read.schema("output string, rows long, batch_id string").parquet(f"{root}/{COUNTS}")
+
+
+def counted(rows: DataFrame, output: str) -> tuple[DataFrame, Observation]:
+    """`rows`, counted where they are written."""
+    seen = Observation(output)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def store_run(fires: DataFrame, root: str, run: int | str) -> Run:
     """Store the fires of a run and tell what it changes."""
     spark, path = fires.sparkSession, f"{root}/{FIRES}"
@@ -58,9 +77,9 @@ def store_run(fires: DataFrame, root: str, run: int | str) -> Run:
         gone, gone_days = cut_lineage(before.select(*CONVERSATION).distinct()), F_.days_of(before)
     F_.store_fires(fires, path, run)
     if not F_.run_is_stored(spark, path, run):
-        return Run(with_day(fires).limit(0).drop("date"), [], repeated, gone, tuple(gone_days))
+        return Run(with_day(fires).limit(0).drop("date"), [], repeated, gone, tuple(gone_days), str(run))
     mine = F_.stored_rows(spark, path).where(F.col("batch_id") == str(run))
-    return Run(F_.fresh_fires(spark, path, run), F_.days_of(mine), repeated, gone, tuple(gone_days))
+    return Run(F_.fresh_fires(spark, path, run), F_.days_of(mine), repeated, gone, tuple(gone_days), str(run))
 
 
 def update(
@@ -72,7 +91,6 @@ def update(
     enrichment_fields: Sequence[str] = (),
 ) -> Observation:
     """Conversations, results and index with what a stored run changes; returns the number of results written."""
-    written = Observation("results")
     if run.rebuilt:
         known, heads, old = _rebuilt(spark, root, run)
         slots = known
@@ -82,8 +100,10 @@ def update(
         slots = _same_slots(spark, root, run, known, cfg)
     if enrichment is not None:
         heads = _enriched(heads, enrichment)
+    heads, seen_heads = counted(heads, "conversations")
     heads = cut_lineage(heads)
-    results = operator_results(known).observe(written, F.count(F.lit(1)).alias("rows"))
+    results, written = counted(operator_results(known), "results")
+    entries, seen_entries = counted(_index_entries(slots, heads, cfg, enrichment_fields), "index")
 
     def write_results() -> None:
         if run.rebuilt:
@@ -95,8 +115,9 @@ def update(
         spark,
         write_results,
         lambda: write_headers(spark, root, heads, old),
-        lambda: _write_index(spark, root, run, known, slots, heads, old, cfg, enrichment_fields),
+        lambda: _write_index(spark, root, run, known, entries, old, cfg),
     )
+    note_counts(spark, root, run.name, conversations=seen_heads, results=written, index=seen_entries)
     return written
 
 
@@ -206,18 +227,20 @@ def _same_slots(spark: SparkSession, root: str, run: Run, fresh: DataFrame, cfg:
     return fresh.where(~once).unionByName(every)
 
 
+def _index_entries(slots: DataFrame, heads: DataFrame, cfg: MetricsConfig, enrichment_fields: Sequence[str]) -> DataFrame:
+    entries = daily_index(slots, cfg).unionByName(header_entries(lake.stored_headers(heads), enrichment_fields))
+    return stored_index(entries)
+
+
 def _write_index(
-    spark: SparkSession, root: str, run: Run, known: DataFrame, slots: DataFrame, heads: DataFrame, old: DataFrame,
-    cfg: MetricsConfig, enrichment_fields: Sequence[str],
+    spark: SparkSession, root: str, run: Run, known: DataFrame, new: DataFrame, old: DataFrame, cfg: MetricsConfig
 ) -> None:
     """Entries of the run's days and conversations.
 
-    Entries of ordinary operators are added, the later arrival staying; those of slots that count once, of headers and of rebuilt conversations replace the
-    stored ones. Only months of the run's days and of the headers' former and new days are opened.
+    Entries of ordinary operators are added, the later arrival staying; those of slots that count once, of headers and of rebuilt
+    conversations replace the stored ones. Only months of the run's days and of the headers' former and new days are opened.
     """
     path = f"{root}/{INDEX}"
-    new = cut_lineage(reduce(DataFrame.unionByName, [daily_index(slots, cfg), header_entries(lake.stored_headers(heads), enrichment_fields)]))
-    new = stored_index(new)
     if not lake.exists(spark, path):
         lake.write_partitions(new, path, lake.INDEX_PARTITIONS, ("field_value",))
         return

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,14 +120,14 @@ def archive_documents(fires: DataFrame) -> DataFrame:
     )
 
 
-def append_archive(fires: DataFrame, path: str) -> None:
-    """Append fires as JSON lines under tenant/operator/version/date partitions."""
-    (
-        archive_documents(fires)
-        .write.mode("append")
-        .partitionBy("tenant_id", "operator_name", "schema_version", "date")
-        .text(path)
-    )
+def append_archive(fires: DataFrame, path: str, run: str | None = None) -> None:
+    """Append fires as JSON lines under tenant/operator/version/date partitions, and below them by run.
+
+    The same named `run` again replaces its lines; without a name every call is a run of its own.
+    """
+    rows = archive_documents(fires).withColumn("run", F.lit(run or uuid.uuid4().hex))
+    parts = ["tenant_id", "operator_name", "schema_version", "date", "run"]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).text(path)
 
 
 def read_lines(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -133,7 +135,7 @@ def read_lines(spark: SparkSession, path: str, since: str | None = None, until:
     return _lines(spark.read.text(path), since, until)
 
 
-_LINES = "value string, tenant_id string, operator_name string, schema_version string, date string"
+_LINES = "value string, tenant_id string, operator_name string, schema_version string, date string, run string"
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1000, since: str | None = None, until: str | None = None) -> DataFrame:

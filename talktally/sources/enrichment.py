@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talktally.functions import variants as V
 from talktally.functions.values import blank_to_null
 from talktally.operators.headers import correlation
-from talktally.operators.index import ENRICHMENT_DAYS, with_expiry
+from talktally.operators.index import ENRICHMENT_DAYS, alive, with_expiry
 from talktally.operators.latest import latest
 from talktally.operators.staged import evaluated_once
+from talktally.sources import keyed
 
 KEYS = ["tenant_id", "correlation_type", "correlation_key"]
 
@@ -49,6 +50,16 @@ def latest_enrichment(records: DataFrame) -> DataFrame:
     return latest(records, KEYS, "received_at", "source_uri")
 
 
+def store_enrichment(records: DataFrame, path: str) -> None:
+    """Put accepted records over the stored ones: the whole newest record of every key stays."""
+    keyed.put(records, path, KEYS, "received_at", "source_uri")
+
+
+def stored_enrichment(spark: SparkSession, path: str, tenant: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """Stored records whose retention has not passed, now or at `as_of`."""
+    return alive(keyed.read(spark, path, tenant), as_of)
+
+
 def read_enrichment_csv(spark: SparkSession, path: str, tenant: str, key_column: str, source: str = "csv") -> DataFrame:
     """CSV rows with a header as posts: the key column names the call, the rest are fields."""
     rows = spark.read.option("header", True).csv(path)

@@ -322,6 +322,22 @@ def merge_rows(
     replace_partitions(kept.select(*new.columns).unionByName(new), around, path, partitions, sort)
 
 
+def drop_expired(spark: SparkSession, path: str, table: str, partitions: Sequence[str], as_of: Column | None = None) -> int:
+    """Delete the rows of a stored table whose retention has passed, for a quiet hour; returns how many partitions it opened.
+
+    Only partitions with such rows are written again, and those left empty go.
+    """
+    rows = scan(prepare(spark), path, table)
+    now = F.current_timestamp() if as_of is None else as_of
+    places = rows.where(F.col("expires_at") <= now).select(*partitions).distinct().collect()
+    if not places:
+        return 0
+    stale = spark.createDataFrame(places)
+    around = rows.where(within(places, *partitions)).join(stale, list(partitions), "left_semi")
+    replace_partitions(around.where(F.col("expires_at") > now), around, path, partitions)
+    return len(places)
+
+
 def register_table(spark: SparkSession, name: str, table: str, path: str) -> None:
     """Catalog table over stored Parquet; partitions are discovered."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES[table])

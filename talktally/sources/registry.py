@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talktally.functions.values import blank_to_null
 from talktally.operators.latest import latest, one_per_key
+from talktally.sources import keyed
 
 DEFAULT_TENANT = "default"
 KEYS = ("operator_name", "schema_version")
@@ -49,9 +50,20 @@ def lookup(registry: DataFrame, tenant: str, operator: str, version: str) -> Dat
     return one_per_key(hits, list(KEYS), [(F.col("tenant_id") == DEFAULT_TENANT).asc()])
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Rows with operator and version; others are refused."""
+    return rows.where(blank_to_null(F.col("operator_name")).isNotNull() & blank_to_null(F.col("schema_version")).isNotNull())
+
+
+def store(rows: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
+    """Put rows over the stored registry: per tenant and key the last created one stays."""
+    keyed.put(named(rows), path, ["tenant_id", *keys], "created_at")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return keyed.read(spark, path)
+
+
 def upsert(registry: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Registry with `rows` put over it; rows without operator or version are refused."""
-    named = rows.where(
-        blank_to_null(F.col("operator_name")).isNotNull() & blank_to_null(F.col("schema_version")).isNotNull()
-    )
-    return latest(registry.unionByName(named), ["tenant_id", *keys], "created_at")
+    return latest(registry.unionByName(named(rows)), ["tenant_id", *keys], "created_at")
