@@ -16,7 +16,7 @@ from talktally.operators.increments import digests, folded, increments, totals
 from talktally.operators.index import index_entries
 from talktally.operators.results import apply_hook
 from talktally.plans import counters, jobs, serve, silver
-from talktally.sources import access, archive, lake, locator
+from talktally.sources import access, archive, enrichment, lake, locator
 from talktally.sources import fires as stored
 from talktally.streaming import live
 
@@ -259,3 +259,48 @@ def test_results_of_one_second_keep_the_latest_whatever_comes_first(spark, tmp_p
     for rows in ([later], [sooner]):
         write(spark, rows, str(tmp_path))
     assert [r.s3_uri for r in lake.scan(spark, f"{tmp_path}/operator_results", "operator_results").collect()] == ["u900"]
+
+
+def test_counts_of_every_output(spark, tmp_path):
+    written = jobs.write_silver(apply_hook(fires(spark, fire({"ok": True}), fire({"ok": True}, "free", uri="u2"))), str(tmp_path), CFG, run="a")
+    assert written.get["rows"] == 2
+    assert {r.output: r.rows for r in silver.run_counts(spark, str(tmp_path)).collect()} == {"conversations": 1, "results": 2, "index": 1}
+
+
+def test_expired_entries_leave_the_index_and_the_lists(spark, tmp_path):
+    root = str(tmp_path)
+    write(spark, [fire({"ok": True}, conversation="c1"), fire({"ok": True}, conversation="c2", at=DAY + timedelta(days=100), uri="u2")], root)
+    index, heads = lake.scan(spark, f"{root}/index", "index"), lake.scan(spark, f"{root}/conversations", "conversations")
+    tables = serve.Tables(lake.stored_headers(heads), index=index)
+
+    def found(after):
+        as_of = F.lit(DAY + timedelta(days=after)).cast("timestamp")
+        return sorted(r.conversation_id for r in serve.conversations(tables, CFG, "t", {"ok": "true"}, as_of=as_of).collect())
+
+    assert (found(179), found(181), found(281)) == (["c1", "c2"], ["c2"], [])
+    as_of = F.lit(DAY + timedelta(days=200)).cast("timestamp")
+    assert lake.drop_expired(spark, f"{root}/index", "index", lake.INDEX_PARTITIONS, as_of) == 1
+    assert [r.conversation_id for r in lake.scan(spark, f"{root}/index", "index").collect()] == ["c2"]
+    assert lake.drop_expired(spark, f"{root}/index", "index", lake.INDEX_PARTITIONS, as_of) == 0
+
+
+def test_a_repeated_archive_run_replaces_its_lines(spark, tmp_path):
+    rows = fires(spark, fire({"ok": True}), fire({"ok": False}, conversation="c2", at=DAY + timedelta(days=1)))
+    for _ in range(2):
+        archive.append_archive(rows, str(tmp_path / "a"), run="r1")
+    archive.append_archive(rows.where("conversation_id = 'c2'"), str(tmp_path / "a"))
+    assert archive.read_lines(spark, str(tmp_path / "a")).count() == 3
+    assert archive.read_lines(spark, str(tmp_path / "a"), since="2026-01-28").count() == 2
+
+
+def test_enrichment_runs_in_any_order_keep_the_newest(spark, tmp_path):
+    def records(*rows):
+        df = spark.createDataFrame(list(rows), "tenant_id string, correlation_type string, correlation_key string, received_at timestamp, source_uri string")
+        return df.withColumn("expires_at", F.col("received_at") + F.expr("INTERVAL 90 DAYS"))
+
+    path, new, old = str(tmp_path / "e"), ("t", "CALL", "k", DAY, "b"), ("t", "CALL", "k", DAY - timedelta(days=1), "z")
+    for rows in ([new], [old, ("t", "CONV", "k", DAY - timedelta(days=200), "c")], [new]):
+        enrichment.store_enrichment(records(*rows), path)
+    at = lambda days: F.lit(DAY + timedelta(days=days)).cast("timestamp")
+    shown = lambda days: sorted((r.correlation_type, r.source_uri) for r in enrichment.stored_enrichment(spark, path, "t", at(days)).collect())
+    assert (shown(-150), shown(80), shown(91)) == ([("CALL", "b"), ("CONV", "c")], [("CALL", "b")], [])
