@@ -6,6 +6,7 @@ same result. Columns an operator does not name are never read, so they may have
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -46,10 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run, fields: str) -> DataFrame:
-    """`df.mapInArrow`, with this package on the path of Python workers that share the driver's disk."""
+def map_arrow(df: DataFrame, run, fields) -> DataFrame:
+    """`df.mapInArrow`, with this package on the path of Python workers that share the driver's disk.
+
+    Workers outlive their tasks; after each one, memory that is free is given back to the machine.
+    """
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(run, fields)
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(run_and_release, fields)
+
+
+def release() -> None:
+    """Give free memory back: Arrow's pool, and the C library's heap where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 _held: dict[str, object] = {}
@@ -59,6 +76,7 @@ def held(name: str, make: Callable[[], object]) -> object:
     """What an operator keeps in a Python worker between tasks; workers are reused, so only the last operator's is kept."""
     if name not in _held:
         _held.clear()
+        release()
         _held[name] = make()
     return _held[name]
 
