@@ -33,7 +33,10 @@ HEADLINE = (
     "index_scalar",
     "surface_fields",
     "list_endpoint",
+    "list_endpoint_stored",
+    "list_by_agent_stored",
     "metrics_endpoint",
+    "metrics_endpoint_stored",
     "q_top_customers",
     "q_heatmap_week",
     "normalize_direct_documents",
