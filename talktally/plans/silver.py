@@ -49,10 +49,9 @@ class Run:
         return not self.rebuilt and (not self.days or self.fresh.isEmpty())
 
 
-def note_counts(spark: SparkSession, root: str, run: int | str, **observed: Observation) -> None:
+def note_counts(spark: SparkSession, root: str, run: int | str, **rows: int) -> None:
     """Enter how many rows each output of a run had; the same run again replaces its counts."""
-    rows = [(output, int(seen.get["rows"])) for output, seen in observed.items()]
-    table = spark.createDataFrame(rows, "output string, rows long").coalesce(1)
+    table = spark.createDataFrame(list(rows.items()), "output string, rows long").coalesce(1)
     table.write.mode("overwrite").parquet(f"{root}/{COUNTS}/batch_id={run}")
 
 
@@ -61,12 +60,6 @@ def run_counts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("output string, rows long, batch_id string").parquet(f"{root}/{COUNTS}")
 
 
-def counted(rows: DataFrame, output: str) -> tuple[DataFrame, Observation]:
-    """`rows`, counted where they are written."""
-    seen = Observation(output)
-    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 def store_run(fires: DataFrame, root: str, run: int | str) -> Run:
     """Store the fires of a run and tell what it changes."""
     spark, path = fires.sparkSession, f"{root}/{FIRES}"
@@ -100,10 +93,10 @@ def update(
         slots = _same_slots(spark, root, run, known, cfg)
     if enrichment is not None:
         heads = _enriched(heads, enrichment)
-    heads, seen_heads = counted(heads, "conversations")
+    written = Observation("results")
     heads = cut_lineage(heads)
-    results, written = counted(operator_results(known), "results")
-    entries, seen_entries = counted(_index_entries(slots, heads, cfg, enrichment_fields), "index")
+    results = cut_lineage(operator_results(known).observe(written, F.count(F.lit(1)).alias("rows")))
+    entries = cut_lineage(_index_entries(slots, heads, cfg, enrichment_fields))
 
     def write_results() -> None:
         if run.rebuilt:
@@ -117,7 +110,8 @@ def update(
         lambda: write_headers(spark, root, heads, old),
         lambda: _write_index(spark, root, run, known, entries, old, cfg),
     )
-    note_counts(spark, root, run.name, conversations=seen_heads, results=written, index=seen_entries)
+    # All three are stored by now, so counting them reads no fire again.
+    note_counts(spark, root, run.name, conversations=heads.count(), results=results.count(), index=entries.count())
     return written
 
 
@@ -244,7 +238,6 @@ def _write_index(
     if not lake.exists(spark, path):
         lake.write_partitions(new, path, lake.INDEX_PARTITIONS, ("field_value",))
         return
-    new = cut_lineage(new)
     month = F.substring("date", 1, 6).alias("month")
     run_months = spark.createDataFrame([*run.days, *run.gone_days], "tenant_id string, date string").select("tenant_id", month)
     of_heads = old.select("tenant_id", F.date_format("updated_at", "yyyyMM").alias("month"))
