@@ -2,13 +2,17 @@
 
 Counts of word pairs are quantised on a logarithmic scale, rounded down; a pair of code q is put into the filter q
 times, as (pair, 1) .. (pair, q). A code is read back by probing these in turn until one is missing, so errors
-only raise a code, and with the bits given do so once in a thousand probes. The probability of a word
-after another is its quantised share of what followed that word, plus what is left (counts lost to rounding and to
-pairs met once, and a prior weight) spread by discounted single-word probabilities. All words never met in
-training are one outcome, as in the base.
+only raise a code. The probability of a word after another is its quantised share of what followed that word, plus what
+is left (counts lost to rounding and to pairs met less than `least` times, and a prior weight) spread by discounted
+single-word probabilities. All words never met in training are one outcome, as in the base.
+
+After any word the probabilities of all outcomes add up to 1, but for the filter's errors. Each word of the vocabulary is
+a chance of error at the first level, so that level has as many hash functions as keep the weight that all errors after a
+word are expected to add below a hundredth, whatever the size of the vocabulary; the levels above only meet pairs that are there.
 
 The filter is built in segments by tasks, each from the pairs its hash selects. Filter and word counts are broadcast
-while they stay below `limit` bytes; beyond, the same codes come by joins on the pairs.
+while they stay below `limit` bytes. Beyond, word counts come by joins, and pairs go to the segment they would be probed in:
+the same filter and the same codes, so the same scores.
 """
 
 from __future__ import annotations
@@ -24,22 +28,23 @@ from talktally.llm.base import chunks, map_arrow, query, stored, table, texts_of
 from talktally.llm.tokens import ODD, hash64, hashed, low_words, mixed
 
 LEAST, BASE, PRIOR = 2, 1.5, 2.0  # pairs met less often are left out; step of the scale; weight of single words
-HASHES, BITS_EACH, SEGMENT_BITS = 8, 14, 1 << 20
+HASHES, MARGIN = 16, 6  # hash functions of a level; those of the first one beyond the bits of the number of words
+PLACE_BITS = 20
+SEGMENT_BITS = 1 << PLACE_BITS
 LIMIT = 256 << 20
 END = np.uint64(hash64(b"\0end of text"))
-LOW = np.uint64(0xFFFFFFFF)
 
 
-def code_of(n: Column) -> Column:
-    """The code of a count from `LEAST` up: 1 for the first step."""
-    return (F.floor(F.log(n / LEAST) / F.log(F.lit(BASE)) + 1e-9) + 1).cast("int")
+def code_of(n: Column, least: int = LEAST) -> Column:
+    """The code of a count from `least` up: 1 for the first step."""
+    return (F.floor(F.log(n / least) / F.log(F.lit(BASE)) + 1e-9) + 1).cast("int")
 
 
-def value_of(code):
+def value_of(code, least: int = LEAST):
     """The smallest count of a code, of a Column or array; of 0, 0."""
     if isinstance(code, Column):
-        return F.when(code > 0, LEAST * F.pow(F.lit(BASE), code - 1)).otherwise(0.0)
-    return np.where(code > 0, LEAST * BASE ** (code - 1.0), 0.0)
+        return F.when(code > 0, least * F.pow(F.lit(BASE), code - 1)).otherwise(0.0)
+    return np.where(code > 0, least * BASE ** (code - 1.0), 0.0)
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,26 +57,36 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def pair_key(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Half of each word's hash."""
-    return (before & ~LOW) | (tokens >> np.uint64(32))
+    """One hash of both words' full ones."""
+    return before * ODD + tokens
+
+
+def _counted(kind: int, keys: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+    """(kind, key, half, n) of distinct keys; half is the upper half of `heads`, which is equal where keys are."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    half = (heads[order[first]] >> np.uint64(32)).astype("uint32").view("int32")
+    n = np.diff(np.append(first, len(keys))).astype("int32")
+    columns = [np.full(len(first), kind, "int32"), keys[first].view("int64"), half, n]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "half", "n"])
+
 
+def count(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(kind, key, half, n): words (0) by hash, and pairs (1) met `least` times and more by pair key, over all texts.
 
-def count(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): words (0) by hash, and pairs (1) met `LEAST` times and more by pair key, over all texts."""
+    `half` is half of the hash of the word, of a pair's first one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=8 << 20):
+        for batch in chunks(batches):
             tokens, before, _ = _sequences(batch)
-            for kind, keys in ((0, tokens), (1, pair_key(before, tokens))):
-                found, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), kind, "int32")), pa.array(found.view("int64")), pa.array(n.astype("int32"))],
-                    names=["kind", "key", "n"],
-                )
+            yield _counted(0, tokens, tokens)
+            yield _counted(1, pair_key(before, tokens), before)
 
-    counted = map_arrow(docs.select("text"), run, "kind int, key bigint, n int")
-    counted = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    return stored(counted.where((F.col("kind") == 0) | (F.col("n") >= LEAST)), "lm-counts")
+    counted = map_arrow(docs.select("text"), run, "kind int, key bigint, half int, n int")
+    counted = counted.groupBy("kind", "key", "half").agg(F.sum("n").alias("n"))
+    return stored(counted.where((F.col("kind") == 0) | (F.col("n") >= least)), "lm-counts")
 
 
 def single(n, discount: float, kinds: int, total: int):
@@ -83,77 +98,105 @@ def single(n, discount: float, kinds: int, total: int):
 
 
 class Model:
-    """Tables of a trained model and the numbers that go with them."""
-
-    def __init__(self, docs: DataFrame):
-        counts = count(docs)
-        self.pairs = counts.where("kind = 1").select("key", code_of(F.col("n")).alias("code"))
-        followed = self.pairs.groupBy(F.shiftrightunsigned("key", 32).alias("half")).agg(F.sum(value_of(F.col("code"))).alias("followed"))
-        words = counts.where("kind = 0").select("key", "n", F.shiftrightunsigned("key", 32).alias("half"))
-        self.words = stored(words.join(followed, "half", "left").select("key", "n", F.coalesce("followed", F.lit(0.0)).alias("followed")), "lm-words")
+    """Tables of a trained model and the numbers that go with them; `least` 1 keeps all pairs.
+
+    Words that share half of their hash (one in a thousand of ten million) are taken to be followed by what follows
+    either; their probabilities then add up to less than 1.
+    """
+
+    def __init__(self, docs: DataFrame, least: int = LEAST):
+        self.least = least
+        counts = count(docs, least)
+        self.pairs = counts.where("kind = 1").select("key", "half", code_of(F.col("n"), least).alias("code"))
+        followed = self.pairs.groupBy("half").agg(F.sum(value_of(F.col("code"), least)).cast("float").alias("followed"))
+        words = counts.where("kind = 0").select("key", F.col("n").cast("int").alias("n"), "half").join(followed, "half", "left")
+        self.words = stored(words.select("key", "n", F.coalesce("followed", F.lit(0.0).cast("float")).alias("followed")), "lm-words")
+        n = F.col("n")
         t = self.words.agg(
-            F.count("*").alias("v"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")
+            F.count("*").alias("v"), F.sum("n").alias("n"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.count_if(n >= least).alias("paired")
         ).first()
         self.kinds, self.total = t.v, t.n or 0
         self.discount = t.once / (t.once + 2 * t.twice) if t.once else 0.0
-        self.inserted = self.pairs.agg(F.sum("code")).first()[0] or 0
-        self.segments = 1
-        while self.segments * SEGMENT_BITS < self.inserted * BITS_EACH:
-            self.segments *= 2
+        self.first_hashes = int(t.paired).bit_length() + MARGIN
+        pairs, inserted = self.pairs.agg(F.count("*"), F.coalesce(F.sum("code"), F.lit(0))).first()
+        needed = (pairs * self.first_hashes + (inserted - pairs) * HASHES) / np.log(2)
+        self.segments = int(needed // SEGMENT_BITS) + 1
 
     @property
     def bytes(self) -> int:
         return self.kinds * 16 + self.segments * SEGMENT_BITS // 8
 
+    def in_segments(self, keys: DataFrame, key: str = "key") -> DataFrame:
+        return keys.withColumn("segment", F.shiftrightunsigned(key, 33) % F.lit(self.segments))
+
     def filter(self) -> np.ndarray:
         """The filter's segments one after the other, each built by a task."""
-        segments = self.segments
+        first = self.first_hashes
 
         def build(group: pa.Table) -> pa.Table:
-            bits = np.zeros(SEGMENT_BITS, "bool")
-            keys, codes = (group.column(c).to_numpy() for c in ("key", "code"))
-            for level in range(1, int(codes.max()) + 1):
-                for at in _places(keys[codes >= level].view("uint64"), level):
-                    bits[at] = True
-            return pa.table({"segment": group.column("segment")[:1], "bits": [np.packbits(bits).tobytes()]})
-
-        map_arrow(self.pairs.limit(0), lambda b: b, "key bigint, code int")  # the package's path, for grouped tasks too
-        fold = F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 32)).bitwiseAND(F.lit(segments - 1))
-        built = self.pairs.withColumn("segment", fold).groupBy("segment").applyInArrow(build, "segment bigint, bits binary").toArrow()
-        out = np.zeros((segments, SEGMENT_BITS // 8), "uint8")
+            return pa.table({"segment": group.column("segment")[:1], "bits": [_segment(group, first).tobytes()]})
+
+        map_arrow(self.pairs.limit(0), lambda b: b, self.pairs.schema)  # the package's path, for grouped tasks too
+        pairs = self.in_segments(self.pairs.select("key", "code"))
+        built = pairs.groupBy("segment").applyInArrow(build, "segment bigint, bits binary").toArrow()
+        out = np.zeros((self.segments, SEGMENT_BITS // 8), "uint8")
         for segment, bits in zip(built.column("segment").to_pylist(), built.column("bits"), strict=True):
             out[segment] = np.frombuffer(bits.as_buffer(), "uint8")
         return out.reshape(-1)
 
+    def probed(self, keys: DataFrame) -> DataFrame:
+        """(pair, code) of the distinct pair keys in column pair that the filter holds, each probed where its segment is built."""
+        first = self.first_hashes
+
+        def meet(pairs: pa.Table, asked: pa.Table) -> pa.Table:
+            keys = asked.column("pair").to_numpy()
+            codes = probe(_segment(pairs, first), 1, keys.view("uint64"), first) if pairs.num_rows else np.zeros(len(keys), "int32")
+            return pa.table({"pair": keys[codes > 0], "code": codes[codes > 0]})
+
+        left = self.in_segments(self.pairs.select("key", "code")).groupBy("segment")
+        return left.cogroup(self.in_segments(keys, "pair").groupBy("segment")).applyInArrow(meet, "pair bigint, code int")
+
+
+def _segment(pairs: pa.Table, first: int) -> np.ndarray:
+    """The packed bits of one segment's pairs."""
+    bits = np.zeros(SEGMENT_BITS, "bool")
+    keys, codes = (pairs.column(c).to_numpy() for c in ("key", "code"))
+    for level in range(1, int(codes.max()) + 1):
+        h = keys[codes >= level].view("uint64") ^ _turn(level)
+        for i in range(_hashes(level, first)):
+            h, at = _place(h, i)
+            bits[at] = True
+    return np.packbits(bits)
+
 
 def _turn(level: int) -> np.uint64:
     return np.uint64(level * int(ODD) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _places(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """The bits of (key, level) within a segment, one hash function after the other."""
-    h = mixed(keys ^ _turn(level))
-    step = (h >> np.uint64(40)) | np.uint64(1)
-    for _ in range(HASHES):
-        yield h & np.uint64(SEGMENT_BITS - 1)
-        h = h + step
+def _hashes(level: int, first: int) -> int:
+    return first if level == 1 else HASHES
 
 
-def probe(bits: np.ndarray, segments: int, keys: np.ndarray) -> np.ndarray:
+def _place(h: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The state and the bits within a segment of hash function i, given the state before: three places a mixing."""
+    if i % 3 == 0:
+        h = mixed(h + ODD)
+    return h, (h >> np.uint64(i % 3 * PLACE_BITS)) & np.uint64(SEGMENT_BITS - 1)
+
+
+def probe(bits: np.ndarray, segments: int, keys: np.ndarray, first: int) -> np.ndarray:
     """Codes of pair keys; 0 for pairs not in the filter."""
     codes = np.zeros(len(keys), "int32")
-    start = ((keys ^ (keys >> np.uint64(32))) & np.uint64(segments - 1)) * np.uint64(SEGMENT_BITS)
+    start = ((keys >> np.uint64(33)) % np.uint64(segments)) * np.uint64(SEGMENT_BITS)
     alive, level = np.arange(len(keys)), 1
     while len(alive):
-        left = np.arange(len(alive))
-        for i in range(HASHES):
-            h = mixed(keys[alive[left]] ^ _turn(level))
-            h += ((h >> np.uint64(40)) | np.uint64(1)) * np.uint64(i)
-            at = start[alive[left]] + (h & np.uint64(SEGMENT_BITS - 1))
-            left = left[(bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype("uint8")) & 1 == 1]
-            if not len(left):
-                break
-        alive = alive[left]
+        h = keys[alive] ^ _turn(level)
+        for i in range(_hashes(level, first)):
+            h, at = _place(h, i)
+            at = start[alive] + at
+            there = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype("uint8")) & 1 == 1
+            if not there.all():
+                alive, h = alive[there], h[there]
         codes[alive] = level
         level += 1
     return codes
@@ -172,17 +215,24 @@ def score(docs: DataFrame, model: Model, limit: int = LIMIT) -> DataFrame:
     return _score_broadcast(rows, model) if model.bytes <= limit else _score_joined(rows, model)
 
 
-def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+def _tables(model: Model) -> tuple[bytes, bytes, bytes, bytes]:
+    """Words in the order of their hashes, counts, what followed them, the filter: as bytes, which workers load without copies."""
     words = model.words.toArrow()
     keys = words.column("key").to_numpy().view("uint64")
     order = np.argsort(keys)
-    known = (keys[order], words.column("n").to_numpy()[order].astype("int32"), words.column("followed").to_numpy()[order].astype("float32"))
-    del words, keys
-    shared = rows.sparkSession.sparkContext.broadcast((*known, model.filter()))
-    total, kinds, segments, discount = model.total, model.kinds, model.segments, model.discount
+    known = keys[order].tobytes()
+    del keys
+    counts, followed = (words.column(c).to_numpy()[order].tobytes() for c in ("n", "followed"))
+    del words, order
+    return known, counts, followed, model.filter().tobytes()
+
+
+def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(_tables(model))
+    total, kinds, segments, discount, least, first = model.total, model.kinds, model.segments, model.discount, model.least, model.first_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, followed, bits = shared.value
+        vocabulary, counts, followed, bits = map(np.frombuffer, shared.value, ("uint64", "int32", "float32", "uint8"))
         for batch in chunks(batches, most=2 << 20):
             tokens, before, each = _sequences(batch)
             distinct, back = np.unique(tokens, return_inverse=True)
@@ -194,10 +244,11 @@ def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
             head = int(np.searchsorted(distinct, END))
             back_before = np.concatenate(([head], back[:-1]))
             n_before, lost_before = n[back_before], lost[back_before]
-            codes = np.zeros(len(tokens), "int32")
-            try_ = np.flatnonzero((n_word >= LEAST) & (n_before >= LEAST))
-            codes[try_] = probe(bits, segments, pair_key(before[try_], tokens[try_]))
-            p = np.minimum((np.minimum(value_of(codes), n_before) + (lost_before + PRIOR) * p_word) / (n_before + PRIOR), 1.0)
+            share = np.zeros(len(tokens))
+            try_ = np.flatnonzero((n_word >= least) & (n_before >= least))
+            share[try_] = value_of(probe(bits, segments, pair_key(before[try_], tokens[try_]), first), least)
+            share = np.minimum(share, np.minimum(n_before, n_word))
+            p = np.minimum((share + (lost_before + PRIOR) * p_word) / (n_before + PRIOR), 1.0)
             starts = np.concatenate(([0], np.cumsum(each)[:-1]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -237,11 +288,13 @@ def _score_joined(rows: DataFrame, model: Model) -> DataFrame:
     pairs = map_arrow(texts.drop("rows"), run, "doc_id bigint, copy bigint, before bigint, word bigint, pair bigint, times bigint")
     pairs = pairs.join(model.words.select(F.col("key").alias("word"), F.col("n").alias("n_word")), "word", "left")
     pairs = pairs.join(model.words.select(F.col("key").alias("before"), F.col("n").alias("n_before"), "followed"), "before", "left")
-    pairs = pairs.join(model.pairs.select(F.col("key").alias("pair"), "code"), "pair", "left")
     n, m = F.coalesce("n_word", F.lit(0)), F.coalesce("n_before", F.lit(0))
-    code = F.when((n >= LEAST) & (m >= LEAST), F.coalesce("code", F.lit(0))).otherwise(0)
-    lost = F.greatest(m - F.coalesce("followed", F.lit(0.0)), F.lit(0.0))
-    p = F.least((F.least(value_of(code), m) + (lost + PRIOR) * single(n, model.discount, model.kinds, model.total)) / (m + PRIOR), F.lit(1.0))
+    pairs = stored(pairs, "lm-pairs")
+    pairs = pairs.join(model.probed(pairs.where((n >= model.least) & (m >= model.least)).select("pair").distinct()), "pair", "left")
+    code = F.when((n >= model.least) & (m >= model.least), F.coalesce("code", F.lit(0))).otherwise(0)
+    lost = F.greatest(m - F.coalesce(F.col("followed").cast("double"), F.lit(0.0)), F.lit(0.0))
+    share = F.least(value_of(code, model.least), m, n)
+    p = F.least((share + (lost + PRIOR) * single(n, model.discount, model.kinds, model.total)) / (m + PRIOR), F.lit(1.0))
     sums = pairs.groupBy("doc_id", "copy").agg(
         F.sum("times").alias("n_tokens"),
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
