@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talktally.llm.base import chunks, map_arrow, query, stored, table, texts_of
-from talktally.llm.tokens import ODD, hash64, hashed, low_words, mixed
+from talktally.llm.tokens import ODD, hash64, hashed_texts, mixed
 
 LEAST, BASE, PRIOR = 2, 1.5, 2.0  # pairs met less often are left out; step of the scale; weight of single words
 HASHES, MARGIN = 16, 6  # hash functions of a level; those of the first one beyond the bits of the number of words
 PLACE_BITS = 20
 SEGMENT_BITS = 1 << PLACE_BITS
+SLICE = 1 << 15  # keys probed at a time at the first level
 LIMIT = 256 << 20
 END = np.uint64(hash64(b"\0end of text"))
 
@@ -49,7 +50,7 @@ def value_of(code, least: int = LEAST):
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, the token before each, tokens per text): words and one end a text; before the first stands an end."""
-    words, counts = hashed([low_words(t) for t in texts_of(batch)])
+    words, counts = hashed_texts(texts_of(batch))
     tokens = np.insert(words, np.cumsum(counts), END)
     before = np.empty_like(tokens)
     before[0], before[1:] = END, tokens[:-1]
@@ -79,7 +80,7 @@ def count(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=2 << 20):
             tokens, before, _ = _sequences(batch)
             yield _counted(0, tokens, tokens)
             yield _counted(1, pair_key(before, tokens), before)
@@ -127,7 +128,8 @@ class Model:
         return self.kinds * 16 + self.segments * SEGMENT_BITS // 8
 
     def in_segments(self, keys: DataFrame, key: str = "key") -> DataFrame:
-        return keys.withColumn("segment", F.shiftrightunsigned(key, 33) % F.lit(self.segments))
+        """Segments follow the order of the keys' upper halves."""
+        return keys.withColumn("segment", F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(self.segments), 32))
 
     def filter(self) -> np.ndarray:
         """The filter's segments one after the other, each built by a task."""
@@ -166,7 +168,7 @@ def _segment(pairs: pa.Table, first: int) -> np.ndarray:
         for i in range(_hashes(level, first)):
             h, at = _place(h, i)
             bits[at] = True
-    return np.packbits(bits)
+    return np.packbits(bits, bitorder="little")
 
 
 def _turn(level: int) -> np.uint64:
@@ -184,22 +186,37 @@ def _place(h: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     return h, (h >> np.uint64(i % 3 * PLACE_BITS)) & np.uint64(SEGMENT_BITS - 1)
 
 
+def _there(bits: np.ndarray, keys: np.ndarray, start: np.ndarray, level: int, first: int) -> np.ndarray:
+    """Which keys, by position, the filter holds at a level; `start` is the first bit of each key's segment."""
+    alive, h = np.arange(len(keys)), keys ^ _turn(level)
+    for i in range(_hashes(level, first)):
+        h, at = _place(h, i)
+        at += start
+        found = bits.take((at >> np.uint64(3)).view("int64")) >> (at & np.uint64(7)).astype("uint8") & 1
+        left = np.flatnonzero(found)
+        if len(left) < len(found):
+            alive, h, start = alive[left], h[left], start[left]
+            if not len(left):
+                break
+    return alive
+
+
 def probe(bits: np.ndarray, segments: int, keys: np.ndarray, first: int) -> np.ndarray:
-    """Codes of pair keys; 0 for pairs not in the filter."""
-    codes = np.zeros(len(keys), "int32")
-    start = ((keys >> np.uint64(33)) % np.uint64(segments)) * np.uint64(SEGMENT_BITS)
-    alive, level = np.arange(len(keys)), 1
+    """Codes of pair keys; 0 for pairs not in the filter.
+
+    In the order of the keys, equal ones are probed once, and all places of a slice of them lie in few segments.
+    """
+    distinct, back = np.unique(keys, return_inverse=True)
+    codes = np.zeros(len(distinct), "int32")
+    start = ((distinct >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)) * np.uint64(SEGMENT_BITS)
+    for at in range(0, len(distinct), SLICE):
+        codes[at + _there(bits, distinct[at : at + SLICE], start[at : at + SLICE], 1, first)] = 1
+    alive, level = np.flatnonzero(codes), 2
     while len(alive):
-        h = keys[alive] ^ _turn(level)
-        for i in range(_hashes(level, first)):
-            h, at = _place(h, i)
-            at = start[alive] + at
-            there = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype("uint8")) & 1 == 1
-            if not there.all():
-                alive, h = alive[there], h[there]
+        alive = alive[_there(bits, distinct[alive], start[alive], level, first)]
         codes[alive] = level
         level += 1
-    return codes
+    return codes[back]
 
 
 _COLUMNS = "n_tokens bigint, n_known bigint, base_score double, score double"

@@ -49,3 +49,38 @@ def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after the other, and each text's number of words."""
     counts = np.fromiter(map(len, words), "int64", len(words))
     return np.fromiter(map(held("word hashes", WordHashes).__getitem__, chain.from_iterable(words)), "uint64", int(counts.sum())), counts
+
+
+GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BYTES = mixed((np.arange(256, dtype="uint64") + np.uint64(1)) * ODD)
+BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
+POWERS = 4 << 20  # powers that are kept
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of `ODD` and of its inverse."""
+    made = []
+    for factor in (int(ODD), pow(int(ODD), -1, 1 << 64)):
+        each = np.full(n, factor, "uint64")
+        each[0] = 1
+        made.append(np.multiply.accumulate(each))
+    return made[0], made[1]
+
+
+def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words one after the other, A-Z lower-cased, and each text's number of words, in array steps.
+
+    A word's hash is a polynomial in `ODD` over numbers of its bytes, taken from running sums, and mixed with its length.
+    """
+    joined = np.frombuffer(b"\n".join([*texts, b""]), "uint8")
+    borders = np.cumsum(np.fromiter(map(len, texts), "int64", len(texts)) + 1)
+    inside = np.concatenate(([False], ~GAPS[joined]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    n = len(joined)
+    powers, inverse = _powers(n) if n > POWERS else held("powers", lambda: _powers(POWERS))
+    sums = np.zeros(n + 1, "uint64")
+    np.cumsum(BYTES[joined] * powers[:n], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * inverse[starts]
+    hashes = mixed(hashes + (ends - starts).astype("uint64") * MIX[0])
+    return hashes, np.diff(np.searchsorted(starts, borders), prepend=0)

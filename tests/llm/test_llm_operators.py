@@ -29,6 +29,7 @@ from talktally.llm import (  # noqa: E402
     quality_model,
     quality_rules,
     token_counts,
+    tokens,
     toxicity,
 )
 
@@ -75,6 +76,18 @@ def test_scores_count_exactly_and_add_up(spark, docs, limit):
     assert all(r.score <= 0 for r in got)
 
 
+def test_word_hashes_in_array_steps():
+    r = np.random.default_rng(3)
+    letters = [*b"abcdABCD \t\n\x0b\x0c\r\x00\x1c\x85", *"é\u00a0".encode()]
+    texts = [bytes(r.choice(letters, size).tolist()) for size in r.integers(0, 60, 3000)] + [b"", b" ", b"a", "Ünï".encode() * 3, b"ab " * 400_000, b"x" * 1_000_000]
+    for some in (texts, [b""], [b" \n"], [texts[-2] * 8]):
+        got, counts = tokens.hashed_texts(some)
+        words = [w for t in some for w in t.lower().split()]
+        assert counts.tolist() == [len(t.split()) for t in some] and len(got) == len(words)
+        pairs = set(zip(words, got.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
 def _scores(df):
     return sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in df.collect())
 
