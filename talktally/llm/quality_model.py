@@ -12,21 +12,22 @@ below `limit` bytes and beyond it are joined to each text's distinct 5-grams.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktally.llm.base import chunks, held, map_arrow, query, stored, table
+from talktally.llm.base import chunks, map_arrow, query, stored, table
+from talktally.llm.tokens import ODD, mixed
 
 ORDER = 5
 QUANTILE, SLACK, FOLDS = 0.999, 1.2, 5
 LIMIT = 256 << 20
-CACHED = 200_000
+IDS = 1 << 20  # labelled ids that are broadcast; more of them are joined
+PENDING = 500_000  # distinct 5-grams a task holds before it hands them on
 
 
 def grams(word: str) -> list[str]:
@@ -35,28 +36,70 @@ def grams(word: str) -> list[str]:
     return [framed[i : i + ORDER] for i in range(len(framed) - ORDER + 1)]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all texts, words in lower case."""
+def _framed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all words in lower case with their frames, where each 5-gram starts, 5-grams per text)."""
+    frame = " " * (ORDER - 1)
+    words = [(t or "").lower().split() for t in texts]
+    framed = [frame + (" " + frame).join(w) + " " if w else "" for w in words]
+    points = np.frombuffer("".join(framed).encode("utf-32-le"), "uint32")
+    letter = points != ord(" ")
+    ends = np.flatnonzero(letter | np.concatenate(([False], letter[:-1]))) if len(points) else np.zeros(0, "int64")
+    borders = np.cumsum(np.fromiter(map(len, framed), "int64", len(framed)))
+    return points, ends - (ORDER - 1), np.diff(np.searchsorted(ends, borders), prepend=0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            found: dict[str, int] = defaultdict(int)
-            for word, n in words.items():
-                for gram in grams(word):
-                    found[gram] += n
-            words.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
+def _keys(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the five code points from each place."""
+    wide = points.astype("uint64")
+    a, b, c, d, e = (wide[i : len(wide) - ORDER + 1 + i] for i in range(ORDER))
+    head = a << np.uint64(42) | b << np.uint64(21) | c
+    return mixed(mixed(head[starts]) + (d << np.uint64(21) | e)[starts] * ODD) if len(starts) else np.zeros(0, "uint64")
+
+
+def _strings(points: np.ndarray) -> list[str]:
+    flat = points.tobytes().decode("utf-32-le")
+    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
+def _united(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(keys, five code points each, counts, counts in taught texts), equal keys together."""
+    keys, points, n, taught = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    if not len(first):
+        return keys, points, n, taught
+    return keys[first], points[order[first]], np.add.reduceat(n[order], first), np.add.reduceat(taught[order], first)
+
 
-        for batch in chunks(batches):
-            for text in batch.column("text").to_pylist():
-                words.update((text or "").lower().split())
-            if len(words) > 300_000:
-                yield from counted()
-        yield from counted()
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(gram, n, taught) over all texts, words in lower case: counts in all rows, and in those whose column taught is true."""
+
+    def rows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        _, points, n, taught = part
+        return pa.RecordBatch.from_arrays([pa.array(_strings(points), pa.string()), pa.array(n), pa.array(taught)], names=["gram", "n", "taught"])
 
-    return map_arrow(docs.select("text"), run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for batch in chunks(batches, most=1 << 20):
+            points, starts, each = _framed(batch.column("text").to_pylist())
+            keys = _keys(points, starts)
+            order = np.argsort(keys)
+            first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+            if not len(first):
+                continue
+            taught = np.repeat(batch.column("taught").to_numpy(zero_copy_only=False).astype("int64"), each)
+            five = points[starts[order[first]][:, None] + np.arange(ORDER)]
+            part = keys[order[first]], five, np.diff(np.append(first, len(keys))), np.add.reduceat(taught[order], first)
+            whole = part if whole is None else _united([whole, part])
+            if len(whole[0]) > PENDING:
+                yield rows(whole)
+                whole = None
+        if whole is not None:
+            yield rows(whole)
+
+    counted = map_arrow(docs.select("text", "taught"), run, "gram string, n bigint, taught bigint")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("taught").alias("taught"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -105,52 +148,42 @@ def probabilities(trained: DataFrame, wanted: DataFrame) -> DataFrame:
     return lower.select("gram", F.log("p").alias("logp"))
 
 
-def gram_hash(gram: str) -> int:
-    """What Spark's xxhash64 gives."""
-    value = xxhash.xxh64_intdigest(gram.encode(), 42)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _keyed(logp: DataFrame) -> DataFrame:
+    """(key, logp) of (gram, logp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), "uint32")
+            keys = _keys(points, np.arange(0, len(points), ORDER))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view("int64")), batch.column("logp")], names=["key", "logp"])
+
+    return stored(map_arrow(logp, run, "key bigint, logp float"), "kn-keyed")
 
 
 def text_sums(docs: DataFrame, logp: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, copy, lang, n_grams and loss (minus the log probability) of every row."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), "lang", "text")
-    keyed = stored(logp.select(F.xxhash64("gram").alias("key"), "logp"), "kn-keyed")
+    logp = logp.select("gram", F.col("logp").cast("float").alias("logp"))
+    keyed = _keyed(logp)
     if keyed.count() * 12 > limit:
         return _sums_joined(rows, logp)
     found = keyed.toArrow()
-    keys = found.column("key").to_numpy()
+    keys = found.column("key").to_numpy().view("uint64")
     order = np.argsort(keys)
-    shared = rows.sparkSession.sparkContext.broadcast((keys[order], found.column("logp").to_numpy()[order].astype("float32")))
+    shared = rows.sparkSession.sparkContext.broadcast((keys[order].tobytes(), found.column("logp").to_numpy()[order].tobytes()))
     del found, keys
-    name = keyed.inputFiles()[0] if not keyed.isEmpty() else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
-        cache: dict[str, tuple[float, int]] = held(f"perplexity {name}", dict)
-        for batch in chunks(batches, most=2 << 20):
-            texts = [(t or "").lower().split() for t in batch.column("text").to_pylist()]
-            seen = set().union(*texts)
-            new = seen.difference(cache)
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = seen
-            if new:
-                new = list(new)
-                cut = list(map(grams, new))
-                each = np.fromiter(map(len, cut), "int64", len(cut))
-                distinct = {g: gram_hash(g) for gs in cut for g in gs}
-                at = np.searchsorted(keys, np.fromiter(distinct.values(), "int64", len(distinct)))
-                value = dict(zip(distinct, values[at].tolist(), strict=True))
-                flat = np.fromiter((value[g] for gs in cut for g in gs), "float64", int(each.sum()))
-                sums = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(each)[:-1])))
-                cache.update(zip(new, zip(sums.tolist(), each.tolist(), strict=True), strict=True))
-            n, loss = [], []
-            for words in texts:
-                pairs = list(map(cache.__getitem__, words))
-                loss.append(-sum(p[0] for p in pairs))
-                n.append(sum(p[1] for p in pairs))
+        known, values = (np.frombuffer(x, t) for x, t in zip(shared.value, ("uint64", "float32"), strict=True))
+        for batch in chunks(batches, most=1 << 20):
+            points, starts, each = _framed(batch.column("text").to_pylist())
+            distinct, back = np.unique(_keys(points, starts), return_inverse=True)
+            each_logp = values[np.searchsorted(known, distinct)].astype("float64")[back]
+            loss = np.zeros(len(each))
+            if len(each_logp):
+                loss[each > 0] = -np.add.reduceat(each_logp, (np.cumsum(each) - each)[each > 0])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "copy", "lang")), pa.array(n, pa.int64()), pa.array(loss, pa.float64())],
+                [*(batch.column(c) for c in ("doc_id", "copy", "lang")), pa.array(each, pa.int64()), pa.array(loss)],
                 names=["doc_id", "copy", "lang", "n_grams", "loss"],
             )
 
@@ -197,9 +230,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     same = F.col("doc_id") == F.col("_good")
     every = docs.select("doc_id", "text", "lang")
     aside = F.crc32(F.col("_good").cast("string")) % FOLDS == 0
-    trained = stored(gram_counts(every.join(good.where(~aside), same, "left_semi")), "kn-trained")
-    wanted = stored(gram_counts(every), "kn-wanted")
-    logp = probabilities(trained, wanted)
+    teaching = good.where(~aside)
+    teaching = F.broadcast(teaching) if teaching.count() <= IDS else teaching
+    taught = every.join(teaching, same, "left").select("text", F.col("_good").isNotNull().alias("taught"))
+    counted = stored(gram_counts(taught), "kn-counted")
+    logp = probabilities(counted.where("taught > 0").select("gram", F.col("taught").alias("n")), counted)
     sums = stored(text_sums(every, logp, limit), "kn-sums")
     sums = sums.withColumn("perplexity", F.when(F.col("n_grams") > 0, F.exp(F.col("loss") / F.col("n_grams"))))
     marked = stored(sums.join(good, same, "left").withColumn("trusted", F.col("_good").isNotNull()).withColumn("aside", aside).drop("_good"), "kn-scored")

@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import cases  # noqa: E402
 
+from talktally.llm.tokens import hash64  # noqa: E402
 from talktally.llm import (  # noqa: E402
     bpe,
     line_dedup,
@@ -417,6 +418,25 @@ def test_probabilities_follow_the_definition(spark):
     assert found.keys() == want.keys() and all(found[g] == pytest.approx(want[g], abs=1e-9) for g in want)
 
 
+def test_gram_counts_and_perplexity_equal_plain_ones(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality_model, "PENDING", 50)
+    more = [(900, "İ\u0130 a\x00b \x00 Straße \u2003x\U0001f600y a\x00b"), (901, "\u00a0 \n")]
+    rows = [(d[0], d[1]) for d in ROWS] + more
+    plain = lambda t: [g for w in (t or "").lower().split() for g in quality_model.grams(w)]
+    df = spark.createDataFrame([(i, t, i is not None and i % 2 == 0, "en") for i, t in rows], "doc_id long, text string, taught boolean, lang string")
+    counted = quality_model.gram_counts(df)
+    want = collections.Counter(g for _, t in rows for g in plain(t))
+    taught = collections.Counter(g for i, t in rows if i is not None and i % 2 == 0 for g in plain(t))
+    assert {r.gram: (r.n, r.taught) for r in counted.collect()} == {g: (n, taught[g]) for g, n in want.items()}
+    logp = {g: -1.0 - (hash64(g.encode()) % 1000) / 256 for g in want}
+    model = spark.createDataFrame(list(logp.items()), "gram string, logp double")
+    losses = sorted((i or 0, len(plain(t)), round(-sum(logp[g] for g in plain(t)) + 0.0, 2)) for i, t in rows)
+    for limit in (quality_model.LIMIT, 0):
+        got = sorted((r.doc_id or 0, r.n_grams, round(r.loss, 2)) for r in quality_model.text_sums(df, model, limit).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in losses]
+        assert all(x[2] == pytest.approx(y[2], rel=1e-5, abs=0.02) for x, y in zip(got, losses, strict=True))
+
+
 def test_perplexity_on_awkward_rows(spark, docs, empty):
     good = labels(spark, [(d[0], 1, 0) for d in ROWS if d[0] and d[0] >= 20] + [(None, 1, 0), (20, 1, 1)])
     one = quality_model.perplexities(docs, good).collect()
