@@ -23,6 +23,9 @@ ORACLES: dict[str, str] = {}
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Bytes of a batch on its way to a Python worker, unless the session says otherwise; 10,000 long texts would be many times that.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def query(name: str, sql: str | None = None):
     """Register a query, with its SQL where SQL can express it."""
@@ -50,11 +53,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run, fields) -> DataFrame:
     """`df.mapInArrow`, with this package on the path of Python workers that share the driver's disk.
 
-    Workers outlive their tasks; after each one, memory that is free is given back to the machine.
+    Batches are bounded by bytes as well as by rows. Workers outlive their tasks; before and after each one, memory that is
+    free is given back to the machine.
     """
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    conf = df.sparkSession.conf
+    conf.set(BATCH_CONF, conf.get(BATCH_CONF, str(BATCH_BYTES)))
 
     def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from run(batches)
         release()
 
