@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktally.llm.base import chunks, map_arrow, query, stored, table, texts_of
+from talktally.llm.base import chunks, map_arrow, query, release, stored, table, texts_of
 from talktally.llm.tokens import ODD, hash64, hashed_texts, mixed
 
 LEAST, BASE, PRIOR = 2, 1.5, 2.0  # pairs met less often are left out; step of the scale; weight of single words
@@ -32,6 +32,7 @@ HASHES, MARGIN = 16, 6  # hash functions of a level; those of the first one beyo
 PLACE_BITS = 20
 SEGMENT_BITS = 1 << PLACE_BITS
 SLICE = 1 << 15  # keys probed at a time at the first level
+PART = 1 << 18  # bytes of text scored at a time
 LIMIT = 256 << 20
 END = np.uint64(hash64(b"\0end of text"))
 
@@ -125,7 +126,7 @@ class Model:
 
     @property
     def bytes(self) -> int:
-        return self.kinds * 16 + self.segments * SEGMENT_BITS // 8
+        return self.kinds * 16 + self.segments * SEGMENT_BITS // 8  # at most: words met once take 8
 
     def in_segments(self, keys: DataFrame, key: str = "key") -> DataFrame:
         """Segments follow the order of the keys' upper halves."""
@@ -136,6 +137,7 @@ class Model:
         first = self.first_hashes
 
         def build(group: pa.Table) -> pa.Table:
+            release()
             return pa.table({"segment": group.column("segment")[:1], "bits": [_segment(group, first).tobytes()]})
 
         map_arrow(self.pairs.limit(0), lambda b: b, self.pairs.schema)  # the package's path, for grouped tasks too
@@ -232,16 +234,30 @@ def score(docs: DataFrame, model: Model, limit: int = LIMIT) -> DataFrame:
     return _score_broadcast(rows, model) if model.bytes <= limit else _score_joined(rows, model)
 
 
-def _tables(model: Model) -> tuple[bytes, bytes, bytes, bytes]:
-    """Words in the order of their hashes, counts, what followed them, the filter: as bytes, which workers load without copies."""
-    words = model.words.toArrow()
+def _tables(model: Model) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+    """Words in the order of their hashes, counts, what followed them, words met once that nothing followed, the filter.
+
+    As bytes, which workers load without copies.
+    """
+    alone = (F.col("n") == 1) & (F.col("followed") == 0)
+    words = model.words.where(~alone).toArrow()
     keys = words.column("key").to_numpy().view("uint64")
     order = np.argsort(keys)
     known = keys[order].tobytes()
     del keys
     counts, followed = (words.column(c).to_numpy()[order].tobytes() for c in ("n", "followed"))
     del words, order
-    return known, counts, followed, model.filter().tobytes()
+    once = np.sort(model.words.where(alone).select("key").toArrow().column("key").to_numpy().view("uint64")).tobytes()
+    return known, counts, followed, once, model.filter().tobytes()
+
+
+def _found(words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the words are there, their places); `among` is in order."""
+    if not len(among):
+        return np.zeros(0, "int64"), np.zeros(0, "int64")
+    at = np.minimum(np.searchsorted(among, words), len(among) - 1)
+    there = np.flatnonzero(among[at] == words)
+    return there, at[there]
 
 
 def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
@@ -249,14 +265,16 @@ def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     total, kinds, segments, discount, least, first = model.total, model.kinds, model.segments, model.discount, model.least, model.first_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, followed, bits = map(np.frombuffer, shared.value, ("uint64", "int32", "float32", "uint8"))
-        for batch in chunks(batches, most=1 << 20):
+        vocabulary, counts, followed, once, bits = map(np.frombuffer, shared.value, ("uint64", "int32", "float32", "uint64", "uint8"))
+        for batch in chunks(batches, most=PART):
             tokens, before, each = _sequences(batch)
             distinct, back = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(vocabulary, distinct), max(len(vocabulary) - 1, 0))
-            met = vocabulary[at] == distinct if len(vocabulary) else np.zeros(len(distinct), "bool")
-            n = np.where(met, counts[at], 0).astype("float64") if len(vocabulary) else np.zeros(len(distinct))
-            lost = np.where(met, np.maximum(n - followed[at], 0), 0.0) if len(vocabulary) else n
+            n = np.zeros(len(distinct))
+            n[_found(distinct, once)[0]] = 1
+            there, at = _found(distinct, vocabulary)
+            n[there] = counts[at]
+            lost = n.copy()
+            lost[there] = np.maximum(n[there] - followed[at], 0)
             n_word, p_word = n[back], single(n, discount, kinds, total)[back]
             head = int(np.searchsorted(distinct, END))
             back_before = np.concatenate(([head], back[:-1]))

@@ -54,7 +54,7 @@ def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BYTES = mixed((np.arange(256, dtype="uint64") + np.uint64(1)) * ODD)
 BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
-POWERS = 2 << 20  # powers that are kept
+POWERS = 5 << 18  # powers that are kept
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
