@@ -4,9 +4,11 @@ Two permutations serve for all coordinates of a signature: the first spreads the
 circle, the second ranks its places, shifted circularly by k for coordinate k. Coordinates are banded;
 documents that share a band are candidates.
 
-Exact copies of a set form one class, and only classes go on. In a bucket, members are tried against its
-smallest member, not against each other; a second round takes up the pairs of those still in different
-components, so that no link is lost. With 84 bands of 6 out of 128 coordinates a pair at exactly the threshold 0.75
+Exact copies of a set form one class, and only classes go on. The classes of a bucket form a family with its most central
+one, the pivot, and each is compared with the pivot in full. What is left apart within a family is found by how its members
+differ from the pivot: two members are linked if enough of their differences are the same. Sorted with the seldom ones
+first, the differences of linked members meet in a short beginning of both lists, so only members that share such a difference
+are compared, and no link within a family is lost. With 84 bands of 6 out of 128 coordinates a pair at exactly the threshold 0.75
 meets in no band once in 50,000 times (simulated); one of similarity 0.2, as a shared passage gives, meets once in 200.
 """
 
@@ -16,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,6 @@ WIDTH, PERCENT = 5, 75
 COORDINATES, ROWS, DEALS = 128, 6, 4
 # The coordinates are dealt into bands of six, four times over in another order.
 BANDED = np.concatenate([np.random.default_rng(k).permutation(COORDINATES)[: COORDINATES // ROWS * ROWS].reshape(-1, ROWS) for k in range(DEALS)])
-# A pair whose 128 coordinates agree this seldom is under the threshold: 0.75 lies 6 standard deviations higher.
-LEAST_AGREEING = 0.52
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -68,24 +67,22 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text), n_shingles, set (16-byte digest of the shingle set), bands, and one byte of each coordinate."""
+    """doc_id, copy (hash of the text), n_shingles, set (16-byte digest of the shingle set) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
             sets = shingles(*hashed([low_words(t) for t in texts_of(batch)]))
             full = [i for i, s in enumerate(sets) if len(s)]
-            ids, bands, marks = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            ids, bands = [None] * len(sets), [None] * len(sets)
             if full:
                 signed = signatures([sets[i] for i in full], COORDINATES)
                 banded = signed[:, BANDED]
                 keys = np.arange(1, len(BANDED) + 1, dtype="uint64")[None, :] * ODD
                 for r in range(ROWS):
                     keys = mixed(keys ^ banded[:, :, r]) * ODD
-                low = (signed & np.uint64(255)).astype("uint8")
                 for row, i in enumerate(full):
                     ids[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     bands[i] = keys[row].view("int64")
-                    marks[i] = low[row].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -93,39 +90,23 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(ids, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(marks, pa.binary()),
                 ],
-                names=["doc_id", "copy", "n_shingles", "set", "bands", "marks"],
+                names=["doc_id", "copy", "n_shingles", "set", "bands"],
             )
 
-    fields = "doc_id bigint, copy bigint, n_shingles bigint, set binary, bands array<bigint>, marks binary"
+    fields = "doc_id bigint, copy bigint, n_shingles bigint, set binary, bands array<bigint>"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text"), run, fields)
 
 
-def _agreeing(a: str, b: str) -> F.Column:
-    """Share of coordinates whose bytes agree."""
+def _families(entries: DataFrame) -> DataFrame:
+    """(a, b): the pivot of a bucket and each other class in it. The pivot is the one that meets most others, counted over all its buckets."""
+    central = entries.groupBy("set").agg(F.sum("size").alias("meets"))
+    pivots = entries.join(central, "set").groupBy("band").agg(F.max(F.struct("meets", "set")).alias("pivot")).select("band", F.col("pivot.set").alias("a"))
+    return entries.join(pivots, "band").where("set <> a").select("a", F.col("set").alias("b")).distinct()
 
-    @F.pandas_udf("double")
-    def share(x, y):
-        n = COORDINATES
-        one = np.frombuffer(b"".join(x), "uint8").reshape(-1, n)
-        two = np.frombuffer(b"".join(y), "uint8").reshape(-1, n)
-        return pd.Series((one == two).mean(axis=1))
 
-    return share(a, b)
-
-
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and coordinates allow the threshold, with their share of agreeing coordinates."""
-    one = classes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("marks").alias("marks_a"))
-    two = classes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("marks").alias("marks_b"))
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) if percent else F.lit(True)
-    joined = pairs.join(one, "a").join(two, "b").where(near)
-    return joined.withColumn("share", _agreeing("marks_a", "marks_b")).where(F.col("share") >= LEAST_AGREEING).select("a", "b", "share")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """The pairs of sets that reach the threshold, compared in full."""
+def _members(pairs: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(set, members): the shingle hashes of every class in the pairs, from one of its documents."""
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b"))).distinct()
     # One document per set, found by its id; ids may repeat, so the set is checked again below.
     owners = sketch.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
@@ -145,7 +126,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, percent: in
         owners.select("doc_id").distinct().withColumnRenamed("doc_id", "_owner"), F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi"
     )
     members = map_arrow(wanted, sets_of, "set binary, members binary").join(ends, "set", "left_semi")
-    members = stored(members.groupBy("set").agg(F.first("members").alias("members")), "minhash-sets")
+    return members.groupBy("set").agg(F.first("members").alias("members"))
+
+
+def _compared(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b, whether they reach the threshold, the size of b's set, and the shingles that only one of the two has."""
     both = pairs.join(members.select(F.col("set").alias("a"), F.col("members").alias("set_a")), "a")
     both = both.join(members.select(F.col("set").alias("b"), F.col("members").alias("set_b")), "b")
 
@@ -153,14 +138,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, percent: in
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                linked = []
+                linked, sizes, away = [], [], []
                 for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
                     one, two = np.frombuffer(x.as_buffer(), "uint64"), np.frombuffer(y.as_buffer(), "uint64")
-                    common = len(np.intersect1d(one, two, assume_unique=True))
-                    linked.append(100 * common >= percent * (len(one) + len(two) - common))
-                yield part.select(["a", "b"]).filter(pa.array(linked))
+                    apart = np.setxor1d(one, two, assume_unique=True)
+                    every = (len(one) + len(two) + len(apart)) // 2
+                    linked.append(100 * (every - len(apart)) >= percent * every)
+                    sizes.append(len(two))
+                    away.append(apart.view("int64"))
+                columns = [part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(away, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size", "away"])
+
+    return map_arrow(both.select("a", "b", "set_a", "set_b"), compare, "a binary, b binary, linked boolean, size bigint, away array<bigint>")
+
 
-    return map_arrow(both.select("a", "b", "set_a", "set_b"), compare, "a binary, b binary")
+def _within_families(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a family in different components, among them all that reach the threshold.
+
+    With `away` the shingles in which members x and y differ from the pivot, x and y differ in |away x| + |away y| - 2 * same shingles. So
+    they reach the threshold if and only if 2 * (100 + percent) * same >= over x + over y, with
+    over = (100 + percent) * |away| - (100 - percent) * size. Where the right side is 0 or less, both are linked with the pivot; so
+    members of different components have a difference in common. The first one in a fixed order has at least as many shared
+    differences from it on, in either list, as the two have in common.
+    """
+    far, near = 100 + percent, 100 - percent
+    parts = compared.join(labels.withColumnRenamed("set", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    apart = parts.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    parts = parts.join(apart.select("a"), "a", "left_semi").withColumn("over", far * F.size("away") - near * F.col("size"))
+    # The other one has at most 100 / percent as many shingles and cannot share more than all its differences.
+    least = F.col("over") - F.ceil(F.lit(near * 100 / max(percent, 1)) * F.col("size"))
+    held = parts.select("a", "b", "component", "over", least.alias("least"), F.explode("away").alias("shingle"))
+    shared = held.groupBy("a", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    behind = Window.partitionBy("a", "b").orderBy(F.col("holders").desc(), "shingle")
+    first = held.join(shared, ["a", "shingle"]).withColumn("left", F.row_number().over(behind)).where(far * F.col("left") >= F.col("least"))
+    first = stored(first.select("a", "shingle", "b", "component", "over", "left"), "differences")
+    other = first.select("a", "shingle", *(F.col(c).alias(f"{c}_2") for c in ("b", "component", "over", "left")))
+    enough = 2 * far * F.least("left", "left_2") >= F.col("over") + F.col("over_2")
+    met = first.join(other, ["a", "shingle"]).where((F.col("b") < F.col("b_2")) & (F.col("component") != F.col("component_2")) & enough)
+    return met.select(F.col("b").alias("a"), F.col("b_2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,25 +209,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """near_duplicates with component: the smallest digest of the component's sets, null for texts without words."""
     sketch = stored(sketches(docs), "sketches")
-    classes = stored(sketch.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", "n_shingles", "bands", "marks"), "classes")
+    classes = stored(sketch.where("set IS NOT NULL").dropDuplicates(["set"]).select("set", "bands"), "classes")
     entries = classes.select("set", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first <> last")
-    entries = stored(entries.join(shared.select("band", "first"), "band"), "entries")
-    tried = entries.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
-    likely = _likely(tried, classes, percent)
-    best = stored(likely.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b"), "pairs")
-    links = stored(_confirmed(best, docs, sketch, percent), "confirmed")
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    families = stored(_families(stored(entries.join(shared, "band"), "entries")), "pairs")
+    members = stored(_members(families, docs, sketch), "minhash-sets")
+    compared = stored(_compared(families, members, percent), "compared")
+    links = compared.where("linked").select("a", "b")
     labels = components(links)
 
-    # What the first round left apart within a bucket is compared across components.
-    inside = entries.join(labels, "set", "left").select("band", "set", F.coalesce("component", "set").alias("component"))
-    apart = inside.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    inside = inside.join(apart.select("band"), "band", "left_semi")
-    other = inside.select("band", F.col("set").alias("b"), F.col("component").alias("component_b"))
-    mixed_pairs = inside.withColumnRenamed("set", "a").join(other, "band").where("component < component_b").select("a", "b").distinct()
-    rest = stored(_likely(mixed_pairs, classes, percent).select("a", "b"), "pairs")
-    rest = rest.join(best.union(best.select("b", "a")), ["a", "b"], "left_anti")
-    more = stored(_confirmed(rest, docs, sketch, percent), "confirmed")
+    # What is left apart within a family may still be linked.
+    rest = stored(_within_families(compared, labels, percent), "pairs")
+    more = stored(_compared(rest, members, percent).where("linked").select("a", "b"), "confirmed")
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import sys
 import zlib
 from math import comb
@@ -279,6 +280,33 @@ def test_components_of_a_long_chain(spark):
     assert {bytes(r.component) for r in minhash.components(links).collect()} == {(0).to_bytes(2, "big")}
 
 
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+
+    def near():
+        words = list(base)
+        for _ in range(r.randint(1, 7)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = [(k, near(), "en", "a", 1) for k in range(400)]
+    stored, counts = minhash.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = minhash.near_duplicates(cases.documents(spark, rows)).collect()
+    want = cases.near_components(rows)
+    assert len({c for _, _, c in want}) > 40
+    assert bag((x.doc_id, x.component_id) for x in got) == bag((d, c) for d, _, c in want)
+    assert sum(counts) < 10 * len(rows)
+
+
 # 4: encoding
 
 
