@@ -6,8 +6,8 @@ for, or nothing, and every gap or mark a border between words or nothing. Viterb
 undisguised words picks the likeliest reading. The restored words are scored by the share of toxic documents
 among those that hold them.
 
-Both models are learned from a bounded number of labelled rows (`bound`), chosen by the hash of their id, so their
-size does not follow the data; the evidence words and trigrams are small and broadcast.
+Both models are learned from all labelled rows. Words are counted, weighed and cut into trigrams by tasks; only the evidence
+words and the trigrams, which follow the words worth hiding and the alphabet, reach the driver and are broadcast.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktally.llm.base import chunks, held, map_arrow, query, table
+from talktally.llm.base import chunks, held, map_arrow, query, stored, table
+from talktally.session import config_table
 
 # Letters that a look-alike may stand for.
 LOOKS = {
@@ -34,7 +35,9 @@ FRINGE = "!¡|+(.,;:?\"'`´*_-~^#%&=<>/\\[]{})…“”„«»¿"
 NOT_LETTERS = FRINGE + "".join(LOOKS) + "2"
 COSTS = {"itself": 0.0, "look": 1.0, "kept": 6.0, "dropped": 0.7, "lost": 5.0, "joined": 1.5, "apart": 0.5, "repeated": 2.5}
 EDGE = " "
-BOUND, SPLITS = 20_000, 5
+SPLITS = 5
+IDS = 1 << 20  # labelled ids that are broadcast; more of them are joined
+PENDING = 500_000  # distinct words a task counts before it hands them on
 BEGINNINGS = (4, 5, 6)
 Z, LEAST_DOCS = 3.0, 5
 CACHED = 200_000
@@ -200,54 +203,93 @@ class Reader:
         return best
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> tuple[dict[str, int], dict[str, float], float]:
-    """(letter counts, evidence per word, share of toxic documents) of at most `bound` labelled texts.
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, float], float]:
+    """(letter counts, evidence per word, share of toxic documents) of all labelled texts.
 
     `labels` holds doc_id and toxic; rows with null toxic or text teach nothing.
     """
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    known = F.broadcast(known) if known.count() <= IDS else known
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
     documents = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     share = ((documents.toxic or 0) + 0.5) / (documents.n + 1)
+    least = max(0.4, 1.5 * share)
+    counted = stored(word_counts(texts).where(F.col("clean") + F.col("toxic") >= LEAST_DOCS), "toxicity-words")
+
+    whole = counted.where(~F.endswith("word", F.lit("*")) & (lower_bound(F.col("toxic"), F.col("clean") + F.col("toxic")) > least)).collect()
+    # A beginning counts without the words that are evidence by themselves.
+    without: dict[str, tuple[int, int]] = {}
+    for row in whole:
+        for part in traits(row.word)[1:]:
+            c, t = without.get(part, (0, 0))
+            without[part] = (c + row.clean, t + row.toxic)
+    columns = {"word": list(without), "less_clean": [c for c, _ in without.values()], "less_toxic": [t for _, t in without.values()]}
+    fewer = config_table(docs.sparkSession, columns, pa.schema([("word", pa.string()), ("less_clean", pa.int64()), ("less_toxic", pa.int64())]))
+    begun = counted.where(F.endswith("word", F.lit("*"))).join(fewer, "word", "left")
+    begun = begun.select("word", *(F.greatest(F.lit(0), F.col(c) - F.coalesce(f"less_{c}", F.lit(0))).alias(c) for c in ("clean", "toxic")))
+    begun = begun.where("clean + toxic > 0").where(lower_bound(F.col("toxic"), F.col("clean") + F.col("toxic")) > least).collect()
+    evidence = {r.word: bound_of(r.toxic, r.clean + r.toxic) for r in [*whole, *begun]}
+    return letter_counts(counted, evidence), evidence, share
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, clean, toxic): in how many distinct lines of clean and of toxic texts each trait is found."""
     # Equal lines teach once, and as clean ones if any is clean: copies of a text are no further evidence.
     lines = texts.select(F.explode(F.split("text", "\n")).alias("text"), "toxic")
     lines = lines.groupBy(F.xxhash64("text").alias("_line")).agg(F.first("text").alias("text"), F.min("toxic").alias("toxic"))
 
+    def handed(kinds: tuple[Counter, Counter]) -> pa.RecordBatch:
+        words = list(kinds[0].keys() | kinds[1].keys())
+        return pa.RecordBatch.from_pydict({"word": words, "clean": [kinds[0][w] for w in words], "toxic": [kinds[1][w] for w in words]})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple[Counter, Counter] = Counter(), Counter()
+        kinds, seen = (Counter(), Counter()), {}
         for batch in chunks(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = {p for p in map(plain, set(text.split())) if p}
-                kinds[1 if toxic else 0].update({t for word in found for t in traits(word)})
-        words = list(kinds[0].keys() | kinds[1].keys())
-        for start in range(0, len(words), 100_000):
-            part = words[start : start + 100_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "clean": [kinds[0][w] for w in part], "toxic": [kinds[1][w] for w in part]})
+                found = set()
+                for token in set(text.split()):
+                    each = seen.get(token)
+                    if each is None:
+                        bare = plain(token)
+                        each = seen[token] = traits(bare) if bare else []
+                    found.update(each)
+                kinds[1 if toxic else 0].update(found)
+            if len(seen) > CACHED:
+                seen.clear()
+            if len(kinds[0]) + len(kinds[1]) > PENDING:
+                yield handed(kinds)
+                kinds = (Counter(), Counter())
+        if kinds[0] or kinds[1]:
+            yield handed(kinds)
 
     counted = map_arrow(lines.select("text", F.col("toxic").cast("int")), count, "word string, clean bigint, toxic bigint")
-    counted = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
-    rows = counted.where((F.col("clean") + F.col("toxic") >= LEAST_DOCS)).toArrow()
-    stats = {w: (c, t) for w, c, t in zip(*(rows.column(n).to_pylist() for n in ("word", "clean", "toxic")), strict=True)}
-    least = max(0.4, 1.5 * share)
-    evidence = {w: low for w, (c, t) in stats.items() if w[-1] != "*" and (low := lower_bound(t, c + t)) > least}
-    # A beginning counts without the words that are evidence by themselves.
-    for word in list(evidence):
-        c, t = stats[word]
-        for part in traits(word)[1:]:
-            if part in stats:
-                stats[part] = (max(0, stats[part][0] - c), max(0, stats[part][1] - t))
-    evidence |= {w: low for w, (c, t) in stats.items() if w[-1] == "*" and (low := lower_bound(t, c + t)) > least}
-    # What is worth hiding weighs more in the model of what may be hidden.
-    words = {w: (c + t) * (50 if w in evidence else 1) for w, (c, t) in stats.items() if w.isalpha() and not THRICE.search(w)}
-    return dict(count_letters(words)), evidence, share
-
-
-def lower_bound(hits: int, n: int, z: float = Z) -> float:
-    """Wilson's lower bound of a share."""
-    if not n:
-        return 0.0
+
+def letter_counts(counted: DataFrame, evidence: dict[str, float]) -> dict[str, int]:
+    """Counts of the strings of letters of all counted words; what is worth hiding weighs more in the model of what may be hidden."""
+    heavy = frozenset(evidence)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("word", "n")), strict=True)
+            total.update(count_letters({w: n * (50 if w in heavy else 1) for w, n in rows if w.isalpha() and not THRICE.search(w)}))
+        yield pa.RecordBatch.from_pydict({"letters": list(total), "n": list(total.values())}, pa.schema([("letters", pa.string()), ("n", pa.int64())]))
+
+    cuts = map_arrow(counted.select("word", (F.col("clean") + F.col("toxic")).alias("n")), cut, "letters string, n bigint")
+    found = cuts.groupBy("letters").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("letters").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
+def lower_bound(hits: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share; n is above 0."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def bound_of(hits: int, n: int, z: float = Z) -> float:
+    """The same of single numbers."""
     p, zz = hits / n, z * z
     return (p + zz / (2 * n) - z * math.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
@@ -280,9 +322,9 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % SPLITS == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, column: str = "score") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
     """The columns of `docs` and their texts' scores, learned from the labels that are not held out."""
-    return score_texts(docs, *learn(docs, for_learning(labels), bound), column=column)
+    return score_texts(docs, *learn(docs, for_learning(labels)), column=column)
 
 
 @query("op10_toxicity")

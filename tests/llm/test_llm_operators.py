@@ -590,3 +590,13 @@ def test_held_out_labels_teach_nothing(spark):
     rows = labels(spark, [(i, 1, i % 2) for i in range(50)] + [(None, 1, 1)])
     got = {r.doc_id for r in toxicity.for_learning(rows).collect()}
     assert got == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5} | {None}
+
+
+def test_all_labels_teach(spark):
+    ids = spark.range(24_000).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    rows = [(i, f"plain{k % 50}" if k < 23_950 else f"plain{k % 50} gnarl", int(k >= 23_950)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, "no label")], "doc_id long, text string")
+    letters, evidence, share = toxicity.learn(docs, labels(spark, [(i, 1, x) for i, _, x in rows]))
+    assert share == 50.5 / 24_001
+    assert "gnarl" in evidence and not any(w.startswith("plain") for w in evidence)
+    assert letters["gna"] == 50 * 50
