@@ -11,11 +11,13 @@ The vocabulary file is read on the driver and broadcast: its size is fixed, what
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ WHITE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 END = "</w>"
 LAST = 0x10000  # added to the last character of a word, so that it is a symbol of its own
 MARKS = ".,;:!?"
-CACHED = 250_000  # encoded tokens a worker keeps between blocks
+CACHED = 250_000  # encoded stretches, and words, a worker keeps between blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = "/opt/tokenizers") -> str:
@@ -74,6 +76,7 @@ class Vocabulary:
         # Every end of a token: its id if it is a token itself, else -1.
         self.tails = dict.fromkeys((s[k:] for s in self.ids for k in range(len(s))), -1) | self.ids
         self.known: dict[int, bool] = {}
+        self.packed: dict[str | int, bytes] = {}  # ids of words and of special ids, as four bytes each
         self.letters, self.table = byte_letters(), None
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -181,12 +184,29 @@ class Vocabulary:
     def encode_chunks(self, stretches: Iterable[str]) -> dict[str, bytes]:
         """Ids, as four bytes each, of distinct stretches without white space."""
         cut = {s: self.pieces(s) for s in stretches}
-        words = self.encode_words({p for pieces in cut.values() for p in pieces if isinstance(p, str)})
-        packed = {w: array("i", t).tobytes() for w, t in words.items()}
-        packed |= {i: np.array([i], "<i4").tobytes() for i in self.special.values()}
+        packed, words = self.packed, {p for pieces in cut.values() for p in pieces}
+        new = words.difference(packed)
+        if len(packed) + len(new) > CACHED:
+            packed.clear()
+            new = words
+        special = new.intersection(self.special.values())
+        packed.update((i, np.array([i], "<i4").tobytes()) for i in special)
+        packed.update((w, array("i", t).tobytes()) for w, t in self.encode_words(new - special).items())
         return {s: packed[pieces[0]] if len(pieces) == 1 else b"".join([packed[p] for p in pieces]) for s, pieces in cut.items()}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without searches for cycles, which would go through the vocabulary again and again; nothing within makes any."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def split_white(text: str) -> list[str]:
     return [x for x in WHITE.split(text) if x] if CONTROLS.search(text) else text.split()
 
@@ -231,7 +251,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             if len(cache) + len(new) > CACHED:
                 cache.clear()
                 new = seen
-            cache.update(vocabulary.encode_chunks(new))
+            with uncollected():
+                cache.update(vocabulary.encode_chunks(new))
             packed = [b"".join(map(cache.__getitem__, s)) for s in split]
             offsets = np.zeros(len(packed) + 1, "int32")
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])

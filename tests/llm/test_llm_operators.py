@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import math
 import random
 import sys
@@ -323,6 +324,17 @@ def test_ids_and_texts_equal_the_library(spark, docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_a_word_is_encoded_once_whatever_stands_around_it(monkeypatch):
+    vocabulary = bpe.Vocabulary(json.loads(Path(bpe.tokenizer_path()).read_text()))
+    encode_words, encoded = vocabulary.encode_words, []
+    monkeypatch.setattr(vocabulary, "encode_words", lambda words: encoded.extend(words) or encode_words(words))
+    first = vocabulary.encode_chunks({"Harbour", "sea<|endoftext|>"})
+    again = vocabulary.encode_chunks({"harbour,", "HARBOUR", "sea", "<|endoftext|>"})
+    assert len(encoded) == len(set(encoded)) == 3
+    assert first["Harbour"] == again["HARBOUR"] == again["harbour,"][:-4]
+    assert first["sea<|endoftext|>"] == again["sea"] + again["<|endoftext|>"]
+
+
 def test_random_strings_equal_the_library():
     import json
     import random
