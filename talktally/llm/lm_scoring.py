@@ -184,23 +184,37 @@ def _hashes(level: int, first: int) -> int:
 def _place(h: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     """The state and the bits within a segment of hash function i, given the state before: three places a mixing."""
     if i % 3 == 0:
-        h = mixed(h + ODD)
-    return h, (h >> np.uint64(i % 3 * PLACE_BITS)) & np.uint64(SEGMENT_BITS - 1)
+        h = h + ODD
+        mixed(h, out=h)
+    at = h >> np.uint64(i % 3 * PLACE_BITS)
+    at &= np.uint64(SEGMENT_BITS - 1)
+    return h, at
 
 
 def _there(bits: np.ndarray, keys: np.ndarray, start: np.ndarray, level: int, first: int) -> np.ndarray:
-    """Which keys, by position, the filter holds at a level; `start` is the first bit of each key's segment."""
-    alive, h = np.arange(len(keys)), keys ^ _turn(level)
+    """Which keys, by position, the filter holds at a level; `start` is the first bit of each key's segment.
+
+    Keys that are not there are taken out once they are more than a quarter; a few are cheaper to carry along.
+    """
+    alive, h, there = np.arange(len(keys)), keys ^ _turn(level), None
     for i in range(_hashes(level, first)):
         h, at = _place(h, i)
         at += start
-        found = bits.take((at >> np.uint64(3)).view("int64")) >> (at & np.uint64(7)).astype("uint8") & 1
-        left = np.flatnonzero(found)
-        if len(left) < len(found):
-            alive, h, start = alive[left], h[left], start[left]
-            if not len(left):
-                break
-    return alive
+        bit = at.astype("uint8")
+        bit &= 7
+        at >>= np.uint64(3)
+        found = bits.take(at.view("int64"))
+        found >>= bit
+        found &= 1
+        if there is not None:
+            found &= there
+        there, left = found, np.count_nonzero(found)
+        if not left:
+            return alive[:0]
+        if left < 0.75 * len(found):
+            kept = np.flatnonzero(found)
+            alive, h, start, there = alive[kept], h[kept], start[kept], None
+    return alive if there is None else alive[there.view("bool")]
 
 
 def probe(bits: np.ndarray, segments: int, keys: np.ndarray, first: int) -> np.ndarray:
