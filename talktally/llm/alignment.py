@@ -2,10 +2,12 @@
 
 Two tokenizers cut the same bytes of a text in two ways. The ends of both are merged as two sorted lists: the two
 tokens under the pointers overlap (a link), equal ends are a cut, and whichever token ends first is left behind.
-All documents of a batch do this at once: one NumPy vector holds the pointers of every document, each step advances
-them together and emits its links and cuts, and finished documents are taken out of the vector. A long document is
-several lanes of that vector, each beginning at its own A token, because where a lane's B pointer starts follows from a search
-of the ends; so the number of steps does not follow the longest text.
+No token of either side goes over a single space between other characters, so texts are cut there into parts, and each
+distinct part of a block of documents is encoded and merged once. All parts do this together: one NumPy vector holds the
+pointers of every part, each step advances them and emits its links, and finished parts are taken out of the vector. A
+long part is several lanes of that vector, each beginning at its own A token, because where a lane's B pointer starts
+follows from a search of the ends; so the number of steps does not follow the longest part. A document's tokens, links and
+groups are those of its parts one after the other. Tokenizers that may go over a space get texts as one part.
 
 How many documents hold an id pair is counted over all rows. A block of documents writes its distinct pairs once, the
 pairs meet their counts by joins, and the counts come back to the block: neither a frequent pair nor a long document
@@ -19,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ PIECE = 1 << 16  # characters encoded at once
 B_BITS = 32  # an id pair is A << 32 | B
 # A single space between other characters always begins a new word of the byte-level tokenizer.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
+# Where no white space follows a space, every space inside a text begins one.
+RUN = re.compile(r" \s")
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 RESULTS = (*MEASURES, "n_best", "count_sum", "groups_sha256")
 FULL = {
@@ -69,30 +74,55 @@ class Tokenizers:
         # Ids as text with what follows them: another id of the same side, the other side, the next group, nothing.
         self.digits = pa.array([f"{i}{after}".encode() for after in (",", "|", ";", "") for i in range(most)], pa.binary())
         self.most = most
+        self.cut_a = self._byte_level(spec)
+        self.cut_both = self.cut_a and self._merges_within_words([p for raw, p in pieces if not raw])
 
-    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text under A, behind a space, and under B."""
+    @staticmethod
+    def _byte_level(spec: dict) -> bool:
+        """Whether A looks for tokens within the words of the byte-level pattern only."""
+        words = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+        return spec["normalizer"] is None and words.items() <= (spec["pre_tokenizer"] or {}).items() and all(t["special"] for t in spec["added_tokens"])
+
+    def _merges_within_words(self, pieces: list[str]) -> bool:
+        """Whether B takes a text as it is, behind a space, and merges (scores are ranks) nothing over the space after a word."""
+        as_it_is = self.b.normalize("ﬁ  ² ") == "▁ﬁ▁▁²▁"
+        return as_it_is and all(self.b.get_score(i).is_integer() for i in range(len(self.b))) and not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def parts(self, text: str) -> list[str]:
+        """The text in parts, a space between them, whose tokens are those of the text on both sides."""
+        if not self.cut_both:
+            return [text]
+        if text[0] == " " or text[-1] == " " or RUN.search(text):
+            return SPACE.split(text)
+        return text.split(" ")
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other and how many each has, under A, behind a space, and under B."""
         parts, owner = [], []
         for k, text in enumerate(texts):
-            for part in cut_at_spaces(f" {text}"):
-                parts.append(part)
-                owner.append(k)
-        ids_a: list[list[np.ndarray]] = [[] for _ in texts]
-        for k, one in zip(owner, self._in_groups(parts), strict=True):
-            ids_a[k].append(one)
-        ids_b = [np.array(x, "int32") for x in self.b.encode(list(texts), num_threads=1)]
-        return [np.concatenate(x) if len(x) > 1 else x[0] for x in ids_a], ids_b
-
-    def _in_groups(self, parts: list[str]) -> Iterator[np.ndarray]:
-        """The library's results are large, so few are held at a time."""
+            cut = cut_at_spaces(f" {text}") if self.cut_a and len(text) >= PIECE else [f" {text}"]
+            parts += cut
+            owner += [k] * len(cut)
+        none = np.zeros(0, "int32")
+        groups = list(self._in_groups(parts))
+        ids_a, sizes = (np.concatenate([none, *x]) for x in (zip(*groups, strict=True) if groups else ((), ())))
+        n_a = np.zeros(len(texts), "int64")
+        np.add.at(n_a, owner, sizes)
+        ids_b = self.b.encode(list(texts), num_threads=1)
+        n_b = np.fromiter(map(len, ids_b), "int64", len(ids_b))
+        return ids_a, n_a, np.fromiter(chain.from_iterable(ids_b), "int32", n_b.sum()), n_b
+
+    def _in_groups(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some parts one after the other, and their numbers; the library's results are large, so few are held at a time."""
         start = 0
         while start < len(parts):
             end, size = start, 0
             while end < len(parts) and (end == start or size + len(parts[end]) <= 4 * PIECE):
                 size += len(parts[end])
                 end += 1
-            for one in self.a.encode_batch_fast(parts[start:end], add_special_tokens=False):
-                yield np.array(one.ids, "int32")
+            ids = [one.ids for one in self.a.encode_batch_fast(parts[start:end], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), "int32", len(ids))
+            yield np.fromiter(chain.from_iterable(ids), "int32", sizes.sum()), sizes
             start = end
 
 
@@ -129,86 +159,117 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, rows: np.ndarray, lane: int
     stop = np.minimum(i + lane, np.repeat(rows[1:], lanes))
     begin = np.where(i > 0, ends_a[i - 1], 0)
     j = np.searchsorted(ends_b, begin, side="right")
-    link_a, link_b, cut_a, cut_b = [], [], [], []
+    link_a, link_b = [], []
     while i.size:
         end_a, end_b = ends_a[i], ends_b[j]
         link_a.append(i)
         link_b.append(j)
-        cut = end_a == end_b
-        cut_a.append(i[cut])
-        cut_b.append(j[cut])
         i, j = i + (end_a <= end_b), j + (end_b <= end_a)
         unfinished = i < stop
         if not unfinished.all():
             i, j, stop = i[unfinished], j[unfinished], stop[unfinished]
-    none = np.zeros(0, "int64")
-    a, b, c, d = (np.concatenate(x) if x else none for x in (link_a, link_b, cut_a, cut_b))
-    order, cuts = np.lexsort((b, a)), np.argsort(c)
-    return a[order], b[order], c[cuts], d[cuts]
-
-
-class Block:
-    """The alignment of a block of texts."""
-
-    def __init__(self, tokenizers: Tokenizers, texts: Sequence[str | None]):
-        n = len(texts)
-        chosen = [k for k, t in enumerate(texts) if t]
-        ids_a, ids_b = tokenizers.encode([texts[k] for k in chosen]) if chosen else ([], [])
-        ids_a, ids_b, chosen = self._same_bytes(tokenizers, texts, ids_a, ids_b, chosen)
-        self.n_a, self.n_b = np.zeros(n, "int64"), np.zeros(n, "int64")
-        self.n_a[chosen], self.n_b[chosen] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-        self.rows_a, self.rows_b = (np.concatenate([[0], np.cumsum(x)]) for x in (self.n_a, self.n_b))
-        none = np.zeros(0, "int32")
-        self.a, self.b = np.concatenate([*ids_a, none]), np.concatenate([*ids_b, none])
+    # Of links in order, the sum of both places grows from one to the next, so it is a slot of its own.
+    slots = np.full(len(ends_a) + len(ends_b), -1)
+    for x, y in zip(link_a, link_b, strict=True):
+        slots[x + y] = x
+    taken = np.flatnonzero(slots >= 0)
+    a = slots[taken]
+    b = taken - a
+    cut = ends_a[a] == ends_b[b]
+    return a, b, a[cut], b[cut]
+
+
+def starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of consecutive rows begins, and the end of the last one."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def entries(rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the chosen rows' entries, one row after the other."""
+    sizes = np.diff(rows)[chosen]
+    ends = starts(sizes)
+    return np.repeat(rows[chosen] - ends[:-1], sizes) + np.arange(ends[-1])
+
+
+class Parts:
+    """Both sides' tokens of distinct parts of texts, and how they meet."""
+
+    def __init__(self, tokenizers: Tokenizers, parts: list[str]):
+        self.a, n_a, self.b, n_b = tokenizers.encode(parts)
+        # A part whose tokens' bytes are not its own behind a space has no tokens.
+        want = [f" {x}".encode() for x in parts]
+        self.same = self._equal(tokenizers.bytes_a, self.a, n_a, want) & self._equal(tokenizers.bytes_b, self.b, n_b, want)
+        self.a, self.b = self.a[np.repeat(self.same, n_a)], self.b[np.repeat(self.same, n_b)]
+        self.rows_a, self.rows_b = starts(n_a * self.same), starts(n_b * self.same)
         ends_a, ends_b = token_bytes(tokenizers.bytes_a, self.a)[1], token_bytes(tokenizers.bytes_b, self.b)[1]
         self.link_a, self.link_b, self.cut_a, self.cut_b = lockstep(ends_a, ends_b, self.rows_a)
-        # Places of the documents' first links and cuts; both are in order of their A place.
+        # Places of the parts' first links and cuts; both are in order of their A place.
         self.rows_links, self.rows_cuts = (np.searchsorted(x, self.rows_a) for x in (self.link_a, self.cut_a))
-        self.n_links, self.n_groups = np.diff(self.rows_links), np.diff(self.rows_cuts)
 
     @staticmethod
-    def _same_bytes(tokenizers, texts, ids_a, ids_b, chosen):
-        """Only the texts whose tokens' bytes are those of the text behind a space, on both sides."""
-        kept = []
-        for x, y, k in zip(ids_a, ids_b, chosen, strict=True):
-            want = f" {texts[k]}".encode()
-            if token_bytes(tokenizers.bytes_a, x)[0] == want and token_bytes(tokenizers.bytes_b, y)[0] == want:
-                kept.append((x, y, k))
-        return [x for x, _, _ in kept], [y for _, y, _ in kept], [k for _, _, k in kept]
-
-    def digests(self, tokenizers: Tokenizers) -> list[str]:
-        """SHA-256 of every document's groups as text; of a document without tokens, an empty string."""
+    def _equal(names: pa.Array, ids: np.ndarray, sizes: np.ndarray, want: list[bytes]) -> np.ndarray:
+        """Whether the joined bytes of each part's ids are the wanted ones."""
+        data, ends = token_bytes(names, ids)
+        borders = np.concatenate([[0], ends])[starts(sizes)].tolist()
+        return np.array([data[x:y] == w for x, y, w in zip(borders[:-1], borders[1:], want, strict=True)], bool)
+
+    def groups(self, tokenizers: Tokenizers) -> list[bytes]:
+        """Every part's groups as text."""
         n_a, n_b = len(self.a), len(self.b)
-        if not n_a:
-            return [""] * len(self.n_a)
-        # A token's place in the text follows from the number of tokens before it and of groups that are done.
-        done_a = np.searchsorted(self.cut_a, np.arange(n_a))  # cuts before the token's own group ends
-        done_b = np.searchsorted(self.cut_b, np.arange(n_b))
-        before_b = np.concatenate([[0], self.cut_b + 1])[done_a]  # B tokens of finished groups
-        upto_a = (self.cut_a + 1)[done_b]  # A tokens up to this group's end
         after_a, after_b = np.zeros(n_a, "int64"), np.zeros(n_b, "int64")
         after_a[self.cut_a] = 1
         after_b[self.cut_b] = 2
-        after_b[self.rows_b[1:][self.n_b > 0] - 1] = 3
+        # A token's place in the text follows from the number of tokens before it and of groups that are done.
+        done_a = np.cumsum(after_a) - after_a  # cuts before the token's own group ends
+        done_b = (np.cumsum(after_b) - after_b) // 2
+        before_b = np.concatenate([[0], self.cut_b + 1])[done_a]  # B tokens of finished groups
+        upto_a = (self.cut_a + 1)[done_b]  # A tokens up to this group's end
+        after_b[self.rows_b[1:][np.diff(self.rows_b) > 0] - 1] = 3
         codes = np.empty(n_a + n_b, "int64")
         codes[np.arange(n_a) + before_b] = self.a + after_a * tokenizers.most
         codes[np.arange(n_b) + upto_a] = self.b + after_b * tokenizers.most
-        out, data = [], None
-        for start, end in zip(self.rows_a[:-1] + self.rows_b[:-1], self.rows_a[1:] + self.rows_b[1:], strict=True):
-            data = token_bytes(tokenizers.digits, codes[start:end])[0] if end > start else None
-            out.append("" if data is None else hashlib.sha256(data).hexdigest())
+        data, ends = token_bytes(tokenizers.digits, codes)
+        borders = np.concatenate([[0], ends])[self.rows_a + self.rows_b].tolist()
+        return [data[x:y] for x, y in zip(borders[:-1], borders[1:], strict=True)]
+
+
+class Block:
+    """The alignment of a block of texts, put together from their parts."""
+
+    def __init__(self, tokenizers: Tokenizers, texts: Sequence[str | None]):
+        cut = [tokenizers.parts(t) if t else [] for t in texts]
+        number = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        self.parts = Parts(tokenizers, list(number))
+        sizes = np.fromiter(map(len, cut), "int64", len(cut))
+        places = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), "int64", sizes.sum())
+        # Only texts whose parts all have their own bytes have tokens.
+        same = np.diff(starts(~self.parts.same[places])[starts(sizes)]) == 0
+        self.places, self.rows = places[np.repeat(same, sizes)], starts(sizes * same)
+        self.n_a, self.n_b, self.n_links, self.n_groups = (
+            np.diff(starts(np.diff(x)[self.places])[self.rows]) for x in (self.parts.rows_a, self.parts.rows_b, self.parts.rows_links, self.parts.rows_cuts)
+        )
+
+    def digests(self, tokenizers: Tokenizers) -> list[str]:
+        """SHA-256 of every document's groups as text; of a document without tokens, an empty string."""
+        groups, out = self.parts.groups(tokenizers), []
+        for start, end in zip(self.rows[:-1], self.rows[1:], strict=True):
+            text = b";".join(map(groups.__getitem__, self.places[start:end].tolist()))
+            out.append(hashlib.sha256(text).hexdigest() if text else "")
         return out
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct id pairs, documents with each, and per document: offsets, places in the pairs, times linked."""
-        keys = self.a[self.link_a].astype("int64") << B_BITS | self.b[self.link_b]
+        parts, n = self.parts, len(self.n_a)
+        keys = parts.a[parts.link_a].astype("int64") << B_BITS | parts.b[parts.link_b]
         pairs, place = np.unique(keys, return_inverse=True)
-        document = np.repeat(np.arange(len(self.n_a)), self.n_links)
+        document = np.repeat(np.arange(n), self.n_links)
         width = max(len(pairs), 1)
-        own, times = np.unique(document * width + place, return_counts=True)
+        own, times = np.unique(document * width + place[entries(parts.rows_links, self.places)], return_counts=True)
         places = own % width
-        offsets = np.searchsorted(own, np.arange(len(self.n_a) + 1) * width)
-        return pairs, np.bincount(places, minlength=len(pairs)), offsets, places, times
+        offsets = np.searchsorted(own, np.arange(n + 1) * width)
+        holders = np.bincount(places, minlength=len(pairs))
+        met = holders > 0  # others are of texts without tokens
+        return pairs[met], holders[met], offsets, (np.cumsum(met) - 1)[places], times
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray, kind: str) -> pa.Array:
@@ -222,14 +283,17 @@ def _positions(offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
 
 def _full(block: Block) -> list[pa.Array]:
     """Ids, links as token numbers of the document, and cuts as numbers of tokens in front of them."""
-    base_a, base_b = block.rows_a[:-1], block.rows_b[:-1]
-    of_link, of_cut = (np.repeat(np.arange(len(block.n_a)), x) for x in (block.n_links, block.n_groups))
-    return [
-        _lists(block.rows_a, block.a, "int32"),
-        _lists(block.rows_b, block.b, "int32"),
-        _positions(block.rows_links, block.link_a - base_a[of_link], block.link_b - base_b[of_link]),
-        _positions(block.rows_cuts, block.cut_a + 1 - base_a[of_cut], block.cut_b + 1 - base_b[of_cut]),
-    ]
+    parts, places = block.parts, block.places
+    # Tokens of the document in front of each of its parts.
+    in_front = []
+    for rows, sizes in ((parts.rows_a, block.n_a), (parts.rows_b, block.n_b)):
+        before = starts(np.diff(rows)[places])[:-1] - np.repeat(starts(sizes)[:-1], np.diff(block.rows))
+        in_front.append(before - rows[places])
+    columns = [_lists(starts(n), x[entries(rows, places)], "int32") for n, x, rows in ((block.n_a, parts.a, parts.rows_a), (block.n_b, parts.b, parts.rows_b))]
+    for n, rows, a, b, more in ((block.n_links, parts.rows_links, parts.link_a, parts.link_b, 0), (block.n_groups, parts.rows_cuts, parts.cut_a, parts.cut_b, 1)):
+        at, sizes = entries(rows, places), np.diff(rows)[places]
+        columns.append(_positions(starts(n), a[at] + np.repeat(in_front[0], sizes) + more, b[at] + np.repeat(in_front[1], sizes) + more))
+    return columns
 
 
 def _aligned(docs: DataFrame, text: str, keep: Sequence[str], full: bool, paths: tuple[str, str]) -> DataFrame:

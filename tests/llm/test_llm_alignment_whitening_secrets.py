@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import re
 import sys
 from pathlib import Path
@@ -142,6 +143,54 @@ def test_texts_are_cut_only_where_no_token_crosses(tokenizers, plain_tokenizers)
     assert [i for p in parts for i in plain_tokenizers[0].encode(p, add_special_tokens=False).ids] == plain_tokenizers[0].encode(text, add_special_tokens=False).ids
 
 
+ODD = [*"  \n\t\r\x1c\x85\xa0\u3000\u180e\u200b", " ", " ", "  ", *"ab1!?é▁中😀", "the", "'s", "<s>", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ODD), min_size=1, max_size=30).map("".join))
+def test_parts_have_the_tokens_of_the_whole_text(tokenizers, plain_tokenizers, text):
+    a, b = plain_tokenizers
+    parts = tokenizers.parts(text)
+    assert " ".join(parts) == text
+    assert [i for p in parts for i in a.encode(f" {p}", add_special_tokens=False).ids] == a.encode(f" {text}", add_special_tokens=False).ids
+    # B takes the mark for a space, so a text with one has no tokens; its parts need not be those of the whole.
+    assert "▁" in text or [i for p in parts for i in b.encode(p)] == b.encode(text)
+
+
+def test_each_distinct_part_of_a_block_is_encoded_once(tokenizers, plain_tokenizers, monkeypatch):
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(words[k % 7 :: 1 + k % 3]) for k in range(100)] + ["a▁b word1", None, ""]
+    encode, given_ = alignment.Tokenizers.encode, []
+    monkeypatch.setattr(alignment.Tokenizers, "encode", lambda self, parts: given_.extend(parts) or encode(self, parts))
+    block = alignment.Block(tokenizers, texts)
+    assert sorted(given_) == sorted({w for t in texts if t for w in t.split(" ")})
+    want = [plain_alignment(t, tokenizers, plain_tokenizers) for t in texts]
+    got = zip(block.n_a.tolist(), block.n_b.tolist(), block.n_groups.tolist(), block.digests(tokenizers), block.n_links.tolist(), strict=True)
+    assert list(got) == [(*w[:4], len(w[4])) for w in want]
+    pairs, holders = block.pairs()[:2]
+    held = collections.Counter(p for w in want for p in set(w[4]))
+    assert {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(pairs.tolist(), holders.tolist(), strict=True)} == held
+
+
+def test_texts_stay_whole_where_a_token_goes_over_a_space(plain_tokenizers, tmp_path):
+    letters = alignment.byte_letters()
+    merges = [["a", "Ġ"], ["aĠ", "b"]]
+    vocab = {t: k for k, t in enumerate([*letters, *map("".join, merges)])}
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None}
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+    spec["model"] |= {"fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": merges}
+    (tmp_path / "over.json").write_text(json.dumps(spec))
+    over = alignment.Tokenizers(f"{tmp_path}/over.json", "/opt/tokenizers/piece_bpe_32k.model")
+    plain = (Tokenizer.from_file(f"{tmp_path}/over.json"), plain_tokenizers[1])
+    text = "xa b" * 20_000
+    assert over.parts(text) == [text]
+    n_a, n_b, n_groups, digest, links = plain_alignment(text, over, plain)
+    block = alignment.Block(over, [text, None])
+    assert [x.tolist() for x in (block.n_a, block.n_b, block.n_groups, block.n_links)] == [[x, 0] for x in (n_a, n_b, n_groups, len(links))]
+    assert block.digests(over) == [digest, ""] and n_a == 2 * 20_000 + 1
+
+
 def test_alignment_of_empty_tables_and_texts(spark, docs):
     assert alignment.align(docs.limit(0)).count() == 0
     none = alignment.align(docs.where("text IS NULL OR text = ''"), keep=["doc_id"]).collect()
