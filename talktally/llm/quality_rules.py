@@ -120,8 +120,12 @@ def _passed(measured: DataFrame) -> DataFrame:
     def below(share: Column, grid: list[float]) -> Column:
         return F.coalesce(F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: share > g)), F.lit(0))
 
-    passed = F.array(*(below(share, grid) for share, grid in zip(_shares().values(), RULES.values(), strict=True)))
-    return measured.where(~base_failed()).select("doc_id", "lang", "copy", passed.alias("passed"))
+    # Written first: Catalyst would push the filter and the comparisons into measures that are not stored, and work these out
+    # anew for every window and every grid value.
+    shares = (share.alias(rule) for rule, share in _shares().items())
+    rows = stored(measured.select("doc_id", "lang", "copy", base_failed().alias("failed"), *shares), "quality-shares")
+    passed = F.array(*(below(F.col(rule), grid) for rule, grid in RULES.items()))
+    return rows.where(~F.col("failed")).select("doc_id", "lang", "copy", passed.alias("passed"))
 
 
 def _order(passed: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
