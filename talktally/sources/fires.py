@@ -4,15 +4,16 @@ A fire may be delivered by several runs. Each run keeps what it was given, so re
 copy agrees in conversation, operator, version, arrival and the stored digest of trigger, payload and metadata. A document that itself holds
 the same result several times keeps them: its copies are numbered, and equal numbers meet.
 
-Which deliveries are copies is found on narrow columns. Payloads are not shuffled for it: the addresses of the
-superfluous rows, few as a rule, are written to the scratch folder, and Catalyst picks the join by their size.
+Which deliveries are copies is found on narrow columns, and the addresses of the superfluous rows are written to the scratch folder. While
+they are few, as a rule, they are broadcast and payloads stay where they are. Their size on disk says little, as addresses compress to
+almost nothing, so they are counted: many meet the fires by a merge, whose result is kept, and if all rows are superfluous none is read.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talktally.operators.gates import with_day
@@ -24,6 +25,7 @@ DAY = ["tenant_id", "date"]
 KEY = ["tenant_id", "conversation_id", "operator_name", "schema_version", "received_at", "digest"]
 STORED_ONLY = ("digest", "batch_id", "date")
 _ADDRESS = ["_file", "_row"]
+FEW = 50_000  # addresses that are broadcast, of some 200 bytes each
 _RUN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -74,13 +76,23 @@ def _addressed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
 
 
-def _without(rows: DataFrame, superfluous: DataFrame) -> DataFrame:
-    """`rows` but for the given addresses, which are written first so that their size is known."""
+def _without(rows: DataFrame, copies: DataFrame, superfluous: Column) -> DataFrame:
+    """`rows` but for those whose addresses are `superfluous` among `copies`, the addresses of all of them at least."""
     spark = rows.sparkSession
-    path = scratch_path(spark, "copies")
-    superfluous.select(*_ADDRESS).write.parquet(path)
+    path, met = scratch_path(spark, "copies"), Observation()
+    copies.observe(met, F.count(F.lit(1)).alias("rows")).where(superfluous).select(*_ADDRESS).write.parquet(path)
     known = spark.read.schema("_file string, _row long").parquet(path)
-    return rows.join(known, _ADDRESS, "left_anti").drop(*_ADDRESS)
+    found = known.count()
+    if not found:
+        return rows.drop(*_ADDRESS)
+    if found == met.get["rows"]:
+        return rows.drop(*_ADDRESS).limit(0)
+    if found <= FEW:
+        return rows.join(F.broadcast(known), _ADDRESS, "left_anti").drop(*_ADDRESS)
+    kept = rows.join(known.hint("merge"), _ADDRESS, "left_anti").drop(*_ADDRESS)
+    path = scratch_path(spark, "once")
+    kept.write.parquet(path)
+    return spark.read.schema(kept.schema).parquet(path)
 
 
 def once_delivered(stored: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -88,7 +100,7 @@ def once_delivered(stored: DataFrame, of: DataFrame | None = None) -> DataFrame:
     rows = _addressed(stored)
     if of is not None:
         rows = rows.join(of, of.columns, "left_semi")
-    return _without(rows, _copies(rows).where(F.col("_rank") > 1)).drop(*STORED_ONLY)
+    return _without(rows, _copies(rows), F.col("_rank") > 1).drop(*STORED_ONLY)
 
 
 def fresh_fires(spark: SparkSession, path: str, run: int | str) -> DataFrame:
@@ -99,8 +111,8 @@ def fresh_fires(spark: SparkSession, path: str, run: int | str) -> DataFrame:
     mine = F.col("batch_id") == str(run)
     days = days_of(stored_rows(spark, path).where(mine))
     rows = _addressed(stored_rows(spark, path).where(lake.within(days, *DAY)))
-    copies = _copies(rows, prefer=~mine).where(mine & (F.col("_rank") > 1))
-    return _without(rows.where(mine), copies).drop(*STORED_ONLY)
+    copies = _copies(rows, prefer=~mine).where(mine)
+    return _without(rows.where(mine), copies, F.col("_rank") > 1).drop(*STORED_ONLY)
 
 
 def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:

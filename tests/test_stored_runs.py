@@ -170,6 +170,22 @@ def test_copies_are_found_without_shuffling_payloads(spark, tmp_path):
     assert stored.read_fires(spark, f"{tmp_path}/g").count() == 2
 
 
+def test_many_copies_are_not_broadcast(spark, tmp_path):
+    """Addresses of copies compress to almost nothing on disk, and take 200 bytes each in a broadcast."""
+    n, path = F.col("id"), f"{tmp_path}/f"
+    ids = {"conversation_id": F.concat(F.lit("c"), n % 1000), "source_uri": F.concat(F.lit("u"), n), "received_at": F.lit(DAY) + F.make_dt_interval(secs=n % 997)}
+    rows = apply_hook(spark.range(60_000).crossJoin(fires(spark, fire({"ok": True}))).withColumns(ids).drop("id"))
+    stored.store_fires(rows, path, "a")
+    stored.store_fires(rows, path, "b")
+    stored.store_fires(rows.unionByName(apply_hook(fires(spark, fire({"ok": False}, uri="new")))), path, "c")
+    every, fresh = stored.read_fires(spark, path), stored.fresh_fires(spark, path, "c")
+    assert "Broadcast" not in plan_of(every) and "Broadcast" not in plan_of(fresh)
+    assert [r.source_uri for r in fresh.collect()] == ["new"]
+    assert every.count() == every.select("source_uri").distinct().count() == 60_001
+    none = stored.fresh_fires(spark, path, "b")
+    assert none.isEmpty() and "/fires" not in plan_of(none) and "Join" not in plan_of(none)
+
+
 def stream_batches(spark, root, batches, **options):
     for n, rows in enumerate(batches):
         live.apply_fires(apply_hook(fires(spark, *rows)), root, str(n), CFG, **options)
