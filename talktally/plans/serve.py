@@ -17,6 +17,7 @@ from talktally.functions.values import iso_day
 from talktally.operators.derived import derive_all, raw_only
 from talktally.operators.headers import correlation, with_enrichment
 from talktally.operators.index import alive, by_index, pick_filter
+from talktally.operators.latest import positions
 from talktally.operators.naming import with_display_names
 from talktally.operators.skew import lookup_join
 from talktally.sources import access
@@ -112,6 +113,10 @@ def time_range(start: datetime | None, end: date | None) -> Column:
     return inside
 
 
+def _newest_first() -> tuple[Column, Column]:
+    return F.desc("started_at"), F.desc("conversation_id")
+
+
 def _behind(ts: datetime, last_id: str) -> Column:
     """Rows that follow a position, newest first."""
     return (F.col("started_at") < F.lit(ts)) | ((F.col("started_at") == F.lit(ts)) & (F.col("conversation_id") < last_id))
@@ -122,7 +127,7 @@ def page(rows: DataFrame, limit: int | str | None = None, after: str | None = No
     position = read_token(after)
     if position is not None:
         rows = rows.where(_behind(*position))
-    return rows.orderBy(F.desc("started_at"), F.desc("conversation_id")).limit(page_limit(limit))
+    return rows.orderBy(*_newest_first()).limit(page_limit(limit))
 
 
 @dataclass(frozen=True)
@@ -184,7 +189,7 @@ def conversations(
         of_page = of_page.join(F.broadcast(named), ["correlation_type", "correlation_key"], "left_semi")
         rows = with_enrichment(rows, of_page, hot_rows=hot_rows)
     # The joins behind the page may change its order.
-    return rows.withColumn("page_token", token_column()).orderBy(F.desc("started_at"), F.desc("conversation_id"))
+    return rows.withColumn("page_token", token_column()).orderBy(*_newest_first())
 
 
 def newest_conversations(
@@ -223,6 +228,31 @@ def newest_conversations(
     return conversations(found, cfg, tenant, params, start, end, limit, after, **options)
 
 
+def every_page(
+    spark: SparkSession,
+    root: str,
+    tenant: str,
+    params: dict[str, str],
+    start: datetime | None = None,
+    end: date | None = None,
+    limit: int | str | None = None,
+) -> DataFrame:
+    """All pages of a list of an agent, queue or customer at once, for exports: what `newest_conversations` gives page by page.
+
+    Each row has its `position` and `page`, both from 1 on, and its `page_token`. The list is read and sorted once, in tasks; to
+    walk it by tokens costs some jobs a page.
+    """
+    given = [(column, params[name]) for name, column in FILTERS if params.get(name)]
+    if not given:
+        raise ValueError(f"one of {', '.join(name for name, _ in FILTERS)} is needed")
+    also = time_range(start, end)
+    for column, value in given[1:]:
+        also = also & (F.col(column) == value)
+    rows = access.every(spark, root, tenant, *given[0], also, first=start and f"{start:%Y%m}", last=end and f"{end:%Y%m}")
+    rows = positions(rows.withColumns({"tenant_id": F.lit(tenant), "page_token": token_column()}), _newest_first())
+    return rows.withColumn("page", F.ceil(F.col("position") / page_limit(limit)))
+
+
 def surface_values(results: DataFrame, cfg: MetricsConfig) -> DataFrame:
     """One row per conversation with a VARIANT column per surfaced field.
 

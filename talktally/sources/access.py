@@ -54,6 +54,30 @@ def periods(spark: SparkSession, root: str, tenant: str, path: str, share: str)
     return sorted({f.split("/period=")[1].split("/")[0] for f in lake.files_below(spark, f"{folder}/period=*")}, reverse=True)
 
 
+def _of_value(
+    spark: SparkSession, root: str, tenant: str, column: str, value: str, also: Column | None = None,
+    first: str | None = None, last: str | None = None,
+) -> tuple[DataFrame | None, list[str]]:
+    """(copies with `column` = `value` that satisfy `also`, the periods from `first` to `last` that may hold some, newest first)."""
+    path = PATHS[column]
+    share = prepare(spark).range(1).select(share_of(F.lit(value)).alias("s")).first().s
+    known = periods(spark, root, tenant, path, share)
+    found = [p for p in known if (first or "")[: len(p)] <= p <= (last or "999999")[: len(p)]]
+    if not found:
+        return None, []
+    place = (F.col("path") == path) & (F.col("tenant_id") == tenant) & (F.col("share") == share)
+    rows = spark.read.parquet(f"{root}/{FOLDER}")
+    return rows.where(place & (F.col("value") == value) & (F.lit(True) if also is None else also)), found
+
+
+def _headers(spark: SparkSession, rows: DataFrame | None) -> DataFrame:
+    """Copies as headers; none without copies."""
+    if rows is None:
+        return lake.stored_headers(spark.createDataFrame([], lake.CONVERSATIONS)).drop("year", "month", "day")
+    shaped = rows.withColumns({c: F.lit(None).cast("string") for c in ("year", "month", "day")})
+    return lake.stored_headers(shaped.select(*lake.CONVERSATIONS.fieldNames())).drop("year", "month", "day")
+
+
 def newest(
     spark: SparkSession, root: str, tenant: str, column: str, value: str, limit: int, also: Column | None = None,
     first: str | None = None, last: str | None = None,
@@ -62,20 +86,17 @@ def newest(
 
     `first` and `last` (yyyyMM) leave out periods.
     """
-    path = PATHS[column]
-    share = prepare(spark).range(1).select(share_of(F.lit(value)).alias("s")).first().s
-    known = periods(spark, root, tenant, path, share)
-    found = [p for p in known if (first or "")[: len(p)] <= p <= (last or "999999")[: len(p)]]
-    rows = spark.read.parquet(f"{root}/{FOLDER}") if found else None
-    if rows is None:
-        return lake.stored_headers(spark.createDataFrame([], lake.CONVERSATIONS)).drop("year", "month", "day")
-    place = (F.col("path") == path) & (F.col("tenant_id") == tenant) & (F.col("share") == share)
-    rows = rows.where(place & (F.col("value") == value) & (F.lit(True) if also is None else also))
+    rows, found = _of_value(spark, root, tenant, column, value, also, first, last)
     taken = 1
     while taken < len(found) and rows.where(F.col("period").isin(found[:taken])).limit(limit).count() < limit:
         taken *= 2
-    chosen = rows.where(F.col("period").isin(found[:taken]))
-    shaped = chosen.withColumns({c: F.lit(None).cast("string") for c in ("year", "month", "day")})
-    return lake.stored_headers(shaped.select(*lake.CONVERSATIONS.fieldNames())).drop("year", "month", "day")
+    return _headers(spark, rows if rows is None else rows.where(F.col("period").isin(found[:taken])))
 
 
+def every(
+    spark: SparkSession, root: str, tenant: str, column: str, value: str, also: Column | None = None,
+    first: str | None = None, last: str | None = None,
+) -> DataFrame:
+    """All headers with `column` = `value` that satisfy `also`; `first` and `last` (yyyyMM) leave out periods."""
+    rows, found = _of_value(spark, root, tenant, column, value, also, first, last)
+    return _headers(spark, rows if rows is None else rows.where(F.col("period").isin(found)))

@@ -270,6 +270,34 @@ def test_pages_by_agent_open_the_newest_periods_only(spark, tmp_path):
     assert serve.newest_conversations(spark, root, CFG, "t", {}, datetime(2026, 3, 1), date(2026, 4, 1)).count() == 2
 
 
+def test_all_pages_at_once_are_those_of_the_walk(spark, tmp_path):
+    root = str(tmp_path)
+    heads = spark.range(23).select(
+        F.lit("t").alias("tenant_id"), F.concat(F.lit("c"), "id").alias("conversation_id"), F.lit("a").alias("agent_id"),
+        F.when(F.col("id") != 7, "q").alias("queue_id"), (F.lit(DAY) + F.make_dt_interval(days=F.col("id") % 6 * 40)).alias("started_at"),
+    )
+    other = heads.withColumn("tenant_id", F.lit("u"))
+    silver.write_headers(spark, root, lake.curated_conversations(heads.unionByName(other)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many parts of the order
+    try:
+        got = serve.every_page(spark, root, "t", {"agentId": "a", "queueId": "q"}, limit=5).orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    walked, token = [], None
+    while True:
+        page = serve.newest_conversations(spark, root, CFG, "t", {"agentId": "a", "queueId": "q"}, limit=5, after=token).collect()
+        walked.append([(r.conversation_id, r.page_token) for r in page])
+        if len(page) < 5:
+            break
+        token = page[-1].page_token
+    assert [(r.position, r.page, r.conversation_id, r.page_token) for r in got] == [
+        (5 * n + k, n + 1, *row) for n, page in enumerate(walked) for k, row in enumerate(page, 1)
+    ]
+    assert len(got) == 22
+    inside = serve.every_page(spark, root, "t", {"agentId": "a"}, DAY + timedelta(days=40), (DAY + timedelta(days=80)).date())
+    assert inside.count() == 8 and serve.every_page(spark, root, "t", {"agentId": "nobody"}).count() == 0
+
+
 def test_results_of_one_second_keep_the_latest_whatever_comes_first(spark, tmp_path):
     later, sooner = (fire({"n": k}, at=DAY + timedelta(microseconds=k), uri=f"u{k}") for k in (900, 100))
     for rows in ([later], [sooner]):
