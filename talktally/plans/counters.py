@@ -121,9 +121,11 @@ def _late(spark: SparkSession, run: Run, late: list) -> DataFrame:
 
 
 def _store(spark: SparkSession, root: str, run: Run, name: str, cfg: MetricsConfig, late: list) -> None:
-    current = with_day(run.fresh).join(_frame(spark, late), DAY, "left_anti").drop("date") if late else run.fresh
-    own = F_.digest_of(with_day(current).withColumn("digest", F_.content_digest()))
-    rows = increments(current, cfg, own).withColumn("batch_id", F.lit(name))
+    def current(fires: DataFrame) -> DataFrame:
+        return with_day(fires).join(_frame(spark, late), DAY, "left_anti").drop("date") if late else fires
+
+    own = F_.digest_of(with_day(current(run.keys)))
+    rows = increments(current(run.fresh), cfg, own).withColumn("batch_id", F.lit(name))
     lake.write_partitions(rows, _path(root), PARTITIONS, ("kind",))
 
 

@@ -42,6 +42,7 @@ class Run:
     gone: DataFrame | None = None  # conversations the run had before it was stored again
     gone_days: tuple = ()
     name: str = ""
+    keys: DataFrame | None = None  # keys and stored digests of the fresh fires
 
     @property
     def empty(self) -> bool:
@@ -70,9 +71,11 @@ def store_run(fires: DataFrame, root: str, run: int | str) -> Run:
         gone, gone_days = cut_lineage(before.select(*CONVERSATION).distinct()), F_.days_of(before)
     F_.store_fires(fires, path, run)
     if not F_.run_is_stored(spark, path, run):
-        return Run(with_day(fires).limit(0).drop("date"), [], repeated, gone, tuple(gone_days), str(run))
+        none = with_day(fires).withColumn("digest", F_.content_digest()).limit(0)
+        return Run(none.drop("date", "digest"), [], repeated, gone, tuple(gone_days), str(run), none.select(*F_.KEY))
     mine = F_.stored_rows(spark, path).where(F.col("batch_id") == str(run))
-    return Run(F_.fresh_fires(spark, path, run), F_.days_of(mine), repeated, gone, tuple(gone_days), str(run))
+    fresh = F_.fresh_rows(spark, path, run)
+    return Run(fresh.drop(*F_.STORED_ONLY), F_.days_of(mine), repeated, gone, tuple(gone_days), str(run), fresh.select(*F_.KEY))
 
 
 def update(

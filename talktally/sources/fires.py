@@ -108,11 +108,16 @@ def fresh_fires(spark: SparkSession, path: str, run: int | str) -> DataFrame:
 
     A copy has the same arrival, so only the run's own days are searched for it.
     """
+    return fresh_rows(spark, path, run).drop(*STORED_ONLY)
+
+
+def fresh_rows(spark: SparkSession, path: str, run: int | str) -> DataFrame:
+    """The same as they are stored, with day and digest."""
     mine = F.col("batch_id") == str(run)
     days = days_of(stored_rows(spark, path).where(mine))
     rows = _addressed(stored_rows(spark, path).where(lake.within(days, *DAY)))
     copies = _copies(rows, prefer=~mine).where(mine)
-    return _without(rows.where(mine), copies, F.col("_rank") > 1).drop(*STORED_ONLY)
+    return _without(rows.where(mine), copies, F.col("_rank") > 1)
 
 
 def read_fires(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:

@@ -191,6 +191,32 @@ def stream_batches(spark, root, batches, **options):
         live.apply_fires(apply_hook(fires(spark, *rows)), root, str(n), CFG, **options)
 
 
+def test_digests_of_a_run_are_those_stored(spark, tmp_path):
+    """Keys and digests of the fresh fires come without their payloads, and count as the digests of the day."""
+    root, rows = str(tmp_path), [fire({"ok": True}, conversation=f"c{k}", uri=f"u{k}") for k in range(4)]
+    silver.store_run(apply_hook(fires(spark, *rows[:2])), root, "0")
+    run = silver.store_run(apply_hook(fires(spark, *rows)), root, "1")
+    assert run.keys.count() == 2 and not run.empty
+    scans = [line for line in plan_of(run.keys).splitlines() if "FileScan parquet" in line and "digest" in line]
+    assert scans and all("metadata:" not in s.split("ReadSchema")[1] and "data:" not in s.split("ReadSchema")[1] for s in scans)
+    counters.add(spark, root, run, "1", CFG)
+    counted = digests(counters.read(spark, root, run.days)).first()
+    fresh = stored.digest_of(run.fresh.withColumns({"date": F.date_format("received_at", "yyyyMMdd"), "digest": stored.content_digest()})).first()
+    assert (counted.fires, counted.digest) == (2, fresh.digest)
+
+
+def test_a_micro_batch_is_read_by_all_cores(spark, tmp_path, monkeypatch):
+    """One file a micro-batch would be parsed by one core."""
+    from checks import stored_queries
+
+    batches = []
+    monkeypatch.setattr(stored_queries.live, "apply_fires", lambda rows, *_, **__: batches.append((rows.rdd.getNumPartitions(), rows.count())))
+    stamp = (F.lit(DAY) + F.make_dt_interval(secs=F.col("id"))).alias("ts")
+    events = spark.range(400).select(F.col("id").alias("event_id"), stamp, F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props"))
+    stored_queries._stream(spark, "", str(tmp_path), events.withColumn("file", F.when(F.col("event_id") < 150, 1).otherwise(2)), "file")
+    assert batches == [(spark.sparkContext.defaultParallelism, n) for n in (150, 250)]
+
+
 def test_increments_of_many_batches_stay_few(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(counters, "FOLD_AT", 3)
     root, n = str(tmp_path), 7
