@@ -26,6 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of a batch on its way to a Python worker, unless the session says otherwise; 10,000 long texts would be many times that.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
+# Whether the shuffle files of a query go when it ends.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query, with its SQL where SQL can express it."""
@@ -43,10 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: computed once, and safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: computed once, and safe from lost executors.
+
+    What was shuffled for it is not needed any more and is removed at once, not when the driver happens to collect its garbage.
+    """
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP_CONF, None)
+    conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(CLEANUP_CONF) if before is None else conf.set(CLEANUP_CONF, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

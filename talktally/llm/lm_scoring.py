@@ -11,16 +11,18 @@ a chance of error at the first level, so that level has as many hash functions a
 word are expected to add below a hundredth, whatever the size of the vocabulary; the levels above only meet pairs that are there.
 
 The filter is built in segments by tasks, each from the pairs its hash selects. Filter and word counts are broadcast
-while they stay below `limit` bytes. Beyond, word counts come by joins, and pairs go to the segment they would be probed in:
-the same filter and the same codes, so the same scores.
+while they stay below `limit` bytes. Beyond, each block of texts sends its distinct words and pairs to the segments they would be looked
+up in, and gets counts and codes back in the same order, without the keys: the same filter and the same codes, so the same scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ PLACE_BITS = 20
 SEGMENT_BITS = 1 << PLACE_BITS
 SLICE = 1 << 15  # keys probed at a time at the first level
 PART = 1 << 18  # bytes of text scored at a time
+BLOCK = 16 << 20  # bytes of text that ask the segments together
+ROUNDS = 2  # shares of the segments that are asked one after the other, each with half of the keys on disk
 LIMIT = 256 << 20
 END = np.uint64(hash64(b"\0end of text"))
 
@@ -148,17 +152,52 @@ class Model:
             out[segment] = np.frombuffer(bits.as_buffer(), "uint8")
         return out.reshape(-1)
 
-    def probed(self, keys: DataFrame) -> DataFrame:
-        """(pair, code) of the distinct pair keys in column pair that the filter holds, each probed where its segment is built."""
+    def answers(self, asked: DataFrame, share: int) -> DataFrame:
+        """Counts, what followed and codes for the words and pairs of rows (block, segment, words, pairs), in their order.
+
+        All are of one of the `ROUNDS` shares of the segments.
+        """
         first = self.first_hashes
 
-        def meet(pairs: pa.Table, asked: pa.Table) -> pa.Table:
-            keys = asked.column("pair").to_numpy()
-            codes = probe(_segment(pairs, first), 1, keys.view("uint64"), first) if pairs.num_rows else np.zeros(len(keys), "int32")
-            return pa.table({"pair": keys[codes > 0], "code": codes[codes > 0]})
+        def meet(known: pa.Table, asked: pa.Table) -> pa.Table:
+            release()
+            words, pairs = (known.filter(pc.equal(known.column("kind"), kind)) for kind in (0, 1))
+            order = np.argsort(words.column("key").to_numpy().view("uint64"))
+            among, n, followed = (words.column(c).to_numpy()[order] for c in ("key", "n", "followed"))
+            keys, cuts = _joined(asked.column("words"))
+            found, at = _found(keys, among.view("uint64"))
+            all_n, all_followed = np.zeros(len(keys), "int32"), np.zeros(len(keys), "float32")
+            all_n[found], all_followed[found] = n[at], followed[at]
+            keys, pair_cuts = _joined(asked.column("pairs"))
+            codes = np.zeros(len(keys), "uint8")
+            if pairs.num_rows and len(keys):
+                codes = probe(_segment(pairs, first), 1, keys, first).astype("uint8")
+            return pa.table(
+                {
+                    "block": asked.column("block"),
+                    "segment": asked.column("segment"),
+                    "n": _cut(all_n, cuts),
+                    "followed": _cut(all_followed, cuts),
+                    "codes": _cut(codes, pair_cuts),
+                }
+            )
+
+        none = {"n": F.lit(0), "followed": F.lit(0.0).cast("float"), "code": F.lit(0)}
+        pairs = self.pairs.select(F.lit(1).alias("kind"), "key", "code").withColumns({c: none[c] for c in ("n", "followed")})
+        words = self.words.select(F.lit(0).alias("kind"), "key", "n", "followed").withColumn("code", none["code"])
+        known = self.in_segments(pairs.unionByName(words)).where(F.col("segment") % ROUNDS == share).groupBy("segment")
+        fields = "block bigint, segment bigint, n binary, followed binary, codes binary"
+        return known.cogroup(asked.groupBy("segment")).applyInArrow(meet, fields)
+
 
-        left = self.in_segments(self.pairs.select("key", "code")).groupBy("segment")
-        return left.cogroup(self.in_segments(keys, "pair").groupBy("segment")).applyInArrow(meet, "pair bigint, code int")
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(the keys of all rows one after the other, where each row's begin and end)."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "uint64"), np.cumsum([0, *(len(r) // 8 for r in rows)])
+
+
+def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
 
 
 def _segment(pairs: pa.Table, first: int) -> np.ndarray:
@@ -274,9 +313,41 @@ def _found(words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return there, at[there]
 
 
+class _Numbers:
+    """What scoring needs of a model besides its tables."""
+
+    def __init__(self, model: Model):
+        self.total, self.kinds, self.discount, self.least = model.total, model.kinds, model.discount, model.least
+
+    def scores(self, doc_ids: pa.Array, each: np.ndarray, n: np.ndarray, lost: np.ndarray, back: np.ndarray, head: int, codes_at) -> pa.RecordBatch:
+        """Scored texts. `n` and `lost` are of words, `back` the place of each token's word among these, `head` the end's.
+
+        `codes_at` gives the codes of the pairs at some tokens.
+        """
+        n_word, p_word = n[back], single(n, self.discount, self.kinds, self.total)[back]
+        back_before = np.concatenate(([head], back[:-1]))
+        n_before, lost_before = n[back_before], lost[back_before]
+        share = np.zeros(len(back))
+        try_ = np.flatnonzero((n_word >= self.least) & (n_before >= self.least))
+        share[try_] = value_of(codes_at(try_), self.least)
+        share = np.minimum(share, np.minimum(n_before, n_word))
+        p = np.minimum((share + (lost_before + PRIOR) * p_word) / (n_before + PRIOR), 1.0)
+        starts = np.concatenate(([0], np.cumsum(each)[:-1]))
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_ids,
+                pa.array(each),
+                pa.array(np.add.reduceat((n_word > 0).astype("int64"), starts)),
+                pa.array(np.add.reduceat(np.log10((n_word + 1) / (self.total + self.kinds + 1)), starts)),
+                pa.array(np.add.reduceat(np.log10(p), starts)),
+            ],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+
 def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(_tables(model))
-    total, kinds, segments, discount, least, first = model.total, model.kinds, model.segments, model.discount, model.least, model.first_hashes
+    numbers, segments, first = _Numbers(model), model.segments, model.first_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts, followed, once, bits = map(np.frombuffer, shared.value, ("uint64", "int32", "float32", "uint64", "uint8"))
@@ -289,72 +360,64 @@ def _score_broadcast(rows: DataFrame, model: Model) -> DataFrame:
             n[there] = counts[at]
             lost = n.copy()
             lost[there] = np.maximum(n[there] - followed[at], 0)
-            n_word, p_word = n[back], single(n, discount, kinds, total)[back]
             head = int(np.searchsorted(distinct, END))
-            back_before = np.concatenate(([head], back[:-1]))
-            n_before, lost_before = n[back_before], lost[back_before]
-            share = np.zeros(len(tokens))
-            try_ = np.flatnonzero((n_word >= least) & (n_before >= least))
-            share[try_] = value_of(probe(bits, segments, pair_key(before[try_], tokens[try_]), first), least)
-            share = np.minimum(share, np.minimum(n_before, n_word))
-            p = np.minimum((share + (lost_before + PRIOR) * p_word) / (n_before + PRIOR), 1.0)
-            starts = np.concatenate(([0], np.cumsum(each)[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(each),
-                    pa.array(np.add.reduceat((n_word > 0).astype("int64"), starts)),
-                    pa.array(np.add.reduceat(np.log10((n_word + 1) / (total + kinds + 1)), starts)),
-                    pa.array(np.add.reduceat(np.log10(p), starts)),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+            codes_at = lambda at, b=before, t=tokens: probe(bits, segments, pair_key(b[at], t[at]), first)
+            yield numbers.scores(batch.column("doc_id"), each, n, lost, back, head, codes_at)
 
     return map_arrow(rows, run, f"doc_id bigint, {_COLUMNS}")
 
 
-def _score_joined(rows: DataFrame, model: Model) -> DataFrame:
-    """The same by joins: each text's distinct pairs meet the word counts of both words and the pair's code."""
-    texts = rows.groupBy("doc_id", F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.count("*").alias("rows"))
-    texts = stored(texts, "lm-texts")
+def _distinct(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and pair keys of texts, in order."""
+    words, pairs = [], []
+    for batch in chunks(iter(texts.to_batches()), most=1 << 20):
+        if batch.num_rows:
+            tokens, before, _ = _sequences(batch)
+            words.append(np.unique(tokens))
+            pairs.append(np.unique(pair_key(before, tokens)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=1 << 20):
-            tokens, before, each = _sequences(batch)
-            start = 0
-            for row, size in enumerate(each.tolist()):
-                both, n = np.unique(np.stack([before[start : start + size], tokens[start : start + size]]), axis=1, return_counts=True)
-                start += size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([batch.column(c)[row].as_py()] * len(n), pa.int64()) for c in ("doc_id", "copy")),
-                        *(pa.array(x.view("int64")) for x in (both[0], both[1], pair_key(both[0], both[1]))),
-                        pa.array(n, pa.int64()),
-                    ],
-                    names=["doc_id", "copy", "before", "word", "pair", "times"],
-                )
-
-    pairs = map_arrow(texts.drop("rows"), run, "doc_id bigint, copy bigint, before bigint, word bigint, pair bigint, times bigint")
-    pairs = pairs.join(model.words.select(F.col("key").alias("word"), F.col("n").alias("n_word")), "word", "left")
-    pairs = pairs.join(model.words.select(F.col("key").alias("before"), F.col("n").alias("n_before"), "followed"), "before", "left")
-    n, m = F.coalesce("n_word", F.lit(0)), F.coalesce("n_before", F.lit(0))
-    pairs = stored(pairs, "lm-pairs")
-    pairs = pairs.join(model.probed(pairs.where((n >= model.least) & (m >= model.least)).select("pair").distinct()), "pair", "left")
-    code = F.when((n >= model.least) & (m >= model.least), F.coalesce("code", F.lit(0))).otherwise(0)
-    lost = F.greatest(m - F.coalesce(F.col("followed").cast("double"), F.lit(0.0)), F.lit(0.0))
-    share = F.least(value_of(code, model.least), m, n)
-    p = F.least((share + (lost + PRIOR) * single(n, model.discount, model.kinds, model.total)) / (m + PRIOR), F.lit(1.0))
-    sums = pairs.groupBy("doc_id", "copy").agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((n + 1) / (model.total + model.kinds + 1))).alias("base_score"),
-        F.sum(F.col("times") * F.log10(p)).alias("score"),
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("copy").eqNullSafe(F.col("_copy"))
-    again = texts.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), "rows")
-    return sums.join(again, same).withColumn("_row", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))).select(
-        "doc_id", "n_tokens", "n_known", "base_score", "score"
-    )
+
+def _score_joined(rows: DataFrame, model: Model) -> DataFrame:
+    """The same with tables that stay in segments; texts are dealt to blocks, and rows that repeat are scored each."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A task deals its own rows by their contents, so copies of one row in many tasks don't meet in one block.
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(size // BLOCK + 1))
+    texts = stored(rows.withColumn("block", block), "lm-texts", compression="zstd")
+    numbers, segments = _Numbers(model), model.segments
+
+    def asked(share: int) -> DataFrame:
+        def ask(group: pa.Table) -> pa.Table:
+            release()
+            words, pairs = _distinct(group)
+            places = [(keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32) for keys in (words, pairs)]
+            mine = [place % np.uint64(ROUNDS) == share for place in places]
+            (words, pairs), places = (words[mine[0]], pairs[mine[1]]), [p[m] for p, m in zip(places, mine, strict=True)]
+            used = np.unique(np.concatenate(places))
+            cuts = [np.append(np.searchsorted(place, used), len(place)) for place in places]
+            home = pa.array(np.full(len(used), group.column("block")[0].as_py(), "int64"))
+            return pa.table({"block": home, "segment": used.astype("int64"), "words": _cut(words, cuts[0]), "pairs": _cut(pairs, cuts[1])})
+
+        return texts.groupBy("block").applyInArrow(ask, "block bigint, segment bigint, words binary, pairs binary")
+
+    def score_block(group: pa.Table, known: pa.Table) -> pa.Table:
+        release()
+        words, pairs = _distinct(group)
+        order = np.argsort(known.column("segment").to_numpy())
+        kinds = ("n", "int32"), ("followed", "float32"), ("codes", "uint8")
+        n, followed, codes = (np.frombuffer(b"".join(known.column(c).take(order).to_pylist()), kind) for c, kind in kinds)
+        n = n.astype("float64")
+        lost, head, scored = np.maximum(n - followed, 0), int(np.searchsorted(words, END)), []
+        for batch in chunks(iter(group.to_batches()), most=PART):
+            if batch.num_rows:
+                tokens, before, each = _sequences(batch)
+                codes_at = lambda at, b=before, t=tokens: codes[np.searchsorted(pairs, pair_key(b[at], t[at]))]
+                scored.append(numbers.scores(batch.column("doc_id"), each, n, lost, np.searchsorted(words, tokens), head, codes_at))
+        return pa.Table.from_batches(scored)
+
+    map_arrow(rows.limit(0), lambda b: b, rows.schema)  # the package's path, for grouped tasks too
+    known = reduce(DataFrame.union, [stored(model.answers(asked(share), share), "lm-answers") for share in range(ROUNDS)])
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block, f"doc_id bigint, {_COLUMNS}")
 
 
 def held_out() -> Column:

@@ -101,6 +101,21 @@ def test_broadcast_and_joined_scores_are_the_same(spark, docs, least):
     assert _scores(lm_scoring.score(docs, model)) == _scores(lm_scoring.score(docs, model, 0))
 
 
+def test_joined_scoring_moves_keys_not_rows(spark, docs, tmp_path, monkeypatch):
+    """Beyond the limit a block sends each of its words and pairs once, eight bytes each, and the answers have no keys; nothing shuffled stays."""
+    kept, stored = {}, lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 14)
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, name, **o: kept.setdefault(name, []).append(stored(df, name, **o)) or kept[name][-1])
+    model = lm_scoring.Model(docs)
+    same = docs.union(docs.limit(3))
+    assert _scores(lm_scoring.score(same, model, 0)) == _scores(lm_scoring.score(same, model))
+    assert "lm-pairs" not in kept and len(kept["lm-answers"]) == lm_scoring.ROUNDS
+    blocks = kept["lm-texts"][0].select("block").distinct().count()
+    answers = [r for part in kept["lm-answers"] for r in part.collect()]
+    assert blocks > 2 and {r.block for r in answers} == {r.block for r in kept["lm-texts"][0].select("block").collect()}
+    assert all(len(r.n) == len(r.followed) for r in answers) and len({(r.block, r.segment) for r in answers}) == len(answers)
+
+
 def _sequence(text):
     return [None, *cases.low(text), None]
 
