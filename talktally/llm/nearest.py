@@ -9,6 +9,9 @@ its prefix. Candidates are compared on their original vectors.
 Vectors that are equal form one class, which stands for the members that can be among the nearest: its 21 smallest
 ids. So a vector repeated a million times is compared once. Prefixes with many classes are cut into blocks of bounded
 size, each block met by the queries of its prefix; a query keeps its nearest per block, never pairs with all.
+
+Tables that grow with the vectors or queries meet by merges. Sizes are unknown to the planner behind an explode, which makes 1,000
+rows of a query here, and compressed files say little, so left to itself it would broadcast them from the driver's memory.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ TREES, DEPTH = 40, 24
 SHARE, LEAST = 0.9, 800
 BLOCK, QUERIES = 4096, 2048
 NEAREST = 20
+FEW = 50_000  # prefixes in use that are broadcast
 SEED = 11
 
 
@@ -90,9 +94,9 @@ def levels(asked: DataFrame, counts: DataFrame, enough: int) -> DataFrame:
     steps = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")
     at = asked.select("query_id", F.posexplode("strings").alias("tree", "string"))
     at = at.select("query_id", "tree", "string", steps).withColumn("prefix", F.expr(f"shiftright(string, {DEPTH} - level)"))
-    met = at.join(counts, ["tree", "level", "prefix"]).groupBy("query_id", "level").agg(F.sum("n").alias("n"))
+    met = at.join(counts.hint("merge"), ["tree", "level", "prefix"]).groupBy("query_id", "level").agg(F.sum("n").alias("n"))
     best = met.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("level"))), F.lit(0)).alias("level"))
-    return asked.join(best, "query_id")
+    return asked.join(best.hint("merge"), "query_id")
 
 
 def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -110,7 +114,7 @@ def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float
     # Members beyond the smallest can't be among the nearest of any query.
     ranked = clean.groupBy("vector").agg(F.min("vec_id").alias("class"))
     classes = stored(ranked, "ann-classes")
-    members = clean.join(classes, "vector").select("class", "vec_id")
+    members = clean.join(classes.hint("merge"), "vector").select("class", "vec_id")
     within = Window.partitionBy("class").orderBy("vec_id")
     members = members.withColumn("turn", F.row_number().over(within)).where(F.col("turn") <= nearest + 1)
     members = stored(members.groupBy("class").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-members")
@@ -125,21 +129,22 @@ def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float
     # One row for each prefix in use; its classes and its queries are cut into blocks of bounded size.
     met = placed.select("query_id", "level", F.posexplode("strings").alias("tree", "string"))
     met = met.withColumn("prefix", F.expr(f"shiftright(string, {DEPTH} - level)")).drop("string")
-    used = met.groupBy("tree", "level", "prefix").agg(F.count("*").alias("asking")).join(counts, ["tree", "level", "prefix"])
+    used = met.groupBy("tree", "level", "prefix").agg(F.count("*").alias("asking")).join(counts.hint("merge"), ["tree", "level", "prefix"])
     used = used.select("tree", "level", "prefix", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / QUERIES).alias("query_blocks"))
     used = stored(used, "ann-used")
+    in_cells = F.broadcast(used) if used.count() <= FEW else used.hint("merge")
     in_use = [r.level for r in used.select("level").distinct().collect()] or [0]  # 25 levels at most
     keys = ["tree", "level", "prefix"]
     entries = index.select("class", F.posexplode("strings").alias("tree", "string"))
     entries = entries.select("class", "tree", "string", F.explode(F.array(*map(F.lit, in_use))).alias("level"))
     entries = entries.withColumn("prefix", F.expr(f"shiftright(string, {DEPTH} - level)")).drop("string")
-    entries = entries.join(used, keys).withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    entries = entries.join(in_cells, keys).withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
     entries = entries.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    asking = met.join(used, keys).withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks"))
+    asking = met.join(in_cells, keys).withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks"))
     asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = [*keys, "block", "query_block"]
-    points = entries.join(classes, "class").select(*cell, F.col("class").alias("id"), "vector")
-    askers = asking.join(queries, "query_id").select(*cell, F.col("query_id").alias("id"), "vector")
+    points = entries.join(classes.hint("merge"), "class").select(*cell, F.col("class").alias("id"), "vector")
+    askers = asking.join(queries.hint("merge"), "query_id").select(*cell, F.col("query_id").alias("id"), "vector")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best classes of each query of a cell; one more than asked for, as a query may meet its own class."""
@@ -164,12 +169,12 @@ def search(rows: DataFrame, asked: Column, nearest: int = NEAREST, share: float
         )
 
     found = points.groupBy(*cell).cogroup(askers.groupBy(*cell)).applyInArrow(compare, "query_id bigint, class bigint").distinct()
-    pairs = found.join(classes.withColumnRenamed("vector", "other"), "class").join(queries, "query_id")
+    pairs = found.join(classes.withColumnRenamed("vector", "other").hint("merge"), "class").join(queries.hint("merge"), "query_id")
     exact = F.aggregate(F.zip_with("vector", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = pairs.select("query_id", "class", exact.alias("score"))
     by_class = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
     pairs = pairs.withColumn("turn", F.row_number().over(by_class)).where(F.col("turn") <= nearest + 1)
-    answers = pairs.join(members, "class").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+    answers = pairs.join(members.hint("merge"), "class").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     by_vector = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answers = answers.withColumn("rank", F.row_number().over(by_vector)).where(F.col("rank") <= nearest)
     return answers.select("query_id", "rank", "vec_id", "score")

@@ -578,6 +578,27 @@ def test_few_and_no_vectors(spark):
     assert nearest.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    """An explode makes 1,000 rows of a query; the planner would broadcast them by the size of the file."""
+    plans, stored = {}, nearest.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(nearest, "stored", seen)
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda x: F.sin(x * (F.col("id") % 50 + 1)).cast("float")).alias("embedding"))
+    found = nearest.search(rows, F.col("vec_id") % 5 == 0, nearest=3)
+    assert "Join" in plans["ann-levels"] and not [name for name, plan in plans.items() if "Broadcast" in plan]
+    last = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in last and last.count("BroadcastHashJoin") <= 2  # the prefixes in use, counted before
+    assert found.count() == 36
+    monkeypatch.setattr(nearest, "FEW", 0)
+    again = nearest.search(rows, F.col("vec_id") % 5 == 0, nearest=3)
+    assert "Broadcast" not in again._jdf.queryExecution().executedPlan().toString()
+    assert bag(map(tuple, again.collect())) == bag(map(tuple, found.collect()))
+
+
 # 10: toxicity
 
 
